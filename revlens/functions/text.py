@@ -57,9 +57,48 @@ def special_char_share(c: Column) -> Column:
                   F.regexp_count(c, F.lit(SPECIAL_CHAR_CLASS)) / F.length(c))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Spark does not share subexpressions inside lambdas: an array expression
+    used inside ``transform(..., i -> ...)`` would be recomputed for every
+    element.  Binding it through a one-element ``transform`` computes it once.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(toks: Column, n: int, sep: str = "_") -> Column:
     """Contiguous n-grams joined by ``sep``; empty when fewer than n tokens."""
-    k = F.size(toks) - n + 1
-    return F.when(k >= 1, F.transform(F.sequence(F.lit(1), k),
-                                      lambda i: F.array_join(F.slice(toks, i, n), sep))
-                  ).otherwise(F.array().cast("array<string>"))
+    def body(t):
+        k = F.size(t) - n + 1
+        return F.when(k >= 1, F.transform(F.sequence(F.lit(1), k),
+                                          lambda i: F.array_join(F.slice(t, i, n), sep))
+                      ).otherwise(F.array().cast("array<string>"))
+    return let(toks, body)
+
+
+_STOP_CACHE: dict[str, list[str]] = {}
+
+
+def english_stop_words() -> list[str]:
+    """Spark ML's default English stop-word list, read from the Spark ML jar
+    that ships with pyspark (same list as
+    ``StopWordsRemover.loadDefaultStopWords("english")``, no JVM needed)."""
+    if "english" not in _STOP_CACHE:
+        import glob
+        import os
+        import zipfile
+
+        import pyspark
+        jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+        words: list[str] = []
+        if jars:
+            with zipfile.ZipFile(jars[0]) as z:
+                raw = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
+                words = [w.strip() for w in raw.splitlines() if w.strip()]
+        _STOP_CACHE["english"] = words
+    return _STOP_CACHE["english"]
+
+
+def stop_array() -> Column:
+    return F.array(*[F.lit(w) for w in english_stop_words()])

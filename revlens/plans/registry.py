@@ -48,5 +48,5 @@ def register(name: str, sql: str | None = None, dbl: Sequence[str] = ()):
 
 def load_all() -> dict[str, Entry]:
     # importing the modules fills the registry
-    from revlens.plans import q_metrics, q_quality  # noqa: F401
+    from revlens.plans import q_features, q_metrics, q_quality  # noqa: F401
     return REGISTRY

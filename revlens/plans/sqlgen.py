@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 
 def with_views(body: str, **views: str) -> str:
-    ctes = ",\n".join(f"{k} AS ({v})" for k, v in views.items())
+    # MATERIALIZED: DuckDB may otherwise inline a CTE into every lambda call
+    ctes = ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in views.items())
     return f"WITH {ctes}\n{body}"
 
 
