@@ -137,10 +137,12 @@ def by_category(df: DataFrame, key: str = "category") -> DataFrame:
 
 def describe_column(df: DataFrame, x: str) -> DataFrame:
     """count, mean, std, min, quartiles (linear), max of a numeric column."""
-    q = F.percentile(F.col(x), [0.25, 0.5, 0.75])
-    return df.agg(F.count(F.col(x)).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                  F.min(x).cast("double").alias("min"), q[0].alias("p25"), q[1].alias("p50"),
-                  q[2].alias("p75"), F.max(x).cast("double").alias("max"))
+    base = df.agg(F.count(F.col(x)).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                  F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"))
+    h = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    q = h.agg(F.percentile(F.col("_v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_c")).alias("_q"))
+    return base.crossJoin(q).select("count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
+                                    F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
 
 
 def counts_by_category(df: DataFrame, x: str, key: str = "category",
@@ -170,3 +172,36 @@ def apps_by_category(df: DataFrame, store: DataFrame, key: str = "category") ->
     s = store.crossJoin(F.broadcast(st)).withColumn("pct_app_store", F.round(F.col("app_store") / F.col("_st"), 2))
     j = null_safe_join(s.drop("_st"), o.drop("_ot"), [key])
     return j.select(key, "app_store", "pct_app_store", "app_voc", "pct_app_voc").orderBy(F.col("app_voc").desc())
+
+
+# --------------------------------------------------------------------------- A15 - A18
+def describe_categorical(df: DataFrame, x: str) -> DataFrame:
+    """count, unique, top (most frequent, ties to the smallest), freq."""
+    h = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    return h.agg(F.sum("_c").cast("bigint").alias("count"), F.count(F.lit(1)).alias("unique"),
+                 F.min_by("_v", F.struct((-F.col("_c")).alias("n"), F.col("_v").alias("v"))).alias("top"),
+                 F.max("_c").alias("freq"))
+
+
+def unique_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(*columns).distinct()
+
+
+def top_n_frequency(df: DataFrame, x: str, n: int = 10) -> DataFrame:
+    """The n commonest values (ties by value): count, running count, share of
+    all rows, running share.  Counting is one aggregation; only the n
+    winners are ordered (a top-k, not a global sort)."""
+    g = df.groupBy(x).agg(F.count(F.lit(1)).alias("count"))
+    total = g.agg(F.sum("count").alias("_t"))
+    top = g.orderBy(F.col("count").desc(), F.col(x).asc_nulls_first()).limit(n)  # the feature: top-n
+    w = Window.orderBy(F.col("count").desc(), F.col(x).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    t = top.crossJoin(F.broadcast(total))
+    return t.select(x, "count", F.sum("count").over(w).alias("cumulative"),
+                    (F.col("count") / F.col("_t")).alias("proportion"),
+                    (F.sum("count").over(w) / F.col("_t")).alias("cumulative_proportion"))
+
+
+def countstats(df: DataFrame, x: str) -> DataFrame:
+    """describe() of the per-value counts of ``x``."""
+    c = df.groupBy(x).agg(F.count(F.lit(1)).alias("n"))
+    return describe_column(c, "n")
