@@ -48,5 +48,5 @@ def register(name: str, sql: str | None = None, dbl: Sequence[str] = ()):
 
 def load_all() -> dict[str, Entry]:
     # importing the modules fills the registry
-    from revlens.plans import q_explore, q_features, q_io, q_metrics, q_prep, q_quality, q_reports  # noqa: F401
+    from revlens.plans import q_explore, q_features, q_io, q_metrics, q_models, q_prep, q_quality, q_reports  # noqa: F401
     return REGISTRY
