@@ -21,7 +21,7 @@ from revlens.session import build_session  # noqa: E402
 HEADLINE = [
     "category_metrics", "author_metrics", "app_metrics", "category_author_metrics",
     "dqa_flags", "dqa_flags_reviews", "dqa_report", "clean_reviews",
-    "text_features", "lexical_features", "readability", "text_prep",
+    "text_features", "lexical_features", "readability", "bigrams", "detect_language",
     "column_profile", "by_category", "top_n_frequency", "word_frequency",
     "lorenz_gini", "reviews_by_period",
 ]
