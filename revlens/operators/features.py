@@ -47,13 +47,13 @@ def text_features(df: DataFrame, text_column: str = "content", keep_tokens: bool
     sentence density (NULL when the divisor is 0), and ``review_length``."""
     t = F.col("_tok")
     out = _with_tokens(df, text_column)
-    stop = T.stop_array()
+    stop = T.english_stop_words()
     out = (out.withColumn("text_sentence_count", F.size(T.sentences(F.col(text_column))).cast("bigint"))
               .withColumn("text_word_count", F.size(t).cast("bigint"))
               .withColumn("text_char_count", F.length(F.replace(F.col(text_column), F.lit(" "), F.lit(""))).cast("bigint"))
               .withColumn("text_punctuation_count", F.regexp_count(F.col(text_column), F.lit(T.PUNCTUATION_CLASS)).cast("bigint"))
               .withColumn("text_stopwords_count",
-                          F.size(F.filter(t, lambda x: F.array_contains(stop, F.lower(x)))).cast("bigint"))
+                          F.size(F.filter(t, lambda x: F.lower(x).isin(stop))).cast("bigint"))
               .withColumn("text_word_density", safe_div(F.col("text_char_count"), F.col("text_word_count")))
               .withColumn("text_sentence_density", safe_div(F.col("text_word_count"), F.col("text_sentence_count")))
               .withColumn("review_length", F.col("text_word_count")))
@@ -68,10 +68,10 @@ def lexical_features(df: DataFrame, text_column: str = "content", keep_tokens: b
     are alphabetic words outside the closed-class (stop-word) list.
     """
     t = F.col("_tok")
-    stop = T.stop_array()
+    stop = T.english_stop_words()
     out = _with_tokens(df, text_column)
     n = F.size(t)
-    content_words = F.size(F.filter(t, lambda x: x.rlike(r"^\p{L}") & ~F.array_contains(stop, F.lower(x))))
+    content_words = F.size(F.filter(t, lambda x: x.rlike(r"^\p{L}") & ~F.lower(x).isin(stop)))
     out = (out.withColumn("lexical_unique_word_count", F.size(F.array_distinct(t)).cast("bigint"))
               .withColumn("lexical_type_token_ratio", safe_div(F.col("lexical_unique_word_count"), n))
               .withColumn("lexical_density", safe_div(content_words, n))

@@ -130,16 +130,40 @@ def quartile_bounds(df: DataFrame, column: str, method: str = "exact") -> DataFr
                     (F.col("q3") + 1.5 * iqr).alias("upper"))
 
 
-def flag_outliers(df: DataFrame, columns: dict[str, str], method: str = "exact") -> DataFrame:
-    """Add name -> strict IQR-fence outlier flag for each column."""
-    out = df
+def fences(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """One row with ``_lo_<name>``/``_hi_<name>`` for every column, from a
+    single (column, value) histogram pass over ``df``."""
+    names = list(columns)
+    entries = [F.struct(F.lit(n).alias("_k"), F.col(c).cast("double").alias("_v")) for n, c in columns.items()]
+    h = (df.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*").where(F.col("_v").isNotNull())
+           .groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    q = h.groupBy("_k").agg(F.percentile(F.col("_v"), F.array(F.lit(0.25), F.lit(0.75)), F.col("_c")).alias("_q"))
+    iqr = F.col("_q")[1] - F.col("_q")[0]
+    q = q.select("_k", (F.col("_q")[0] - 1.5 * iqr).alias("_lo"), (F.col("_q")[1] + 1.5 * iqr).alias("_hi"))
+    aggs = []
+    for n in names:
+        aggs += [F.max(F.when(F.col("_k") == n, F.col("_lo"))).alias(f"_lo_{n}"),
+                 F.max(F.when(F.col("_k") == n, F.col("_hi"))).alias(f"_hi_{n}")]
+    return q.agg(*aggs)  # one row per flagged column -> one row
+
+
+def flag_outliers(df: DataFrame, columns: dict[str, str], method: str = "exact",
+                  source: DataFrame | None = None) -> DataFrame:
+    """Add name -> strict IQR-fence outlier flag for each column.  Fences
+    are computed on ``source`` (default ``df``) -- pass the un-flagged input
+    to avoid recomputing upstream work."""
+    src = source if source is not None else df
+    if method == "approx":
+        out = df
+        for name, c in columns.items():
+            b = quartile_bounds(src, c, "approx").select(F.col("lower").alias(f"_lo_{name}"),
+                                                          F.col("upper").alias(f"_hi_{name}"))
+            out = out.crossJoin(F.broadcast(b))
+    else:
+        out = df.crossJoin(F.broadcast(fences(src, columns)))  # one scalar row
     for name, c in columns.items():
-        b = quartile_bounds(df, c, method).select(
-            F.col("lower").alias(f"_lo_{name}"), F.col("upper").alias(f"_hi_{name}"))
-        out = out.crossJoin(F.broadcast(b))  # one scalar row
         out = out.withColumn(name, _nn((F.col(c) < F.col(f"_lo_{name}")) | (F.col(c) > F.col(f"_hi_{name}"))))
-        out = out.drop(f"_lo_{name}", f"_hi_{name}")
-    return out
+    return out.drop(*[f"_{s}_{n}" for n in columns for s in ("lo", "hi")])
 
 
 # --------------------------------------------------------------------------- the assessment
@@ -180,7 +204,7 @@ def assess_quality(df: DataFrame, text_column: str | None = "content",
                   .withColumn("dqa_contains_phone_number", contains_phone(F.col(text_column))))
     present = {f"dqa_{c}_outlier": c for c in outlier_columns if c in cols}
     if present:
-        out = flag_outliers(out, present, outlier_method)
+        out = flag_outliers(out, present, outlier_method, source=df)
     return out
 
 
