@@ -271,3 +271,47 @@ def collocations(df: DataFrame, tokens_column: str, min_count: int = 5) -> DataF
     j = keep.join(u1, "w1").join(u2, "w2").crossJoin(F.broadcast(nu)).crossJoin(F.broadcast(nb))
     pmi = F.ln((F.col("count") / F.col("_nb")) / ((F.col("c1") / F.col("_nu")) * (F.col("c2") / F.col("_nu"))))
     return j.select("w1", "w2", "count", pmi.alias("pmi"))
+
+
+# --------------------------------------------------------------------------- A35 / A36
+def cluster_texts(df: DataFrame, text_column: str, k: int = 8, seed: int = 42, num_features: int = 1024,
+                  pca_dims: int = 2) -> DataFrame:
+    """TF-IDF vectors -> K-means cluster id, plus PCA coordinates for plots
+    (Spark ML; distributed fits, only model coefficients reach the driver).
+    Vectors are hashed to ``num_features`` dense dimensions: PCA aggregates
+    a d x d covariance, so d stays small whatever the data size."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, StopWordsRemover
+    from pyspark.ml.functions import vector_to_array
+    p = Pipeline(stages=[
+        RegexTokenizer(inputCol=text_column, outputCol="_w", pattern=r"[^\p{L}\p{N}_']+", toLowercase=True),
+        StopWordsRemover(inputCol="_w", outputCol="_ws"),
+        HashingTF(inputCol="_ws", outputCol="_tf", numFeatures=num_features),
+        IDF(inputCol="_tf", outputCol="_tfidf"),
+        Normalizer(inputCol="_tfidf", outputCol="_xs"),
+    ])
+    from pyspark.ml.functions import array_to_vector
+    vec = p.fit(df).transform(df).withColumn("_x", array_to_vector(vector_to_array("_xs")))
+    p2 = Pipeline(stages=[KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed, maxIter=20),
+                          PCA(inputCol="_x", outputCol="_pca", k=pca_dims)])
+    out = p2.fit(vec).transform(vec)
+    return (out.withColumn("_p", vector_to_array("_pca"))
+               .select(*[c for c in df.columns if c != text_column], "cluster",
+                       *[F.col("_p")[i].alias(f"pc{i + 1}") for i in range(pca_dims)]))
+
+
+def topics(df: DataFrame, tokens_column: str, k: int = 5, vocab_size: int = 5000, top_terms: int = 8,
+           seed: int = 42) -> DataFrame:
+    """Latent topics (online LDA over term counts): per topic, its top terms
+    and weights."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+    cv = CountVectorizer(inputCol=tokens_column, outputCol="_tf", vocabSize=vocab_size, minDF=2).fit(df)
+    vecs = cv.transform(df)
+    lda = LDA(featuresCol="_tf", k=k, seed=seed, maxIter=10, optimizer="online").fit(vecs)
+    vocab = df.sparkSession.createDataFrame(list(enumerate(cv.vocabulary)), "idx int, term string")
+    d = lda.describeTopics(top_terms)
+    e = d.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "_t"))
+    e = e.select("topic", "rank", F.col("_t.termIndices").alias("idx"), F.col("_t.termWeights").alias("weight"))
+    return e.join(F.broadcast(vocab), "idx").select("topic", "rank", "term", "weight")  # vocab <= vocab_size

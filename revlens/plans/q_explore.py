@@ -216,3 +216,15 @@ def tfidf_top_terms(spark, sf):
     u="SELECT unnest(ns) AS term, count(*) AS count FROM n GROUP BY 1"), dbl=["pmi"])
 def collocations(spark, sf):
     return X.collocations(_ns_docs(spark, sf), "ns", 5)
+
+
+@register("cluster_texts")
+def cluster_texts(spark, sf):
+    """TF-IDF + K-means cluster per document with PCA coordinates (rows check)."""
+    return X.cluster_texts(doc_reviews(spark, sf).select("id", "content"), "content", k=8)
+
+
+@register("topics")
+def topics(spark, sf):
+    """LDA topics over the stop-word-free tokens (rows check)."""
+    return X.topics(_ns_docs(spark, sf), "ns", k=5)
