@@ -59,7 +59,8 @@ def reviews_by_period(df: DataFrame, date_column: str = "date") -> DataFrame:
     """Row counts by year, month name, weekday name and year-month."""
     d = F.col(date_column)
     kinds = {"year": F.date_format(d, "yyyy"), "month": F.date_format(d, "MMMM"),
-             "weekday": F.date_format(d, "EEEE"), "year_month": F.date_format(d, "yyyy-MM")}
+             "weekday": F.date_format(d, "EEEE"), "year_month": F.date_format(d, "yyyy-MM"),
+             "day": F.date_format(d, "yyyy-MM-dd")}
     e = F.explode(F.array(*[F.struct(F.lit(k).alias("period_type"), v.alias("period")) for k, v in kinds.items()]))
     return (df.select(e.alias("_e")).select("_e.*")
               .groupBy("period_type", "period").agg(F.count(F.lit(1)).alias("count")))
@@ -315,3 +316,26 @@ def topics(df: DataFrame, tokens_column: str, k: int = 5, vocab_size: int = 5000
     e = d.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "_t"))
     e = e.select("topic", "rank", F.col("_t.termIndices").alias("idx"), F.col("_t.termWeights").alias("weight"))
     return e.join(F.broadcast(vocab), "idx").select("topic", "rank", "term", "weight")  # vocab <= vocab_size
+
+
+# --------------------------------------------------------------------------- L3
+def first_reviews(df: DataFrame, n: int = 5, date_column: str = "date", key: str = "id",
+                  newest: bool = False) -> DataFrame:
+    """The n earliest (or newest) reviews, ties by id: a top-n (each task
+    keeps n rows, the driver merges n x tasks rows), not a global sort."""
+    o = [F.col(date_column).desc() if newest else F.col(date_column).asc(), F.col(key).asc()]
+    return df.orderBy(*o).limit(n)
+
+
+def describe_by(df: DataFrame, x: str, by: str) -> DataFrame:
+    """describe() of ``x`` per group of ``by`` (quartiles from per-group
+    value histograms)."""
+    base = df.groupBy(by).agg(F.count(F.col(x)).alias("count"), F.avg(x).alias("mean"),
+                              F.stddev_samp(x).alias("std"), F.min(x).cast("double").alias("min"),
+                              F.max(x).cast("double").alias("max"))
+    h = df.where(F.col(x).isNotNull()).groupBy(by, F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    q = h.groupBy(by).agg(F.percentile(F.col("_v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)),
+                                       F.col("_c")).alias("_q"))
+    j = null_safe_join(base, q, [by], "left")
+    return j.select(by, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
+                    F.col("_q")[2].alias("p75"), "max")

@@ -36,7 +36,8 @@ def author_counts_by_category(spark, sf):
     """SELECT 'year' AS period_type, strftime(date, '%Y') AS period, count(*) AS count FROM r GROUP BY 2
        UNION ALL SELECT 'month', strftime(date, '%B'), count(*) FROM r GROUP BY 2
        UNION ALL SELECT 'weekday', strftime(date, '%A'), count(*) FROM r GROUP BY 2
-       UNION ALL SELECT 'year_month', strftime(date, '%Y-%m'), count(*) FROM r GROUP BY 2""", r=REVIEWS_SQL))
+       UNION ALL SELECT 'year_month', strftime(date, '%Y-%m'), count(*) FROM r GROUP BY 2
+       UNION ALL SELECT 'day', strftime(date, '%Y-%m-%d'), count(*) FROM r GROUP BY 2""", r=REVIEWS_SQL))
 def reviews_by_period(spark, sf):
     return X.reviews_by_period(reviews(spark, sf))
 
@@ -228,3 +229,24 @@ def cluster_texts(spark, sf):
 def topics(spark, sf):
     """LDA topics over the stop-word-free tokens (rows check)."""
     return X.topics(_ns_docs(spark, sf), "ns", k=5)
+
+
+@register("first_reviews", sql=with_views(
+    "SELECT * FROM r ORDER BY date, id LIMIT 5", r="SELECT id, author, date FROM (" + REVIEWS_SQL + ")"))
+def first_reviews(spark, sf):
+    return X.first_reviews(reviews(spark, sf).select("id", "author", "date"), 5)
+
+
+@register("last_reviews", sql=with_views(
+    "SELECT * FROM r ORDER BY date DESC, id LIMIT 5", r="SELECT id, author, date FROM (" + REVIEWS_SQL + ")"))
+def last_reviews(spark, sf):
+    return X.first_reviews(reviews(spark, sf).select("id", "author", "date"), 5, newest=True)
+
+
+@register("describe_numeric_by_category", sql=with_views(
+    "SELECT category, count(vote_count) AS count, avg(vote_count) AS mean, stddev_samp(vote_count) AS std, "
+    "min(vote_count)::DOUBLE AS min, quantile_cont(vote_count, 0.25) AS p25, quantile_cont(vote_count, 0.5) AS p50, "
+    "quantile_cont(vote_count, 0.75) AS p75, max(vote_count)::DOUBLE AS max FROM r GROUP BY category",
+    r=REVIEWS_SQL), dbl=_DESC)
+def describe_numeric_by_category(spark, sf):
+    return X.describe_by(reviews(spark, sf), "vote_count", "category")

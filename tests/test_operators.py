@@ -107,3 +107,39 @@ def test_epoch_nanos(spark):
     df = spark.createDataFrame([(ns,)], "d long")
     got = df.select(epoch_nanos_to_timestamp(F.col("d")).cast("timestamp_ntz").alias("t")).first().t
     assert got == dt.datetime(2020, 5, 17, 12, 0)
+
+
+def test_drop_features_checks_names(spark):
+    from revlens.operators.normalize import drop_features
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert drop_features(df, ["a"]).columns == ["b"]
+    with pytest.raises(ValueError):
+        drop_features(df, ["zz"])
+
+
+@pytest.mark.parametrize("ext", [".csv", ".tsv", ".json", ".parquet"])
+def test_file_roundtrip(spark, ext):
+    import os
+
+    from revlens.sources.files import load, save, shared_scratch
+    df = spark.createDataFrame([("1", 'a,b "q"', 3), ("2", None, 4)], "id string, t string, n int")
+    path = os.path.join(shared_scratch(spark, "io"), "x" + ext)
+    save(df, path)
+    back = load(spark, path, schema="id string, t string, n int" if ext in (".csv", ".tsv") else None)
+    got = sorted((r.id, r.t, int(r.n)) for r in back.collect())
+    assert got == [("1", 'a,b "q"', 3), ("2", None, 4)]
+
+
+def test_streaming_flags_match_batch(spark):
+    from revlens.plans.q_quality import flag_email
+    from revlens.plans.q_stream import stream_flags
+    s = {r.id: r.dqa_contains_email for r in stream_flags(spark, SF_SMALL).collect()}
+    b = {r.id: r.dqa_contains_email for r in flag_email(spark, SF_SMALL).collect()}
+    assert s == b
+
+
+def test_text_prep_columns(spark):
+    from revlens.operators.textprep import OUTPUT_COLUMNS, text_prep
+    d = doc_reviews(spark, SF_SMALL).select("id", "content")
+    out = text_prep(d)
+    assert all(c in out.columns for c in OUTPUT_COLUMNS) and out.count() == d.count()
