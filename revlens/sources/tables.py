@@ -34,10 +34,12 @@ def spread(df: DataFrame) -> DataFrame:
     many read tasks and is left alone.  Column pruning and filters still
     reach the scan below the repartition.
     """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
-    return df
+    try:
+        n = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Connect session: leave partitioning to Spark
+        return df
+    return df.repartition(n) if parts < n else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
