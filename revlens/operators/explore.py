@@ -69,7 +69,8 @@ def reviews_by_period(df: DataFrame, date_column: str = "date") -> DataFrame:
 def rating_trend(df: DataFrame, unit: str = "month", date_column: str = "date", rating: str = "rating") -> DataFrame:
     """Reviews and mean rating per period, with change from the previous
     period (window over the aggregated periods only)."""
-    g = (df.groupBy(F.date_trunc(unit, F.col(date_column)).alias("period"))
+    # date_trunc yields a zoned timestamp; back to wall-clock (NTZ) values
+    g = (df.groupBy(F.date_trunc(unit, F.col(date_column)).cast("timestamp_ntz").alias("period"))
            .agg(F.count(F.lit(1)).alias("reviews"), F.avg(rating).alias("avg_rating")))
     w = Window.orderBy("period")  # one row per period
     return g.select("period", "reviews", "avg_rating",
@@ -200,7 +201,7 @@ def top_apps_per_category(df: DataFrame, n: int = 3, key: str = "category", app:
 
 
 def active_users(df: DataFrame, unit: str = "day", date_column: str = "ts", who: str = "user_id") -> DataFrame:
-    return (df.groupBy(F.date_trunc(unit, F.col(date_column)).alias("period"))
+    return (df.groupBy(F.date_trunc(unit, F.col(date_column)).cast("timestamp_ntz").alias("period"))
               .agg(F.count_distinct(who).alias("active_users"), F.count(F.lit(1)).alias("events")))
 
 

@@ -54,7 +54,7 @@ def rating_trend(spark, sf):
 @register("histogram", sql=with_views(
     """SELECT bin, lo + bin * (hi - lo) / 10 AS lower, lo + (bin + 1) * (hi - lo) / 10 AS upper,
               lo + (bin + 0.5) * (hi - lo) / 10 AS midpoint, count,
-              sum(count) OVER (ORDER BY bin) AS cumulative, sum(count) OVER (ORDER BY bin) / n AS cumulative_share
+              (sum(count) OVER (ORDER BY bin))::BIGINT AS cumulative, sum(count) OVER (ORDER BY bin) / n AS cumulative_share
        FROM (SELECT least(floor(CASE WHEN (hi - lo) / 10 > 0 THEN (vote_count - lo) / ((hi - lo) / 10) ELSE 0 END), 9)::INT AS bin,
                     lo, hi, n, count(*) AS count
              FROM d, (SELECT min(vote_count)::DOUBLE AS lo, max(vote_count)::DOUBLE AS hi, count(vote_count) AS n FROM d) m
@@ -103,7 +103,7 @@ def all_modes(spark, sf):
 
 
 @register("pareto", sql=with_views(
-    """SELECT app_name, c AS count, sum(c) OVER w AS cumulative, sum(c) OVER w * 100.0 / sum(c) OVER () AS cumulative_percent
+    """SELECT app_name, c AS count, (sum(c) OVER w)::BIGINT AS cumulative, sum(c) OVER w * 100.0 / sum(c) OVER () AS cumulative_percent
        FROM (SELECT app_name, count(*) AS c FROM r WHERE app_name IS NOT NULL GROUP BY app_name)
        WINDOW w AS (ORDER BY c DESC, app_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", r=REVIEWS_SQL),
     dbl=["cumulative_percent"])
@@ -138,7 +138,7 @@ def rating_distribution(spark, sf):
 
 
 @register("top_apps_per_category", sql=with_views(
-    "SELECT category, app_name, reviews, rank FROM (SELECT category, app_name, count(*) AS reviews, "
+    "SELECT category, app_name, reviews, rank::INTEGER AS rank FROM (SELECT category, app_name, count(*) AS reviews, "
     "row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, app_name NULLS FIRST) AS rank "
     "FROM r GROUP BY category, app_name) WHERE rank <= 3", r=REVIEWS_SQL))
 def top_apps_per_category(spark, sf):
@@ -168,8 +168,8 @@ _GRID = [(i, i / 100, NormalDist().inv_cdf(i / 100)) for i in range(1, 100)]
 
 
 @register("qq_points", sql=with_views(
-    "SELECT g.i, g.p, g.theoretical, q.qs[g.i] AS sample FROM g, "
-    "(SELECT quantile_cont(vote_count, [" + ", ".join(repr(p) for _, p, _ in _GRID) + "]) AS qs FROM d) q",
+    "SELECT g.i, g.p::DOUBLE AS p, g.theoretical::DOUBLE AS theoretical, q.qs[g.i] AS sample FROM g, "
+    "(SELECT quantile_cont(vote_count, [" + ", ".join(repr(p) for _, p, _ in _GRID) + "]::DOUBLE[]) AS qs FROM d) q",
     d=DOC_REVIEWS_SQL,
     g="SELECT * FROM (VALUES " + ", ".join(f"({i}, {p!r}, {t!r})" for i, p, t in _GRID) + ") t(i, p, theoretical)"),
     dbl=["p", "theoretical", "sample"])
@@ -193,7 +193,7 @@ def ngram_frequency(spark, sf):
 
 
 @register("tfidf_top_terms", sql=with_views(
-    """SELECT category, term, tf, df, tfidf, rank FROM (
+    """SELECT category, term, tf, df, tfidf, rank::INTEGER AS rank FROM (
          SELECT tf.category, tf.term, tf.tf, dfr.df, tf.tf * ln(nd.n / dfr.df) AS tfidf,
                 row_number() OVER (PARTITION BY tf.category ORDER BY tf.tf * ln(nd.n / dfr.df) DESC, tf.term) AS rank
          FROM (SELECT category, term, count(*) AS tf FROM e GROUP BY 1, 2) tf

@@ -72,7 +72,7 @@ def fileset_overview(spark, sf):
 @register("staged_completeness", sql=with_views(
     "SELECT CASE WHEN grouping(category) = 1 THEN 'Total' ELSE category END AS category, count(*) AS rows, "
     "7 AS columns, count_if(id IS NOT NULL AND category IS NOT NULL AND lang IS NOT NULL AND content IS NOT NULL "
-    "AND vote_count IS NOT NULL AND rating IS NOT NULL AND toxic IS NOT NULL) AS complete, "
+    "AND vote_count IS NOT NULL AND rating IS NOT NULL AND toxic IS NOT NULL)::BIGINT AS complete, "
     "round(count_if(id IS NOT NULL AND category IS NOT NULL AND lang IS NOT NULL AND content IS NOT NULL "
     "AND vote_count IS NOT NULL AND rating IS NOT NULL AND toxic IS NOT NULL) * 100.0 / count(*), 2) AS percent "
     "FROM d GROUP BY ROLLUP (category)", d=DOC_REVIEWS_SQL), dbl=["percent"])

@@ -212,7 +212,7 @@ def dqa_flags_reviews(spark, sf):
 # ------------------------------------------------------------------ A5 / A6
 def _overview_sql(flags_sql, flags, **views):
     n = "(SELECT count(*) FROM f)"
-    parts = [f"SELECT '{c}' AS flag, count_if({c}) AS count, count_if({c}) * 100.0 / {n} AS percent FROM f"
+    parts = [f"SELECT '{c}' AS flag, count_if({c})::BIGINT AS count, count_if({c}) * 100.0 / {n} AS percent FROM f"
              for c in flags]
     return with_views("\nUNION ALL\n".join(parts), **views, f=flags_sql)
 
@@ -257,8 +257,8 @@ def clean_reviews(spark, sf):
 
 
 @register("clean_summary", sql=with_views(
-    f"SELECT count(*) AS original, count_if(NOT ({' OR '.join(_CLEAN_REV)})) AS cleaned, "
-    f"count_if({' OR '.join(_CLEAN_REV)}) AS removed FROM f",
+    f"SELECT count(*) AS original, count_if(NOT ({' OR '.join(_CLEAN_REV)}))::BIGINT AS cleaned, "
+    f"count_if({' OR '.join(_CLEAN_REV)})::BIGINT AS removed FROM f",
     r=REVIEWS_SQL, s=NOISY_REVIEWS_SQL,
     bs=_outlier_cte("s", "vote_sum"), bc=_outlier_cte("s", "vote_count"), f=_REV_FLAGS_SQL))
 def clean_summary(spark, sf):

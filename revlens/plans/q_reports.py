@@ -74,7 +74,7 @@ def describe_by_category(spark, sf):
 
 
 @register("counts_by_category", sql=with_views(
-    "SELECT category, reviews, sum(reviews) OVER w AS cumulative, percent, "
+    "SELECT category, reviews, (sum(reviews) OVER w)::BIGINT AS cumulative, percent, "
     "round(sum(percent) OVER w, 2) AS cumulative_percent "
     "FROM (SELECT *, round(reviews / sum(reviews) OVER (), 2) AS percent FROM b) "
     "WINDOW w AS (ORDER BY reviews DESC, category ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
@@ -124,7 +124,7 @@ def unique_values(spark, sf):
 
 
 @register("top_n_frequency", sql=with_views(
-    "SELECT app_name, c AS count, sum(c) OVER w AS cumulative, c / t AS proportion, sum(c) OVER w / t AS cumulative_proportion "
+    "SELECT app_name, c AS count, (sum(c) OVER w)::BIGINT AS cumulative, c / t AS proportion, sum(c) OVER w / t AS cumulative_proportion "
     "FROM (SELECT app_name, count(*) AS c, sum(count(*)) OVER () AS t FROM r GROUP BY app_name "
     "ORDER BY c DESC, app_name NULLS FIRST LIMIT 10) "
     "WINDOW w AS (ORDER BY c DESC, app_name NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
