@@ -4,8 +4,10 @@ each over its whole table with production parameters."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from llm.common import read
+from llm.mixing import MIX_SQL, POSITION_SQL
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +16,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and digest of the base spans, all spans."""
+    from llm.secrets import described, scan
+    rows = scan(read(spark, sf_dir, "documents").select("doc_id", "text"), out="found")
+    of = lambda rank: F.size(F.filter("found", lambda s: s["rank"] == rank)).cast("long")
+    base = described(F.filter("found", lambda s: s["rank"] < 3))
+    return rows.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
+                       F.sha2(base.cast("binary"), 256).alias("base_sha256"), described(F.col("found")).alias("spans"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    from llm.mixing import mix
+    return (mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+            .select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 6).alias("position")))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     from llm.warc import archive
@@ -26,5 +45,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op3_secret_scan": op3_secret_scan, "op5_mixing": op5_mixing,
+           "op2_token_counts": op2_token_counts, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
+ORACLES: dict[str, str] = {
+    "op5_mixing": MIX_SQL.format(docs="documents", cols="doc_id, cast(size AS BIGINT) AS size, source_size, round(target, 6) AS target, "
+                                 f"cast(size * copies AS BIGINT) AS taken, round({POSITION_SQL}, 6) AS position"),
+}
