@@ -28,21 +28,22 @@ from pyspark.sql import functions as F
 
 from llm.common import small_batches
 
-WORDS = re.compile(r"[^\W_]+")
+_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SENTENCE = re.compile(r"[.!?:\n]+")
 K1, B = 1.2, 0.75
-BLOCK = 8
-LONG_LIST = 0.5
-RETRIEVE = 0.5
+BLOCK = 4
+LONG_LIST = 64
 OVERLAP = 0.8
 SHINGLE = 5
 ITEMS_PER_SHARD = 20_000
 CELLS = 1 << 22
+ROUNDING = 1e-9
 MATCH = "item_id: long, score: double, overlap: double, question_overlap: double, answer_overlap: double"
 
 
-def words(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+def words(text: str | None) -> list[bytes]:
+    """Lower-cased words (UTF-8); all ASCII but letters and digits separates them."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_SPACE).split() if text else []
 
 
 def _grams(ids, k: int = SHINGLE) -> set:
@@ -57,7 +58,7 @@ class Index:
         items = sorted((i, t) for i, t in items if i is not None and words(t))
         toks = [words(t) for _, t in items]
         self.item_ids = [i for i, _ in items]
-        self.terms: dict[str, int] = {}
+        self.terms: dict[bytes, int] = {}
         ids = [[self.terms.setdefault(w, len(self.terms)) for w in ws] for ws in toks]
         n, nt = len(items), len(self.terms)
         self.segment = max((len(x) for x in ids), default=1) + SHINGLE
@@ -66,12 +67,17 @@ class Index:
             df[list(set(x))] += 1
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         mean = sum(map(len, ids)) / max(n, 1)
-        self.grams, self.item_terms, self.impacts = [], [], []
+        self.grams, self.item_terms, self.impacts, self.floors = [], [], [], []
         for (_, text), x in zip(items, ids, strict=True):
             t, tf = np.unique(x, return_counts=True)
             w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean))
             self.item_terms.append(t)
-            self.impacts.append(w / w.sum())
+            # an item that shares OVERLAP of its shingles lacks at most ``lost``
+            # words, so its score is at least that without its heaviest terms
+            lost = int((1 - OVERLAP) * len(_grams(x)) + ROUNDING)
+            floor = 1 - np.sort(w / w.sum())[::-1][:lost].sum()
+            self.floors.append(floor)
+            self.impacts.append(w / w.sum() / floor)
             last = [p for p in SENTENCE.split(text.rstrip(" .!?:\n\t")) if words(p)]
             cut = len(x) - len(words(last[-1])) if len(last) > 1 else len(x)
             self.grams.append((_grams(x), _grams(x[:cut]), _grams(x[cut:])))
@@ -84,7 +90,7 @@ class Index:
             np.maximum.at(top, at, np.concatenate(self.impacts))
             t, b = key // self.blocks, key % self.blocks
             lists = np.bincount(t, minlength=nt)
-            long = lists > max(LONG_LIST * self.blocks, 1)
+            long = lists > LONG_LIST
             self.list_max = np.zeros(nt)  # of the long lists; 0 for the others
             np.maximum.at(self.list_max, t[long[t]], top[long[t]])
             short = ~long[t]
@@ -112,7 +118,7 @@ class Index:
             bound += np.bincount(s, self.list_max[t], hi - lo)[:, None]
             both = bound.copy()
             both[:-1] += bound[1:] * follows[lo:hi - 1, None]
-            rows, blocks = np.nonzero(both[:min(step, hi - lo)] >= RETRIEVE)
+            rows, blocks = np.nonzero(both[:min(step, hi - lo)] >= 1 - ROUNDING)
             cuts = np.flatnonzero(np.diff(rows)) + 1
             for r, b in zip(np.split(rows, cuts), np.split(blocks, cuts), strict=True):
                 if len(r):
@@ -148,7 +154,7 @@ class Index:
             for b in blocks:
                 for i in range(b * BLOCK, min((b + 1) * BLOCK, len(self.item_ids))):
                     score = float(self.impacts[i][have[self.item_terms[i]]].sum())
-                    if score < RETRIEVE:
+                    if score < 1 - ROUNDING:
                         continue
                     whole, question, answer = self.grams[i]
                     k = len(next(iter(whole)))
@@ -159,9 +165,9 @@ class Index:
                     o = len(whole & grams[k]) / len(whole)
                     q = self._part(question, ids, grams)
                     a = self._part(answer, ids, grams)
-                    if o >= OVERLAP or (answer and q >= OVERLAP and a >= OVERLAP):
+                    if o >= OVERLAP:
                         item, row = self.item_ids[i], out[owner[p]]
-                        new = (score, o, q, a)
+                        new = (score * self.floors[i], o, q, a)
                         if item not in row or row[item][1:] + row[item][:1] < new[1:] + new[:1]:
                             row[item] = new
         return out
