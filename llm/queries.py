@@ -45,6 +45,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 90 % of their three-word shingles."""
+    from llm.ngram_join import join
+    return join(read(spark, sf_dir, "documents"), k=3, percent=90).drop("h")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     from llm.warc import archive
@@ -57,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op3_secret_scan": op3_secret_scan, "op5_mixing": op5_mixing,
+QUERIES = {"op8_ngram_jaccard": op8_ngram_jaccard, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op3_secret_scan": op3_secret_scan, "op5_mixing": op5_mixing,
            "op2_token_counts": op2_token_counts, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {
     "op5_mixing": MIX_SQL.format(docs="documents", cols="doc_id, cast(size AS BIGINT) AS size, source_size, round(target, 6) AS target, "
