@@ -26,6 +26,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(base.cast("binary"), 256).alias("base_sha256"), described(F.col("found")).alias("spans"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95."""
+    from llm.embed_dedup import near_duplicates
+    return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     from llm.mixing import mix
@@ -63,7 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_ngram_jaccard": op8_ngram_jaccard, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op3_secret_scan": op3_secret_scan, "op5_mixing": op5_mixing,
+QUERIES = {"op4_embedding_dedup": op4_embedding_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op3_secret_scan": op3_secret_scan, "op5_mixing": op5_mixing,
            "op2_token_counts": op2_token_counts, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {
     "op5_mixing": MIX_SQL.format(docs="documents", cols="doc_id, cast(size AS BIGINT) AS size, source_size, round(target, 6) AS target, "
