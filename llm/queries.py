@@ -10,6 +10,12 @@ from llm.common import read
 from llm.mixing import MIX_SQL, POSITION_SQL
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from llm.html_extract import main_text
+    return main_text(read(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy token counts of every document."""
     from llm.tokens import token_counts
@@ -69,7 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_embedding_dedup": op4_embedding_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op3_secret_scan": op3_secret_scan, "op5_mixing": op5_mixing,
+QUERIES = {"op1_html_text": op1_html_text, "op4_embedding_dedup": op4_embedding_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op3_secret_scan": op3_secret_scan, "op5_mixing": op5_mixing,
            "op2_token_counts": op2_token_counts, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {
     "op5_mixing": MIX_SQL.format(docs="documents", cols="doc_id, cast(size AS BIGINT) AS size, source_size, round(target, 6) AS target, "
