@@ -34,9 +34,10 @@ from llm.common import as_long, mix64, shingles, small_batches, stored, words_of
 from llm.components import components
 
 GROUPS = 64
-FREQ_GROUPS = 1 << 16
+FREQ_GROUPS = 1 << 18
 BLOCK_ROWS = 256
 LEAF = 16
+SMALL = 48
 SIG = "doc_id long, h long, n long, f1 long, f2 long, keys array<long>, vec binary"
 
 
@@ -57,7 +58,7 @@ def _group_counts(docs: DataFrame, k: int) -> np.ndarray:
         for df in batches:
             got = [s for s in _sets(df["text"], k) if len(s)]
             if got:
-                c += np.bincount((np.concatenate(got) >> np.uint64(48)).astype(np.int64), minlength=FREQ_GROUPS)
+                c += np.bincount((np.concatenate(got) >> np.uint64(46)).astype(np.int64), minlength=FREQ_GROUPS)
         at = np.flatnonzero(c)
         yield pd.DataFrame({"g": at, "c": c[at]})
 
@@ -78,12 +79,12 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for df in batches:
             n, f1, f2, keys, vecs = [], [], [], [], []
             for s in _sets(df["text"], k):
-                order = np.lexsort((s, counts[(s >> np.uint64(48)).astype(np.int64)]))
+                order = np.lexsort((s, counts[(s >> np.uint64(46)).astype(np.int64)]))
                 n.append(len(s))
                 f1.append(mix64(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64))
                 f2.append(mix64(s ^ np.uint64(0xABCDEF0123)).sum(dtype=np.uint64))
                 keys.append(as_long(s[order[:prefix_len(len(s), percent)]]) if len(s) else np.empty(0, np.int64))
-                vecs.append(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                vecs.append(_point_bytes(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)))
             yield pd.DataFrame({"doc_id": df["doc_id"], "h": df["h"], "n": n, "f1": as_long(np.array(f1, np.uint64)),
                                 "f2": as_long(np.array(f2, np.uint64)), "keys": keys, "vec": vecs})
 
@@ -183,68 +184,97 @@ def bound_ok(p, q, n, m, percent: int) -> np.ndarray:
         ((100 + percent) * np.minimum(p, q).sum(-1, dtype=np.int64) >= percent * (n + m))
 
 
+def _point_bytes(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest of 1, 2 and 4 bytes that holds them all."""
+    top = counts.max()
+    return counts.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+
+
 def _points(vecs) -> np.ndarray:
-    return np.frombuffer(b"".join(vecs), "<u4").reshape(-1, GROUPS).astype(np.int64)
-
-
-def _tile_pairs(df: pd.DataFrame, percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one unit (a tile's two blocks): positions in ``df``."""
-    lab, band, blk = (df[c].to_numpy() for c in ("label", "own", "blk"))
-    if (lab == lab[0]).all():
-        return np.empty(0, int), np.empty(0, int)
-    i, j = RTree(_points(df["vec"])).pairs(percent)
-    first = df.iloc[0]
-    mine = (lab[i] != lab[j]) & (np.maximum(band[i], band[j]) == first["band"]) & \
-        (np.minimum(blk[i], blk[j]) == first["bi"]) & (np.maximum(blk[i], blk[j]) == first["bj"])
-    i, j = i[mine], j[mine]
-    if not every and len(i) > 1:  # one pair for two components
-        a, b = np.minimum(lab[i], lab[j]), np.maximum(lab[i], lab[j])
-        _, at = np.unique(np.stack([a, b]), axis=1, return_index=True)
-        i, j = i[at], j[at]
-    return i, j
+    vecs = list(vecs)
+    out = np.empty((len(vecs), GROUPS), np.int64)
+    size = np.array([len(v) for v in vecs])
+    for w in np.unique(size):
+        at = np.flatnonzero(size == w)
+        out[at] = np.frombuffer(b"".join(vecs[i] for i in at), f"<u{w // GROUPS}").reshape(-1, GROUPS)
+    return out
+
+
+def _unit_pairs(points: np.ndarray, start: np.ndarray, end: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (i, j, unit) within the units [start, end) of rows:
+    units of up to SMALL rows are single leaves, scanned together; larger
+    ones get an R-tree each."""
+    n = points.sum(1)
+    size = end - start
+    unit = np.repeat(np.arange(len(size)), size)
+    stop = end[unit]
+    out = []
+    small = size[unit] <= SMALL
+    for o in range(1, int(size[size <= SMALL].max(initial=0))):
+        i = np.flatnonzero(small & (np.arange(len(unit)) + o < stop))
+        i = i[100 * np.minimum(n[i], n[i + o]) >= percent * np.maximum(n[i], n[i + o])]
+        i = i[bound_ok(points[i], points[i + o], n[i], n[i + o], percent)]
+        out.append((i, i + o, unit[i]))
+    for u in np.flatnonzero(size > SMALL):
+        i, j = RTree(points[start[u]:end[u]]).pairs(percent)
+        out.append((start[u] + i, start[u] + j, np.full(len(i), u)))
+    return tuple(np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in range(3))
 
 
 def _candidates(tiles: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Distinct pairs (a, b) of classes of different components that share a
-    tile and pass the bounds.  ``tiles`` has key, cid, n, label, vec."""
+    """Pairs (a, b) of classes of different components that share a tile and
+    pass the bounds.  Unless ``every``, a unit gives one pair for two
+    components, and its tile is named in a row (null, null, key) if that left
+    any out.  ``tiles`` has key, nb (blocks), cid, n, label, vec."""
     width = float(np.log(100 / percent))
-    counts = tiles.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    counts = counts.where("lo < hi").withColumn("nb", F.ceil(F.col("c") / BLOCK_ROWS)).select("key", "nb")
-    rows = (tiles.join(counts, "key").withColumn("own", F.floor(F.log("n") / width))
-            .withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    own = F.floor(F.log("n") / width)
+    rows = (tiles.withColumn("own", F.when(F.col("nb") > 1, own).otherwise(0))  # large tiles: by bands of size, too
+            .withColumn("band", F.explode(F.when(F.col("nb") > 1, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array(F.col("own")))))
             .withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
             .withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")))
     rows = (rows.repartition("key", "band", "bi", "bj").sortWithinPartitions("key", "band", "bi", "bj")
-            .select("key", "band", "bi", "bj", "blk", "own", "cid", "label", "vec"))
+            .select("key", "band", F.col("bi").cast("int"), F.col("bj").cast("int"), F.col("blk").cast("int"), F.col("own").cast("int"), "cid", "label", "vec"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for df in batches:
             df = df if rest is None else pd.concat([rest, df], ignore_index=True)
-            unit = df[["key", "band", "bi", "bj"]].to_numpy()
-            cuts = np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1
-            last = int(cuts[-1]) if len(cuts) else 0
-            yield _runs(df, cuts[:-1], last)
+            edge = np.zeros(max(len(df) - 1, 0), bool)
+            for c in ("key", "band", "bi", "bj"):
+                v = df[c].to_numpy()
+                edge |= v[1:] != v[:-1]
+            cuts = np.concatenate(([0], np.flatnonzero(edge) + 1))
+            last = int(cuts[-1])
+            if last:
+                yield units(df.iloc[:last], cuts)
             rest = df.iloc[last:].reset_index(drop=True)
-        if rest is not None:
-            yield _runs(rest, np.empty(0, int), len(rest))
-
-    def _runs(df, cuts, end):
-        a, b, cid = [], [], df["cid"].to_numpy()
-        if end:
-            bounds = np.concatenate(([0], cuts, [end])).astype(int)
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                if e - s > 1:
-                    i, j = _tile_pairs(df.iloc[s:e], percent, every)
-                    a.append(cid[s:e][i])
-                    b.append(cid[s:e][j])
-        a = np.concatenate(a) if a else np.empty(0, np.int64)
-        b = np.concatenate(b) if b else np.empty(0, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    tiles.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    return rows.mapInPandas(run, "a long, b long").distinct()
+        if rest is not None and len(rest):
+            yield units(rest, np.array([0, len(rest)]))
+
+    def units(df, cuts):
+        start, end = cuts[:-1], cuts[1:]
+        i, j, u = _unit_pairs(_points(df["vec"]), start, end, percent)
+        lab, band, blk, cid, key = (df[c].to_numpy() for c in ("label", "own", "blk", "cid", "key"))
+        at = start[u]
+        mine = (lab[i] != lab[j]) & (np.maximum(band[i], band[j]) == df["band"].to_numpy()[at]) & \
+            (np.minimum(blk[i], blk[j]) == df["bi"].to_numpy()[at]) & (np.maximum(blk[i], blk[j]) == df["bj"].to_numpy()[at])
+        i, j, u = i[mine], j[mine], u[mine]
+        a, b = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
+        pairs = pd.DataFrame({"a": a, "b": b, "key": key[start[u]], "u": u,
+                              "x": np.minimum(lab[i], lab[j]), "y": np.maximum(lab[i], lab[j])})
+        if every:
+            return _out(pairs, pairs.iloc[:0])
+        one = pairs.sort_values(["u", "x", "y", "a", "b"]).drop_duplicates(["u", "x", "y"])
+        left = pairs.loc[~pairs.index.isin(one.index)].drop_duplicates("key")
+        return _out(one, left)
+
+    def _out(pairs, left):
+        out = pd.concat([pairs[["a", "b"]].drop_duplicates(), left[["key"]]], ignore_index=True)
+        return out.reindex(columns=["a", "b", "key"]).astype("Int64")
+
+    tiles.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
+    return rows.mapInPandas(run, "a long, b long, key long").distinct()
 
 
 # -- the join ---------------------------------------------------------------
@@ -266,29 +296,31 @@ def linked_classes(docs: DataFrame, sig: DataFrame, k: int, percent: int) -> Dat
         .select("f1", "f2", "low", "n", "keys", "vec", F.col("one.doc_id").alias("rep"), F.col("one.h").alias("rep_h"),
                 F.monotonically_increasing_id().alias("cid")), "classes")
     rows = classes.select("cid", "n", F.explode("keys").alias("key"))
-    # tiles with several classes, and their leader: the smallest set
-    tiles = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "cid")).alias("lead")).where("c > 1"))
-    tiles = stored(rows.join(tiles, "key").select("key", "cid", "n", "lead"), "tiles")
-    star = (tiles.where(f"cid != lead.cid and 100 * lead.n >= {percent} * n")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    tiles = stored(rows.join(shared, "key"), "tiles")
+    # a tile's leader is its class with most partners over all tiles: among
+    # near copies the text that the others derive from
+    weight = tiles.groupBy("cid").agg(F.sum(F.col("c") - 1).alias("w"))
+    lead = tiles.join(weight, "cid").groupBy("key").agg(F.max(F.struct("w", "cid", "n")).alias("lead"))
+    star = (tiles.join(lead, "key").where("cid != lead.cid")
+            .where(f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
             .groupBy("cid", F.col("lead.cid").alias("a")).count()
             .groupBy("cid").agg(F.max(F.struct("count", "a")).alias("best"))
             .select(F.col("best.a").alias("a"), F.col("cid").alias("b")))
-    vecs = classes.select("cid", "n", "vec")
-    star = stored(_bounded(star, vecs, percent), "star")
-    points = tiles.select("key", "cid", "n")
-    done, links = star, None
+    vecs = classes.select("cid", "vec")
+    todo = done = stored(_bounded(star, vecs, percent).distinct(), "star")
+    points, links = tiles.select("key", "cid", "n"), None
     for step in ("star", "one", "every"):
-        if step == "star":
-            todo = star
-        else:
+        if step != "star":
             # rows of tiles with more than one component, with their points
             mixed = points.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-            ends = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-            points = stored(mixed.join(ends.select("key"), "key", "left_semi").select("key", "cid", "n", "label"), "mixed")
-            todo = _candidates(points.join(vecs.select("cid", "vec"), "cid"), percent, step == "every")
-            points = points.select("key", "cid", "n")
-            todo = stored(todo.join(done, ["a", "b"], "left_anti"), "pairs")
-            done = done.union(todo.select("a", "b"))
+            ends = (mixed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+                    .where("lo < hi").select("key", F.ceil(F.col("c") / BLOCK_ROWS).alias("nb")))
+            found = stored(_candidates(mixed.join(ends, "key").join(vecs, "cid"), percent, step == "every"), "pairs")
+            again = found.where("a is null").select("key").distinct()
+            points = points.join(again, "key", "left_semi")
+            todo = stored(found.where("a is not null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+            done = done.union(todo)
         cids = todo.select(F.col("a").alias("cid")).union(todo.select(F.col("b").alias("cid"))).distinct()
         found = stored(_verified(todo, stored(_exact_sets(docs, classes, cids, k), "sets"), percent), "links")
         links = found if links is None else links.union(found)
