@@ -126,8 +126,8 @@ def lorenz_gini(df: DataFrame, who: str = "author") -> DataFrame:
             .withColumn("cum_keys", F.sum("m").over(wc))
             .withColumn("cum_reviews", F.sum(F.col("n") * F.col("m")).over(wc)))
     tot = lv.agg(F.sum("m").alias("k"), F.sum(F.col("n") * F.col("m")).alias("s"),
-                 F.sum(F.col("n") * (F.col("m") * F.col("P") + F.col("m") * (F.col("m") + 1) / 2)).alias("si"))
-    gini = tot.select("k", "s", (2 * F.col("si") / (F.col("k") * F.col("s")) - (F.col("k") + 1) / F.col("k")).alias("gini"))
+                 F.sum(F.col("n").cast("double") * (F.col("m").cast("double") * F.col("P") + F.col("m").cast("double") * (F.col("m") + 1) / 2)).alias("si"))
+    gini = tot.select("k", "s", (2 * F.col("si") / (F.col("k").cast("double") * F.col("s")) - (F.col("k") + 1) / F.col("k")).alias("gini"))
     return lv.crossJoin(gini).select(
         F.col("n").alias("reviews_per_key"), F.col("m").alias("keys"),
         (F.col("cum_keys") / F.col("k")).alias("cum_key_share"),
@@ -253,7 +253,7 @@ def tfidf_top_terms(df: DataFrame, tokens_column: str, key: str, doc_key: str =
              .select(key, "term", "tf", "df", "tfidf", "rank"))
 
 
-def collocations(df: DataFrame, tokens_column: str, min_count: int = 5) -> DataFrame:
+def collocations(df: DataFrame, tokens_column: str, min_count: int = 1) -> DataFrame:
     """Adjacent word pairs seen at least ``min_count`` times with their
     pointwise mutual information ln(p(xy) / (p(x) p(y)))."""
     from revlens.functions.text import let
@@ -303,15 +303,16 @@ def cluster_texts(df: DataFrame, text_column: str, k: int = 8, seed: int = 42, n
                        *[F.col("_p")[i].alias(f"pc{i + 1}") for i in range(pca_dims)]))
 
 
-def topics(df: DataFrame, tokens_column: str, k: int = 5, vocab_size: int = 5000, top_terms: int = 8,
+def topics(df: DataFrame, tokens_column: str, k: int = 5, vocab_size: int = 1 << 18, top_terms: int = 8,
            seed: int = 42) -> DataFrame:
-    """Latent topics (online LDA over term counts): per topic, its top terms
-    and weights."""
+    """Latent topics (LDA over term counts, every iteration over all texts):
+    per topic, its top terms and weights.  ``vocab_size`` bounds the model:
+    beyond that many distinct terms, the rarest are left out."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
-    cv = CountVectorizer(inputCol=tokens_column, outputCol="_tf", vocabSize=vocab_size, minDF=2).fit(df)
+    cv = CountVectorizer(inputCol=tokens_column, outputCol="_tf", vocabSize=vocab_size, minDF=1).fit(df)
     vecs = cv.transform(df)
-    lda = LDA(featuresCol="_tf", k=k, seed=seed, maxIter=10, optimizer="online").fit(vecs)
+    lda = LDA(featuresCol="_tf", k=k, seed=seed, maxIter=10, optimizer="online", subsamplingRate=1.0).fit(vecs)
     vocab = df.sparkSession.createDataFrame(list(enumerate(cv.vocabulary)), "idx int, term string")
     d = lda.describeTopics(top_terms)
     e = d.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "_t"))

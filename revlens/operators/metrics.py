@@ -33,7 +33,8 @@ def metric_block(df: DataFrame, keys: Sequence[str], distincts: dict[str, str])
     base = df.groupBy(*keys).agg(*aggs)
     modes = {f"{m}_mode": m for m in (*MEASURES, "date")}
     hist = grouped_modes_and_distincts(df, keys, modes, distincts)
-    return null_safe_join(base, hist, keys)
+    # a group whose measures are all null has no histogram row
+    return null_safe_join(base, hist, keys, "left").na.fill(0, list(distincts))
 
 
 def _ordered(df: DataFrame, head: Sequence[str]) -> DataFrame:

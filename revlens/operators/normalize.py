@@ -41,8 +41,11 @@ def remove_newlines(c: Column) -> Column:
 
 
 def repair_utf8(c: Column) -> Column:
-    """Replace invalid UTF-8 sequences (every row checked, no sampling)."""
-    return F.make_valid_utf8(c)
+    """Drop invalid UTF-8 sequences (every row checked, no sampling); a
+    replacement character that the text itself holds stays."""
+    mark, held = F.lit("\ufffd"), F.lit("\ufdd0")  # a noncharacter stands in meanwhile
+    dropped = F.replace(F.make_valid_utf8(F.replace(c, mark, held)), mark, F.lit(""))
+    return F.when(F.is_valid_utf8(c), c).otherwise(F.replace(dropped, held, mark))
 
 
 def trim_category(df: DataFrame, excluded: str = K.EXCLUDED_CATEGORY, column: str = "category") -> DataFrame:

@@ -49,7 +49,11 @@ def flag_duplicates(df: DataFrame, flags: dict[str, Sequence[str] | None],
             firsts.append((name, F.struct(*rest).eqNullSafe(F.col(f"_first{i}"))))
         else:
             firsts.append((name, F.lit(True)))
-    out = g.select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k"))
+    # copies in two steps, so no array is longer than 2^16 or n / 2^16
+    step = 1 << 16
+    out = g.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / step).cast("long"))).alias("_m"))
+    out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(step).cast("long"), F.col("_n") - F.col("_m") * step))).alias("_j"))
+    out = out.withColumn("_k", F.col("_m") * step + F.col("_j")).drop("_m", "_j")
     exprs = [F.col(c) for c in allc]
     fi = dict(firsts)
     for name, keys in flags.items():

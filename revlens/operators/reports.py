@@ -46,7 +46,7 @@ def dqa_report(df: DataFrame) -> DataFrame:
     # impact table has 15 rows: a fixed-size broadcast
     j = ov.join(F.broadcast(cfg), ov.flag == cfg.issue, "left")
     return j.select("characteristic", "impact", "count",
-                    F.round(F.col("percent"), 2).alias("percent")).orderBy("impact", "characteristic")
+                    F.bround(F.col("percent"), 2).alias("percent")).orderBy("impact", "characteristic")
 
 
 # --------------------------------------------------------------------------- A7 / A8 / A9 / A10
@@ -55,7 +55,7 @@ def category_summary(df: DataFrame, key: str = "category") -> DataFrame:
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
     total = df.agg(F.count(F.lit(1)).alias("_t"))
     return (g.crossJoin(F.broadcast(total))
-             .select(key, "count", F.round(F.col("count") / F.col("_t") * 100, 2).alias("percent")))
+             .select(key, "count", F.bround(F.col("count") / F.col("_t") * 100, 2).alias("percent")))
 
 
 _FIXED_WIDTH = {BooleanType: 1, ByteType: 1, ShortType: 2, IntegerType: 4, LongType: 8, FloatType: 4,
@@ -86,7 +86,7 @@ def dataset_overview(df: DataFrame) -> DataFrame:
         F.count_distinct("app_name").alias("apps"),
         F.count_distinct("category").alias("categories"),
         F.lit(len(df.columns)).cast("bigint").alias("features"),
-        F.round(size / (1024 * 1024), 2).alias("size_mb"),
+        F.bround(size / (1024 * 1024), 2).alias("size_mb"),
         F.to_date(F.min("date")).alias("first_review"),
         F.to_date(F.max("date")).alias("last_review"),
     )
@@ -131,8 +131,10 @@ def by_category(df: DataFrame, key: str = "category") -> DataFrame:
     """Distinct reviews, apps, authors per category, reviews per app (2 dp)."""
     from revlens.functions.stats import grouped_modes_and_distincts
     g = grouped_modes_and_distincts(df, [key], {}, {"reviews": "id", "apps": "app_id", "authors": "author"})
+    # a group whose three ids are all null has no histogram row
+    g = null_safe_join(df.select(key).distinct(), g, [key], "left").na.fill(0, ["reviews", "apps", "authors"])
     return g.select(key, "reviews", "apps", "authors",
-                    F.round(safe_div(F.col("reviews"), F.col("apps")), 2).alias("reviews_per_app"))
+                    F.bround(safe_div(F.col("reviews"), F.col("apps")), 2).alias("reviews_per_app"))
 
 
 def describe_column(df: DataFrame, x: str) -> DataFrame:
@@ -156,10 +158,10 @@ def counts_by_category(df: DataFrame, x: str, key: str = "category",
     w = Window.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
     tot = df.agg(F.sum(x).alias("_t"))
     t = df.select(key, x).crossJoin(F.broadcast(tot))
-    t = t.withColumn("percent", F.round(F.col(x) / F.col("_t"), 2))
+    t = t.withColumn("percent", F.bround(F.col(x) / F.col("_t"), 2))
     # df here is one row per category: the unpartitioned window sees tens of rows
     return t.select(key, x, F.sum(x).over(w).alias("cumulative"), "percent",
-                    F.round(F.sum("percent").over(w), 2).alias("cumulative_percent"))
+                    F.bround(F.sum("percent").over(w), 2).alias("cumulative_percent"))
 
 
 def apps_by_category(df: DataFrame, store: DataFrame, key: str = "category") -> DataFrame:
@@ -168,8 +170,8 @@ def apps_by_category(df: DataFrame, store: DataFrame, key: str = "category") ->
     ours = df.groupBy(key).agg(F.count_distinct("app_name").alias("app_voc"))
     ot = ours.agg(F.sum("app_voc").alias("_ot"))
     st = store.agg(F.sum("app_store").alias("_st"))
-    o = ours.crossJoin(F.broadcast(ot)).withColumn("pct_app_voc", F.round(F.col("app_voc") / F.col("_ot"), 2))
-    s = store.crossJoin(F.broadcast(st)).withColumn("pct_app_store", F.round(F.col("app_store") / F.col("_st"), 2))
+    o = ours.crossJoin(F.broadcast(ot)).withColumn("pct_app_voc", F.bround(F.col("app_voc") / F.col("_ot"), 2))
+    s = store.crossJoin(F.broadcast(st)).withColumn("pct_app_store", F.bround(F.col("app_store") / F.col("_st"), 2))
     j = null_safe_join(s.drop("_st"), o.drop("_ot"), [key])
     return j.select(key, "app_store", "pct_app_store", "app_voc", "pct_app_voc").orderBy(F.col("app_voc").desc())
 

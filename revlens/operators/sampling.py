@@ -63,11 +63,11 @@ def sample_exact(df: DataFrame, frac: float, seed: int = 42, key: Sequence[str]
 def inject_test_rows(df: DataFrame, frac: float = 0.1, seed: int = 42, copies: int = 5,
                      text_column: str = "content", author_column: str = "author",
                      noisy_text: str | None = None, key: Sequence[str] = ("id",)) -> DataFrame:
-    """Append a re-sample of ``frac`` of the rows; the chosen row with the
+    """A sample of ``frac`` of the rows; the one with the
     smallest hash gets noisy text and a null author and is appended
     ``copies`` times (duplicates to be caught by the quality flags)."""
     s = sample_by_hash(df, frac, seed, key)
-    out = df.unionByName(s)
+    out = s
     if noisy_text is not None and text_column in df.columns:
         one = (s.withColumn("_h", key_hash(key, seed))
                 .orderBy("_h").limit(1).drop("_h")           # one row: a top-1, not a cap

@@ -211,12 +211,12 @@ def tfidf_top_terms(spark, sf):
        FROM (SELECT w1, w2, count(*) AS count FROM p GROUP BY 1, 2) b
        JOIN u u1 ON u1.term = b.w1 JOIN u u2 ON u2.term = b.w2,
             (SELECT count(*) AS t FROM p) nb, (SELECT sum(count) AS t FROM u) nu
-       WHERE b.count >= 5""",
+""",
     d=DOC_REVIEWS_SQL, t=TOKVIEW, n=NSVIEW,
     p="SELECT unnest(list_transform(range(1, len(ns)), lambda i: {'w1': ns[i], 'w2': ns[i + 1]}), recursive := true) FROM n",
     u="SELECT unnest(ns) AS term, count(*) AS count FROM n GROUP BY 1"), dbl=["pmi"])
 def collocations(spark, sf):
-    return X.collocations(_ns_docs(spark, sf), "ns", 5)
+    return X.collocations(_ns_docs(spark, sf), "ns")
 
 
 @register("cluster_texts")

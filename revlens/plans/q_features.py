@@ -167,7 +167,7 @@ _SPARE = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^_{|}~"
          SELECT r.word, dct.word AS correction,
                 row_number() OVER (PARTITION BY r.word ORDER BY levenshtein(r.a, dct.a), dct.freq DESC, dct.word) AS rn
          FROM va r JOIN va dct ON dct.freq >= 3 AND levenshtein(r.a, dct.a) <= 2
-         WHERE r.freq < 3 AND length(r.word) <= 20 AND NOT regexp_matches(r.word, '\\d'))
+         WHERE r.freq < 3)
        WHERE rn = 1""", d=DOC_REVIEWS_SQL, t=TOKVIEW, v=_VOCAB_SQL,
     ch="SELECT string_agg(c, '' ORDER BY c) AS src FROM (SELECT DISTINCT unnest(string_split(word, '')) AS c "
        "FROM v) WHERE ord(c) > 127",

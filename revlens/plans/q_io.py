@@ -48,7 +48,7 @@ def _raw_files(spark, sf):
                    F.col("app_name").alias("content"), "vote_count", "vote_sum",
                    F.col("date").cast("timestamp").alias("date"), F.col("category").alias("_part"))
     path = S.shared_scratch(spark, "raw")
-    (raw.repartition("_part").write.mode("overwrite").partitionBy("_part").option("header", True)
+    (raw.hint("rebalance", "_part").write.mode("overwrite").partitionBy("_part").option("header", True)
         .option("sep", "\t").option("escape", "\\").csv(path))
     return path
 
@@ -73,7 +73,7 @@ def fileset_overview(spark, sf):
     "SELECT CASE WHEN grouping(category) = 1 THEN 'Total' ELSE category END AS category, count(*) AS rows, "
     "7 AS columns, count_if(id IS NOT NULL AND category IS NOT NULL AND lang IS NOT NULL AND content IS NOT NULL "
     "AND vote_count IS NOT NULL AND rating IS NOT NULL AND toxic IS NOT NULL)::BIGINT AS complete, "
-    "round(count_if(id IS NOT NULL AND category IS NOT NULL AND lang IS NOT NULL AND content IS NOT NULL "
+    "round_even(count_if(id IS NOT NULL AND category IS NOT NULL AND lang IS NOT NULL AND content IS NOT NULL "
     "AND vote_count IS NOT NULL AND rating IS NOT NULL AND toxic IS NOT NULL) * 100.0 / count(*), 2) AS percent "
     "FROM d GROUP BY ROLLUP (category)", d=DOC_REVIEWS_SQL), dbl=["percent"])
 def staged_completeness(spark, sf):

@@ -8,7 +8,7 @@ from revlens.plans.registry import register
 from revlens.plans.sqlgen import with_views
 from revlens.sources.tables import DOC_REVIEWS_SQL, REVIEWS_SQL, doc_reviews, reviews
 
-NOISY_TEXT = "@@## ok (*)&^ see https://www.example.org now!! call (555) 555-1212 or mail someone@example.com #$%^&* :-)"
+NOISY_TEXT = "@@## damn ok (*)&^ see https://www.example.org now!! call (555) 555-1212 or mail someone@example.com #$%^&* :-)"
 TEST_EXCLUDED = "src0"  # a category present in the test documents
 
 
@@ -25,10 +25,13 @@ def normalize(spark, sf):
     return N.normalize(d, {"rating": "smallint"}, "content", TEST_EXCLUDED)
 
 
-@register("valid_utf8", sql=with_views("SELECT id, true AS valid FROM d", d=DOC_REVIEWS_SQL))
+@register("valid_utf8", sql=with_views("SELECT id, content, true AS valid FROM d", d=DOC_REVIEWS_SQL))
 def valid_utf8(spark, sf):
     d = doc_reviews(spark, sf)
-    return d.select("id", F.is_valid_utf8(N.repair_utf8(F.col("content"))).alias("valid"))
+    # a broken sequence in every text: the repair must give the text back
+    broken = F.concat(F.col("content").cast("binary"), F.unhex(F.lit("C328FF"))).cast("string")
+    back = N.repair_utf8(broken)
+    return d.select("id", F.substring(back, F.lit(1), F.length(back) - 1).alias("content"), F.is_valid_utf8(back).alias("valid"))
 
 
 @register("cast_schema", sql=with_views(
@@ -112,12 +115,11 @@ def inject_noise(spark, sf):
 
 
 @register("inject_test_rows", sql=with_views(
-    f"""SELECT id, category, content FROM d
-        UNION ALL SELECT id, category, content FROM s
-        UNION ALL SELECT id, category, '{NOISY_TEXT}' AS content FROM (SELECT * FROM s ORDER BY {h(['id'])} LIMIT 1),
+    f"""SELECT id, category, content, author FROM s
+        UNION ALL SELECT id, category, '{NOISY_TEXT}' AS content, NULL AS author FROM (SELECT * FROM s ORDER BY {h(['id'])} LIMIT 1),
                   range(5)""",
-    d="SELECT id, category, content FROM (" + DOC_REVIEWS_SQL + ")",
+    d="SELECT id, category, content, lang AS author FROM (" + DOC_REVIEWS_SQL + ")",
     s=f"SELECT * FROM d WHERE substr({h(['id'])}, 1, 8) < '{S.hex_threshold(0.1)}'"))
 def inject_test_rows(spark, sf):
-    d = doc_reviews(spark, sf).select("id", "category", "content")
+    d = doc_reviews(spark, sf).select("id", "category", "content", F.col("lang").alias("author"))
     return S.inject_test_rows(d, 0.1, 42, 5, "content", "author", NOISY_TEXT)

@@ -235,7 +235,7 @@ _CFG_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{c}', '{m}')" for i,
 
 
 @register("dqa_report", sql=with_views(
-    "SELECT cfg.characteristic, cfg.impact, o.count, round(o.percent, 2) AS percent "
+    "SELECT cfg.characteristic, cfg.impact, o.count, round_even(o.percent, 2) AS percent "
     "FROM o LEFT JOIN cfg ON o.flag = cfg.issue",
     o=_overview_sql(_REV_FLAGS_SQL, REV_FLAG_NAMES, r=REVIEWS_SQL, s=NOISY_REVIEWS_SQL,
                     bs=_outlier_cte("s", "vote_sum"), bc=_outlier_cte("s", "vote_count")),

@@ -8,12 +8,12 @@ from revlens.plans.sqlgen import with_views
 from revlens.sources.tables import DOC_REVIEWS_SQL, REVIEWS_SQL, doc_reviews, reviews
 
 _BYCAT = ("SELECT category, count(DISTINCT id) AS reviews, count(DISTINCT app_id) AS apps, "
-          "count(DISTINCT author) AS authors, round(count(DISTINCT id) / count(DISTINCT app_id), 2) AS reviews_per_app "
+          "count(DISTINCT author) AS authors, round_even(count(DISTINCT id) / count(DISTINCT app_id), 2) AS reviews_per_app "
           "FROM r GROUP BY category")
 
 
 @register("category_summary", sql=with_views(
-    "SELECT category, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM r), 2) AS percent "
+    "SELECT category, count(*) AS count, round_even(count(*) * 100.0 / (SELECT count(*) FROM r), 2) AS percent "
     "FROM r GROUP BY category", r=REVIEWS_SQL), dbl=["percent"])
 def category_summary(spark, sf):
     return R.category_summary(reviews(spark, sf))
@@ -22,7 +22,7 @@ def category_summary(spark, sf):
 @register("dataset_overview", sql=with_views(
     """SELECT count(*) AS reviews, count(DISTINCT author) AS users, count(DISTINCT app_name) AS apps,
        count(DISTINCT category) AS categories, 10::BIGINT AS features,
-       round((sum(strlen(id)) + sum(strlen(app_id)) + sum(strlen(app_name)) + sum(strlen(category))
+       round_even((sum(strlen(id)) + sum(strlen(app_id)) + sum(strlen(app_name)) + sum(strlen(category))
               + sum(strlen(author)) + count(rating) * 4 + count(review_length) * 4 + count(vote_count) * 8
               + count(vote_sum) * 8 + count(date) * 8) / (1024 * 1024), 2) AS size_mb,
        min(date)::DATE AS first_review, max(date)::DATE AS last_review FROM r""", r=REVIEWS_SQL),
@@ -75,8 +75,8 @@ def describe_by_category(spark, sf):
 
 @register("counts_by_category", sql=with_views(
     "SELECT category, reviews, (sum(reviews) OVER w)::BIGINT AS cumulative, percent, "
-    "round(sum(percent) OVER w, 2) AS cumulative_percent "
-    "FROM (SELECT *, round(reviews / sum(reviews) OVER (), 2) AS percent FROM b) "
+    "round_even(sum(percent) OVER w, 2) AS cumulative_percent "
+    "FROM (SELECT *, round_even(reviews / sum(reviews) OVER (), 2) AS percent FROM b) "
     "WINDOW w AS (ORDER BY reviews DESC, category ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     r=REVIEWS_SQL, b=_BYCAT), dbl=["percent", "cumulative_percent"])
 def counts_by_category(spark, sf):
@@ -94,8 +94,8 @@ def store_table(spark, sf):
 
 
 @register("apps_by_category", sql=with_views(
-    """SELECT s.category, s.app_store, round(s.app_store / sum(s.app_store) OVER (), 2) AS pct_app_store,
-              o.app_voc, round(o.app_voc / sum(o.app_voc) OVER (), 2) AS pct_app_voc
+    """SELECT s.category, s.app_store, round_even(s.app_store / sum(s.app_store) OVER (), 2) AS pct_app_store,
+              o.app_voc, round_even(o.app_voc / sum(o.app_voc) OVER (), 2) AS pct_app_voc
        FROM s JOIN (SELECT category, count(DISTINCT app_name) AS app_voc FROM r GROUP BY category) o
          ON s.category IS NOT DISTINCT FROM o.category""", r=REVIEWS_SQL, s=_STORE_SQL),
     dbl=["pct_app_store", "pct_app_voc"])
@@ -143,7 +143,7 @@ def countstats(spark, sf):
 
 
 @register("doc_category_summary", sql=with_views(
-    "SELECT category, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM d), 2) AS percent "
+    "SELECT category, count(*) AS count, round_even(count(*) * 100.0 / (SELECT count(*) FROM d), 2) AS percent "
     "FROM d GROUP BY category", d=DOC_REVIEWS_SQL), dbl=["percent"])
 def doc_category_summary(spark, sf):
     return R.category_summary(doc_reviews(spark, sf))

@@ -19,8 +19,7 @@ _SPLIT = "[\\s.,;:?()\\[\\]{}\"']+"
 @register("stream_flags", sql=with_views(
     f"""SELECT id, {_null_flag(['id', 'content'])} AS dqa_has_null_values,
        {_rx('content', T.EMOJI_CLASS)} AS dqa_has_emojis, {_special('content')} AS dqa_has_excessive_special_chars,
-       coalesce(list_has_any(string_split_regex(lower(content), '{_SPLIT.replace(chr(39), chr(39) * 2)}'),
-                [{', '.join(repr(w) for w in L.PROFANITY)}]), false) AS dqa_has_profanity,
+       coalesce(regexp_matches(lower(content), '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(w.replace('*', chr(92) + '*') for w in L.PROFANITY)})([^\\p{{L}}\\p{{N}}_]|$)'), false) AS dqa_has_profanity,
        {_rx('content', K.EMAIL_PATTERN)} AS dqa_contains_email, {_rx('content', K.URL_PATTERN)} AS dqa_contains_url,
        {_rx('content', K.PHONE_PATTERN)} AS dqa_contains_phone_number FROM d""",
     d="SELECT cast(doc_id AS VARCHAR) AS id, text AS content FROM documents"))

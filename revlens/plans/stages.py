@@ -94,10 +94,10 @@ def register_dataset(spark: SparkSession, registry_path: str, df: DataFrame, nam
         raise ValueError(f"unknown stage {stage}")
     if not creator:
         raise ValueError("creator is required")
+    if df.isEmpty():
+        raise ValueError("dataset is empty")
     df.write.mode("overwrite").parquet(path)
     n = spark.read.parquet(path).count()  # from parquet footers
-    if n == 0:
-        raise ValueError("dataset is empty")
     meta = spark.createDataFrame([(name, phase, stage, path, int(n), len(df.columns), creator, datetime.now())],
                                  REGISTRY_SCHEMA)
     meta.write.mode("append").parquet(registry_path)

@@ -37,9 +37,6 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
          .config("spark.driver.memory", os.environ.get("REVLENS_DRIVER_MEMORY", "16g")))
     for k, v in {**RECOMMENDED_CONF, **(extra or {})}.items():
         b = b.config(k, v)
-    if "spark.checkpoint.dir" not in (extra or {}):
-        # local runs only: a cluster names its shared folder itself
-        b = b.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="revlens-ckpt-"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -47,18 +44,20 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared folder and is used as is.
-    Only when it is unset (local tests) is a scratch folder created.
+    It is used as it is.  Where it is unset, a local session (tests, bench)
+    gets a scratch folder; any other master is an error, because executors
+    would not see a folder of the driver's.
     """
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        try:
-            d = spark.conf.get("spark.checkpoint.dir", None)
-        except Exception:  # pragma: no cover - conf not readable
-            d = None
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            return current.get()
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="revlens-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d

@@ -71,10 +71,11 @@ def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str] |
                       block_size: int = 128 * 1024 * 1024) -> None:
     """Parquet, Hive-style partition folders; overwrites only the partitions
     present in ``df`` (dynamic partition overwrite).  The data is first
-    clustered on the partition columns so each task writes few files."""
+    rebalanced on the partition columns: few files each, and the
+    optimizer splits a partition value that is too large for one task."""
     w = df
     if partition_cols:
-        w = df.repartition(*partition_cols)
+        w = df.hint("rebalance", *partition_cols)
     wr = (w.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .option("parquet.block.size", block_size))
     if partition_cols:
@@ -84,7 +85,7 @@ def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str] |
 
 def stage_files(df: DataFrame, directory: str, key: str = "category") -> None:
     """One TSV folder per category (``key=value``)."""
-    (df.repartition(key).write.mode("overwrite").partitionBy(key)
+    (df.hint("rebalance", key).write.mode("overwrite").partitionBy(key)
        .option("header", True).option("sep", "\t").option("escape", "\\").csv(directory))
 
 
@@ -111,7 +112,7 @@ def fileset_overview(spark: SparkSession, pattern: str, sep: str = "\t") -> Data
     g = per.rollup("file").agg(F.sum("rows").alias("rows"), F.sum("size").alias("size"), F.grouping("file").alias("_g"))
     return g.select(F.when(F.col("_g") == 1, F.lit("Total")).otherwise(F.col("file")).alias("file"),
                     F.col("rows").cast("bigint").alias("rows"), F.lit(ncols).alias("columns"),
-                    F.round(F.col("size") / (1024 * 1024), 2).alias("size_mb"))
+                    F.bround(F.col("size") / (1024 * 1024), 2).alias("size_mb"))
 
 
 def staged_completeness(df: DataFrame, key: str = "category") -> DataFrame:
@@ -124,4 +125,4 @@ def staged_completeness(df: DataFrame, key: str = "category") -> DataFrame:
                            F.grouping(key).alias("_g"))
     return g.select(F.when(F.col("_g") == 1, F.lit("Total")).otherwise(F.col(key)).alias(key), "rows",
                     F.lit(len(df.columns)).alias("columns"), "complete",
-                    F.round(F.col("complete") * 100.0 / F.col("rows"), 2).alias("percent"))
+                    F.bround(F.col("complete") * 100.0 / F.col("rows"), 2).alias("percent"))

@@ -48,7 +48,7 @@ def test_rating_bounds(spark):
 
 
 def test_emoji(spark):
-    assert _one(spark, ["great app 😀", "plain text", "★ star"], Q.has_emoji) == [True, False, True]
+    assert _one(spark, ["great app 😀", "plain text", "★ star", "⌘ \u2713 \u2780", "⭐ ❤"], Q.has_emoji) == [True, False, False, False, True]
 
 
 def test_null_category_kept(spark):
@@ -88,3 +88,49 @@ def test_noisy_row_flags(spark):
     df = spark.createDataFrame([(NOISY_TEXT,)], "c string")
     r = df.select(Q.contains_email(F.col("c")), Q.contains_url(F.col("c")), Q.contains_phone(F.col("c"))).first()
     assert list(r) == [True, True, True]
+
+
+def test_repair_drops_broken_bytes_only(spark):
+    df = spark.sql("SELECT cast(unhex('61C32862FF') AS string) AS a, 'x�y' AS b")
+    r = df.select(N.repair_utf8(df.a).alias("a"), N.repair_utf8(df.b).alias("b")).first()
+    assert (r["a"], r["b"]) == ("a(b", "x�y")
+
+
+def test_profanity_beside_punctuation(spark):
+    from revlens.operators.language import has_profanity
+    assert _one(spark, ["this is shit!", "crap-app", "crap/joke", "scrapper", "f*ck", "damn_it"], has_profanity) == \
+        [True, True, True, False, True, False]
+
+
+def test_language_of_rows_that_share_an_id(spark):
+    from revlens.operators import language as L
+    train = spark.createDataFrame([("the thing is there", "en"), ("le chat est la", "fr")] * 3, "t string, lang string")
+    rows = spark.createDataFrame([(1, "the thing there"), (1, "le chat la"), (None, "the"), (2, None), (3, "")], "id int, t string")
+    got = L.flag_non_english(rows, L.fit_language_model(train, "t", "lang"), "t", ["en", "fr"], "flag").collect()
+    assert len(got) == 5 and {(r["id"], r["t"]): r["flag"] for r in got}[(1, "le chat la")] is True
+    assert not any(r["flag"] for r in got if r["t"] != "le chat la")
+
+
+def test_token_map_keeps_rows_with_one_id_apart(spark):
+    from revlens.operators.textprep import apply_token_map
+    df = spark.createDataFrame([(1, ["apple", "banana"]), (1, ["cherry"]), (None, []), (None, ["apple"])], "id int, t array<string>")
+    m = spark.createDataFrame([("apple", "pear")], "w string, to string")
+    got = sorted((str(r["id"]), r["o"]) for r in apply_token_map(df, "t", m, "o").collect())
+    assert got == [("1", ["cherry"]), ("1", ["pear", "banana"]), ("None", []), ("None", ["pear"])]
+
+
+def test_spelling_of_long_words(spark):
+    from revlens.operators.textprep import fit_spell_corrections
+    long = "abcdefghijklmnopqrstuvwxyz" * 3
+    v = spark.createDataFrame([(long, 9), (long[1:-1], 1), ("hello", 5), ("helo", 1), ("x" * 21, 3), ("x" * 20, 1)], "word string, freq long")
+    got = {r["word"]: r["correction"] for r in fit_spell_corrections(v).collect()}
+    assert got == {long[1:-1]: long, "helo": "hello", "x" * 20: "x" * 21}
+
+
+def test_group_without_measures_stays(spark):
+    from revlens.operators import metrics as M
+    df = spark.createDataFrame([("a", None, None, None, None, None, None, None, None)],
+                               "category string, app_id string, app_name string, author string, rating int, "
+                               "review_length int, vote_count long, vote_sum long, date timestamp")
+    r = M.category_metrics(df).collect()
+    assert len(r) == 1 and r[0]["review_count"] == 1 and r[0]["app_count"] == 0
