@@ -72,6 +72,34 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+# -- bitmap filter ----------------------------------------------------------
+
+BITMAP_BITS = 1 << 24
+
+
+def _slot(*cols) -> F.Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(BITMAP_BITS))
+
+
+def bitmap(keys: DataFrame, *cols: str) -> DataFrame:
+    """One row with the array ``_bits`` of BITMAP_BITS bits (2 MB whatever the
+    input) in which the hashes of the keys are set."""
+    words = (keys.select(F.floor(_slot(*cols) / 64).alias("id"), (_slot(*cols) % 64).cast("int").alias("b"))
+             .groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("w")))
+    dense = keys.sparkSession.range(BITMAP_BITS // 64).join(words, "id", "left")
+    both = F.array_sort(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))))
+    return stored(dense.agg(F.transform(both, lambda x: x["w"]).alias("_bits")), "bitmap")
+
+
+def split_by(df: DataFrame, bits: DataFrame, *cols: F.Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be among the bitmap's keys, rows that are not): lets a
+    join shuffle only the former, however wide the table is."""
+    (name,) = fresh(df, "_bits")
+    with_bits = df.crossJoin(F.broadcast(bits.withColumnRenamed("_bits", name)))
+    hit = F.getbit(F.get(F.col(name), F.floor(_slot(*cols) / 64).cast("int")), _slot(*cols) % 64) == 1
+    return with_bits.where(hit).drop(name), with_bits.where(~hit).drop(name)
+
+
 # -- shingles ---------------------------------------------------------------
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))

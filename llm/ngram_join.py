@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import as_long, mix64, shingles, small_batches, stored, words_of
+from llm.common import as_long, bitmap, mix64, shingles, small_batches, split_by, stored, words_of
 from llm.components import components
 
 GROUPS = 64
@@ -109,12 +109,14 @@ def _exact_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int) ->
     """(cid, packed set) of the given classes, from the text of one member."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            yield pd.DataFrame({"cid": df["cid"], "s": [_pack(s) for s in _sets(df["text"], k)]})
+            yield pd.DataFrame({"rep": df["rep"], "rep_h": df["rep_h"], "s": [_pack(s) for s in _sets(df["text"], k)]})
 
     want = stored(classes.join(cids, "cid", "left_semi").select("cid", "rep", "rep_h"), "wanted")
     src = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("rep_h"), "text")
-    same = src["rep"].eqNullSafe(want["rep"]) & (src["rep_h"] == want["rep_h"])
-    return src.join(want, same).select("cid", "text").mapInPandas(run, "cid long, s binary").dropDuplicates(["cid"])
+    src, _ = split_by(src, bitmap(want, "rep", "rep_h"), F.col("rep"), F.col("rep_h"))  # texts are not shuffled
+    sets = src.mapInPandas(run, "rep long, rep_h long, s binary")
+    same = sets["rep"].eqNullSafe(want["rep"]) & (sets["rep_h"] == want["rep_h"])
+    return sets.join(want, same).select("cid", "s").dropDuplicates(["cid"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -370,8 +372,10 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     per = per.join(first, "component_id").withColumn("keep", F.struct(F.col("doc_id").isNull(), "doc_id", "h") == F.col("f"))
     gone = stored(per.where("not keep or c > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "keep"), "dropped")
     same = lambda d, g: d["doc_id"].cast("long").eqNullSafe(g["_id"]) & (F.xxhash64(d["text"]) == g["_h"])
-    kept = docs.join(gone, same(docs, gone), "left_anti")
+    # only rows that the bitmap cannot rule out go through the join
+    maybe, clear = split_by(docs, bitmap(gone, "_id", "_h"), F.col("doc_id").cast("long"), F.xxhash64("text"))
+    kept = clear.unionByName(maybe.join(gone, same(maybe, gone), "left_anti"))
     again = gone.where("keep")  # repeated rows of which one stays
     if again.isEmpty():
         return kept
-    return kept.unionByName(docs.join(again, same(docs, again), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.unionByName(maybe.join(again, same(maybe, again), "left_semi").dropDuplicates(["doc_id", "text"]))

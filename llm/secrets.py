@@ -25,10 +25,13 @@ HEX = r"[0-9a-f]{32,}"  # runs are maximal, so this is [0-9a-f]+ of 32 or more
 ASSIGN_MIN, ACCESS_MIN = 8, 16
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-ORDINARY = r"[A-Za-z0-9_-]{8,}"
+WORDLIKE = r"[A-Za-z0-9_-]{8,}"
+#: Shape of the negative samples: words and camel, snake or kebab identifiers.
+ORDINARY = r"^[A-Z]?[a-z]{2,}(?:[_-]?[A-Z]?[a-z]{2,})*[0-9]{0,4}$"
 KINDS = ("assign", "access", "hex", "markov")
 #: Bound of the labelled samples (documents each) that fit the two models.
 SAMPLE_DOCS = 4000
+BACKOFF = 16.0
 MIN_PER_CHAR, MIN_TOTAL = 0.6, 15.0
 SPAN = "struct<start:int,end:int,rank:int>"
 NONE = f"array<{SPAN}>"
@@ -87,13 +90,16 @@ def fit(docs: DataFrame, text_col: str = "text") -> DataFrame:
                       F.regexp_extract_all("t", F.lit(HEX), F.lit(0)))
     random = _pairs(found.select(F.explode(values).alias("w")))
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    plain = _pairs(src.orderBy(*order).limit(SAMPLE_DOCS).select(F.explode(F.regexp_extract_all(clean, F.lit(ORDINARY), F.lit(0))).alias("w")))
+    plain = _pairs(src.orderBy(*order).limit(SAMPLE_DOCS).select(F.explode(F.regexp_extract_all(clean, F.lit(WORDLIKE), F.lit(0))).alias("w")).where(F.col("w").rlike(ORDINARY)))
     cells = (docs.sparkSession.range(128 * 128).select(F.col("id").cast("int").alias("code"))
              .join(random.withColumnRenamed("count", "r"), "code", "left").join(plain.withColumnRenamed("count", "o"), "code", "left")
              .na.fill(0, ["r", "o"]))
-    row = Window.partitionBy(F.floor(F.col("code") / 128))
-    # add-half smoothing over the 64 characters a candidate may hold
-    p = lambda c: (F.col(c) + 0.5) / (F.sum(c).over(row) + 32)
+    row, column, every = Window.partitionBy(F.floor(F.col("code") / 128)), Window.partitionBy(F.col("code") % 128), Window.partitionBy()
+
+    def p(c):  # pairs, smoothed by the second character's own share (64 characters, BACKOFF pseudo-counts)
+        share = (F.sum(c).over(column) + 0.5) / (F.sum(c).over(every) + 32)
+        return (F.col(c) + BACKOFF * share) / (F.sum(c).over(row) + BACKOFF)
+
     return (cells.select("code", F.log(p("r") / p("o")).alias("l"))
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "l"))), lambda x: x["l"]).alias("llr")))
 
