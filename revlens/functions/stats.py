@@ -72,6 +72,28 @@ def grouped_modes_and_distincts(df: DataFrame, keys: Sequence[str],
     return hist.groupBy(*keys).agg(*aggs)
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys, _tag, v_0..v_n, _cnt): one row per group and value of each
+    column, nulls included; ``_tag`` is the column's place and only its v is
+    set.  The counts of any one tag add up to the group's rows."""
+    entries = []
+    for i, c in enumerate(columns):
+        fields = [(F.col(c) if j == i else F.lit(None).cast(df.schema[cj].dataType)).alias(f"v_{j}")
+                  for j, cj in enumerate(columns)]
+        entries.append(F.struct(F.lit(i).alias("_tag"), *fields))
+    long = df.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e.*")
+    return long.groupBy(*keys, "_tag", *[f"v_{j}" for j in range(len(columns))]).agg(F.count(F.lit(1)).alias("_cnt"))
+
+
+def weighted_std(v: Column, n: Column) -> Column:
+    """Sample standard deviation of values ``v`` with multiplicities ``n``
+    (null for one value); exact while the sums of integers stay below 2^53."""
+    x = v.cast("double")
+    w = F.sum(F.when(v.isNotNull(), n)).cast("double")
+    s1, s2 = F.sum(x * n), F.sum(x * x * n)
+    return F.when(w > 1, F.sqrt(F.greatest((w * s2 - s1 * s1) / (w * (w - 1)), F.lit(0.0))))
+
+
 def round_doubles(df: DataFrame, scale: int = 6) -> DataFrame:
     """Round every float/double column (for cross-engine comparison)."""
     out = []

@@ -4,11 +4,11 @@ Shared metric block per group: row count; min, max, mean, most frequent
 value and sample standard deviation of rating, review_length, vote_count
 and vote_sum; min, max and most frequent value of date.
 
-Plan: one partial-aggregatable pass for count/min/max/avg/stddev (whole
-stage codegen, map-side combine) plus one histogram pass for the modes and
-distinct counts (see ``functions.stats``), joined on the group key.  Both
-sides are hash-partitioned on the key by their final aggregation, so the
-join adds no further exchange.
+Plan: the input is read once into a (group, column, value) histogram, a hash
+aggregation with map-side combine; every figure (counts, extremes, moments,
+modes, distinct counts) follows from the histogram in one second aggregation
+on the group.  No join, and a group whose measures are all null keeps its
+row, because null values are counted too.
 """
 
 from __future__ import annotations
@@ -18,23 +18,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.functions.stats import grouped_modes_and_distincts, null_safe_join, safe_div
+from revlens.functions.stats import safe_div, value_counts, weighted_std
 
 MEASURES = ("rating", "review_length", "vote_count", "vote_sum")
 
 
 def metric_block(df: DataFrame, keys: Sequence[str], distincts: dict[str, str]) -> DataFrame:
     keys = list(keys)
-    aggs = [F.count(F.lit(1)).alias("review_count")]
-    for m in MEASURES:
-        aggs += [F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"),
-                 F.avg(m).alias(f"{m}_avg"), F.stddev_samp(m).alias(f"{m}_std")]
-    aggs += [F.min("date").alias("date_min"), F.max("date").alias("date_max")]
-    base = df.groupBy(*keys).agg(*aggs)
-    modes = {f"{m}_mode": m for m in (*MEASURES, "date")}
-    hist = grouped_modes_and_distincts(df, keys, modes, distincts)
-    # a group whose measures are all null has no histogram row
-    return null_safe_join(base, hist, keys, "left").na.fill(0, list(distincts))
+    n = F.col("_cnt")
+    aggs = [F.sum(F.when(F.col("_tag") == 0, n)).alias("review_count")]
+    for i, m in enumerate((*MEASURES, "date")):
+        v = F.col(f"v_{i}")
+        order = F.when(v.isNotNull(), F.struct((-n).alias("n"), v.alias("v")))
+        aggs += [F.min(v).alias(f"{m}_min"), F.max(v).alias(f"{m}_max"), F.min_by(v, order).alias(f"{m}_mode")]
+        if m != "date":
+            aggs += [(F.sum(v.cast("double") * n) / F.sum(F.when(v.isNotNull(), n))).alias(f"{m}_avg"),
+                     weighted_std(v, n).alias(f"{m}_std")]
+    aggs += [F.count(F.col(f"v_{len(MEASURES) + 1 + i}")).alias(out) for i, out in enumerate(distincts)]
+    return value_counts(df, keys, [*MEASURES, "date", *distincts.values()]).groupBy(*keys).agg(*aggs)
 
 
 def _ordered(df: DataFrame, head: Sequence[str]) -> DataFrame:

@@ -2,12 +2,12 @@
 
 The transformer fine-tuning loop of the source is re-aimed to a Spark ML
 pipeline (tokens -> hashed TF -> IDF -> multinomial logistic regression).
-Each round: fit on the labelled set, predict the next unlabelled batch,
-keep predictions with confidence >= ``threshold`` (0.0 keeps all), append
-them to the labelled set, cut lineage with ``checkpoint()`` (the shared
-``spark.checkpoint.dir``), evaluate accuracy on train / validation / test,
-record the round's statistics, and stop early when the monitored accuracy
-has not improved by ``min_delta`` for ``patience`` rounds.
+Each round: predict the next unlabelled batch, keep predictions with
+confidence >= ``threshold`` (0.0 keeps all), write them to a table beside
+the labelled set (in the shared folder), fit on all, evaluate accuracy on
+train / validation / test, record the round's statistics, and stop early
+when the monitored accuracy has not improved by ``min_delta`` for
+``patience`` rounds.
 """
 
 import time
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions import constants as K
-from revlens.session import ensure_checkpoint_dir
+from revlens.sources.files import shared_scratch
 
 
 def encode_labels(c, codes=K.LABEL_CODES):
@@ -92,6 +92,14 @@ class SessionStats:
                                                            "overfit")) for r in self.rows], schema)
 
 
+@dataclass
+class SelfTraining:
+    """The last model, the per-round statistics and the stored model's path."""
+    model: object
+    stats: DataFrame
+    path: str
+
+
 def _acc(model, df: DataFrame, label: str) -> float:
     r = predict(model, df).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("a")).first()
     return float(r["a"]) if r and r["a"] is not None else float("nan")
@@ -99,30 +107,36 @@ def _acc(model, df: DataFrame, label: str) -> float:
 
 def self_train(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame, text_column: str = "content",
                label_column: str = "label", batches: int = 3, threshold: float = 0.0, batch_column: str = "batch",
-               patience: int = 2, min_delta: float = 0.0) -> DataFrame:
-    """Run the loop; return the per-round statistics table.
+               patience: int = 2, min_delta: float = 0.0, path: str | None = None) -> SelfTraining:
+    """Run the loop: predict a batch, add its labels, train on all, evaluate.
 
     ``labelled`` carries ``split`` (train / validation / test);
-    ``unlabelled`` carries ``batch_column`` in 0..batches-1.  Only scalar
-    accuracies and counts reach the driver.
+    ``unlabelled`` carries ``batch_column`` in 0..batches-1.  A batch's
+    labels are written once, to a table of its own under ``path`` (default: a
+    new shared folder), so no round recomputes earlier ones; the last model
+    is stored there, too.  Only scalar accuracies and counts reach the
+    driver.
     """
-    ensure_checkpoint_dir(spark)
+    path = path or shared_scratch(spark, "self-training")
     train = labelled.where(F.col("split") == "train").select(text_column, label_column)
     val = labelled.where(F.col("split") == "validation").select(text_column, label_column)
     test = labelled.where(F.col("split") == "test").select(text_column, label_column)
     stats, stop = SessionStats(), EarlyStop(patience=patience, min_delta=min_delta)
+    model = build_pipeline(text_column, label_column).fit(train)
     for b in range(batches):
         t0 = time.perf_counter()
-        model = build_pipeline(text_column, label_column).fit(train)
         batch = unlabelled.where(F.col(batch_column) == b).select(text_column)
         pseudo = (predict(model, batch).where(F.col("score") >= threshold)
                   .select(text_column, F.col("prediction").alias(label_column)))
-        train = train.unionByName(pseudo).checkpoint()  # durable, lineage cut
-        added = pseudo.count()
+        pseudo.write.mode("overwrite").parquet(f"{path}/batch-{b:05d}")
+        pseudo = spark.read.schema(pseudo.schema).parquet(f"{path}/batch-{b:05d}")
+        train = train.unionByName(pseudo)
+        model = build_pipeline(text_column, label_column).fit(train)
         tr, va, te = _acc(model, train, label_column), _acc(model, val, label_column), _acc(model, test, label_column)
-        stats.add(round=b, labelled=train.count(), pseudo_added=added, runtime=time.perf_counter() - t0,
+        stats.add(round=b, labelled=train.count(), pseudo_added=pseudo.count(), runtime=time.perf_counter() - t0,
                   train_accuracy=tr, validation_accuracy=va, test_accuracy=te,
                   overfit=(tr / te) if te else None)
         if stop.update(va):
             break
-    return stats.to_df(spark)
+    model.write().overwrite().save(f"{path}/model")
+    return SelfTraining(model, stats.to_df(spark), f"{path}/model")

@@ -11,6 +11,7 @@ from revlens.functions import constants as K
 from revlens.operators import clean as C
 from revlens.operators import quality as Q
 from revlens.plans import stages as E
+from revlens.plans.q_quality import _CLEAN_REV, _outlier_cte, rev_flags_sql
 from revlens.plans.registry import register
 from revlens.plans.sqlgen import with_views
 from revlens.sources import files as S
@@ -96,22 +97,32 @@ def _pipeline(spark, sf):
     return base, m, dqa
 
 
-@register("run_metrics")
+_RUN_VIEWS = dict(r=REVIEWS_SQL, s="SELECT * FROM r", bs=_outlier_cte("s", "vote_sum"), bc=_outlier_cte("s", "vote_count"),
+                  f=rev_flags_sql((K.DATE_LOWER, K.DATE_UPPER)))
+_CLEAN_RUN = ("SELECT 'DataCleaningTask' AS task, 'clean' AS stage, 'data_prep' AS phase, count(*) AS input_records, "
+              f"count_if(NOT ({' OR '.join(_CLEAN_REV)}))::BIGINT AS output_records FROM f")
+
+
+@register("run_metrics", sql=with_views(
+    "SELECT 'DetectDuplicateRowTask' AS task, 'data_quality_assessment' AS stage, 'data_prep' AS phase, "
+    f"count(*) AS input_records, count(*) AS output_records FROM s UNION ALL {_CLEAN_RUN}", **_RUN_VIEWS))
 def run_metrics(spark, sf):
-    """Rows in/out and runtime per stage of a small durable pipeline (rows check)."""
+    """Rows in and out per stage of a small durable pipeline."""
     _b, m, _d = _pipeline(spark, sf)
     return E.read_metrics(spark, m).select("task", "stage", "phase", "input_records", "output_records")
 
 
-@register("run_metrics_by_stage")
+@register("run_metrics_by_stage", sql=with_views(_CLEAN_RUN, **_RUN_VIEWS))
 def run_metrics_by_stage(spark, sf):
     _b, m, _d = _pipeline(spark, sf)
     return E.read_metrics(spark, m, stage="clean").select("task", "stage", "phase", "input_records", "output_records")
 
 
-@register("dataset_registry")
+@register("dataset_registry", sql=with_views(
+    "SELECT 'reviews' AS name, 'data_prep' AS phase, 'norm' AS stage, count(*) AS nrows, 10::INTEGER AS ncols, "
+    "'revlens' AS creator FROM r", r=REVIEWS_SQL))
 def dataset_registry(spark, sf):
-    """Register the cleaned reviews; return the registry rows (rows check)."""
+    """Register the reviews; return the registry rows."""
     base = S.shared_scratch(spark, "registry")
     reg = os.path.join(base, "dataset_registry")
     E.register_dataset(spark, reg, reviews(spark, sf), "reviews", "data_prep", "norm",

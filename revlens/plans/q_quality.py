@@ -186,9 +186,10 @@ def dqa_flags(spark, sf):
     return doc_flags(spark, sf)
 
 
-_REV_FLAGS_SQL = f"""
+def rev_flags_sql(date_bounds):
+    return f"""
 SELECT f.*, {_null_flag(REVIEW_COLUMNS)} AS dqa_has_null_values,
-       {_date_flag('date', *TEST_DATE_BOUNDS)} AS dqa_has_invalid_date,
+       {_date_flag('date', *date_bounds)} AS dqa_has_invalid_date,
        {_rating_flag('rating')} AS dqa_has_invalid_rating,
        coalesce(vote_sum < bs.lo OR vote_sum > bs.hi, false) AS dqa_vote_sum_outlier,
        coalesce(vote_count < bc.lo OR vote_count > bc.hi, false) AS dqa_vote_count_outlier
@@ -199,6 +200,9 @@ CROSS JOIN bs CROSS JOIN bc
 """
 
 
+_REV_FLAGS_SQL = rev_flags_sql(TEST_DATE_BOUNDS)
+
+
 def review_flags(spark, sf):
     return Q.assess_quality(noisy_reviews(spark, sf), text_column=None, date_bounds=TEST_DATE_BOUNDS)
 

@@ -48,6 +48,6 @@ def register(name: str, sql: str | None = None, dbl: Sequence[str] = ()):
 
 def load_all() -> dict[str, Entry]:
     # importing the modules fills the registry
-    from revlens.plans import (q_explore, q_features, q_io, q_metrics, q_models, q_prep, q_quality,  # noqa: F401
-                               q_reports, q_stream)
+    from revlens.plans import (q_explore, q_features, q_full, q_io, q_metrics, q_models, q_prep,  # noqa: F401
+                               q_quality, q_reports, q_stream)
     return REGISTRY

@@ -65,6 +65,17 @@ def doc_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+FULL_COLUMNS = [*REVIEW_COLUMNS, "content"]
+
+
+def full_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews with all columns: those whose order number is a document's id,
+    with that document's text as content."""
+    r = reviews(spark, sf_dir).withColumn("_doc", F.substring_index("id", "-", 1).cast("bigint"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return r.join(d, F.col("_doc") == F.col("doc_id")).select(*FULL_COLUMNS)
+
+
 # SQL text of the same views, for DuckDB oracles (valid in Spark SQL too).
 REVIEWS_SQL = """
 SELECT concat(cast(l_orderkey AS VARCHAR), '-', cast(l_linenumber AS VARCHAR)) AS id,
