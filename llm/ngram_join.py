@@ -228,9 +228,7 @@ def _candidates(tiles: DataFrame, percent: int, every: bool) -> DataFrame:
     pass the bounds.  Unless ``every``, a unit gives one pair for two
     components, and its tile is named in a row (null, null, key) if that left
     any out.  ``tiles`` has key, nb (blocks), cid, n, label, vec."""
-    width = float(np.log(100 / percent))
-    own = F.floor(F.log("n") / width)
-    rows = (tiles.withColumn("own", F.when(F.col("nb") > 1, own).otherwise(0))  # large tiles: by bands of size, too
+    rows = (tiles.withColumn("own", F.when(F.col("nb") > 1, _band(percent)).otherwise(0))  # large tiles: by bands of size, too
             .withColumn("band", F.explode(F.when(F.col("nb") > 1, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array(F.col("own")))))
             .withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
@@ -279,6 +277,12 @@ def _candidates(tiles: DataFrame, percent: int, every: bool) -> DataFrame:
     return rows.mapInPandas(run, "a long, b long, key long").distinct()
 
 
+def _band(percent: int) -> F.Column:
+    """Band of the size ``n``: sizes that may be linked lie in one band or in
+    neighbours (the bands are a trifle wider, for rounding)."""
+    return F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9)))
+
+
 # -- the join ---------------------------------------------------------------
 
 def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -298,7 +302,14 @@ def linked_classes(docs: DataFrame, sig: DataFrame, k: int, percent: int) -> Dat
         .select("f1", "f2", "low", "n", "keys", "vec", F.col("one.doc_id").alias("rep"), F.col("one.h").alias("rep_h"),
                 F.monotonically_increasing_id().alias("cid")), "classes")
     rows = classes.select("cid", "n", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # a tile whose classes all lie in bands of size (mod 64) of their own, none
+    # beside another, holds no pair that the sizes allow
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(_band(percent), F.lit(64)).cast("int"))
+    alone = "bit_count(m) = c and (m & (shiftleft(m, 1) | shiftrightunsigned(m, 63))) = 0"
+    shared = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_or(bit).alias("m"))
+                    .where(f"c > 1 and not ({alone})").select("key", "c"), "shared")
+    # only rows that the bitmap cannot rule out go through the join
+    rows, _ = split_by(rows, bitmap(shared, "key"), F.col("key"))
     tiles = stored(rows.join(shared, "key"), "tiles")
     # a tile's leader is its class with most partners over all tiles: among
     # near copies the text that the others derive from
