@@ -143,3 +143,17 @@ def test_text_prep_columns(spark):
     d = doc_reviews(spark, SF_SMALL).select("id", "content")
     out = text_prep(d)
     assert all(c in out.columns for c in OUTPUT_COLUMNS) and out.count() == d.count()
+
+
+def test_self_training_grows_and_stores_the_model(spark):
+    from pyspark.ml import PipelineModel
+
+    from revlens.operators.sentiment import self_train
+    texts = [(f"good nice fine {i}", 2.0) for i in range(8)] + [(f"bad awful poor {i}", 0.0) for i in range(8)]
+    labelled = spark.createDataFrame([(t, y, s) for t, y in texts for s in ("train", "validation", "test")],
+                                     "content string, label double, split string").coalesce(1)
+    more = spark.createDataFrame([("nice good thing", 0), ("awful thing", 0), ("poor bad", 1)], "content string, batch int").coalesce(1)
+    r = self_train(spark, labelled, more, batches=2)
+    rows = r.stats.collect()
+    assert [(x.labelled, x.pseudo_added) for x in rows] == [(18, 2), (19, 1)] and rows[-1].test_accuracy == 1.0
+    assert PipelineModel.load(r.path).stages[-1].numClasses == 3
