@@ -270,8 +270,11 @@ def _candidates(tiles: DataFrame, percent: int, every: bool) -> DataFrame:
         return _out(one, left)
 
     def _out(pairs, left):
-        out = pd.concat([pairs[["a", "b"]].drop_duplicates(), left[["key"]]], ignore_index=True)
-        return out.reindex(columns=["a", "b", "key"]).astype("Int64")
+        # nullable integers from the start: a detour over floats would round the 64-bit keys
+        pairs, left = pairs[["a", "b"]].drop_duplicates().astype("Int64"), left[["key"]].astype("Int64")
+        none = lambda n: pd.array([pd.NA] * n, "Int64")
+        return pd.concat([pairs.assign(key=none(len(pairs))), left.assign(a=none(len(left)), b=none(len(left)))[["a", "b", "key"]]],
+                         ignore_index=True)
 
     tiles.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
     return rows.mapInPandas(run, "a long, b long, key long").distinct()

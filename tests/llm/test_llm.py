@@ -247,6 +247,25 @@ def test_join_matches_brute_force(spark):
         assert got == brute_components(texts, ids, k, percent)
 
 
+def test_join_follows_chains(spark):
+    """Texts that only link with some member of a component, not with the
+    member that stands for it: the last step must pair the rest of the tile."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(6):
+        words = sentence(rng, 80).split()
+        walk = [list(words)]
+        for i in range(14):
+            words = list(rng.choice(walk))
+            words[rng.randrange(1, 79)] = f"new{i}"
+            walk.append(words)
+        texts += [" ".join(w) for w in walk]
+    rng.shuffle(texts)
+    ids = list(range(len(texts)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, texts, ids), 3, 90).collect()}
+    assert got == brute_components(texts, ids, 3, 90)
+
+
 def test_deduplicate_keeps_one_row(spark):
     rng = random.Random(8)
     a, b = sentence(rng, 60), sentence(rng, 60)
