@@ -10,6 +10,10 @@ reach the threshold are scored, and items that do are verified by the
 overlap of their five-word shingles, of the question (all but the last
 sentence) and of the answer (the last sentence).
 
+An item of few distinct words (binary, digit or DNA strings, very long texts)
+may lack so many shingles that no score follows; such loose items are found by
+their shingles instead and stay out of the blocks.
+
 Passages are two segments long and start at every segment; a segment holds
 the longest item, so each copy of an item lies whole in some passage.  The
 items go through in shards of a proven size, whose index is broadcast; the
@@ -19,6 +23,7 @@ documents are never shuffled.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +43,7 @@ SHINGLE = 5
 ITEMS_PER_SHARD = 20_000
 CELLS = 1 << 22
 ROUNDING = 1e-9
+LEAST_FLOOR = 1e-6
 MATCH = "item_id: long, score: double, overlap: double, question_overlap: double, answer_overlap: double"
 
 
@@ -67,27 +73,38 @@ class Index:
             df[list(set(x))] += 1
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         mean = sum(map(len, ids)) / max(n, 1)
-        self.grams, self.item_terms, self.impacts, self.floors = [], [], [], []
-        for (_, text), x in zip(items, ids, strict=True):
+        self.grams, self.item_terms, self.impacts, self.shares = [], [], [], []
+        self.loose: dict[tuple, list[int]] = {}  # shingle -> loose items that hold it
+        self.loose_term = np.zeros(nt + 1, bool)  # unknown words mark the last place
+        tight = np.ones(n, bool)
+        for i, ((_, text), x) in enumerate(zip(items, ids, strict=True)):
             t, tf = np.unique(x, return_counts=True)
             w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean))
             self.item_terms.append(t)
             # an item that shares OVERLAP of its shingles lacks at most ``lost``
             # words, so its score is at least that without its heaviest terms
             lost = int((1 - OVERLAP) * len(_grams(x)) + ROUNDING)
-            floor = 1 - np.sort(w / w.sum())[::-1][:lost].sum()
-            self.floors.append(floor)
-            self.impacts.append(w / w.sum() / floor)
+            share = w / w.sum()
+            floor = 1 - np.sort(share)[::-1][:lost].sum()
+            tight[i] = lost < len(t) and floor > LEAST_FLOOR
+            self.shares.append(share)
+            self.impacts.append(share / floor if tight[i] else np.zeros(len(t)))
             last = [p for p in SENTENCE.split(text.rstrip(" .!?:\n\t")) if words(p)]
             cut = len(x) - len(words(last[-1])) if len(last) > 1 else len(x)
             self.grams.append((_grams(x), _grams(x[:cut]), _grams(x[cut:])))
+            if not tight[i]:  # it has lost > 0, so its shingles are SHINGLE words long
+                self.loose_term[t] = True
+                for g in self.grams[i][0]:
+                    self.loose.setdefault(g, []).append(i)
         self.blocks = -(-n // BLOCK)
         if n:
-            t = np.concatenate(self.item_terms)
-            b = np.repeat(np.arange(n) // BLOCK, [len(x) for x in self.item_terms])
+            sizes = [len(x) for x in self.item_terms]
+            used = np.repeat(tight, sizes)
+            t = np.concatenate(self.item_terms)[used]
+            b = np.repeat(np.arange(n) // BLOCK, sizes)[used]
             key, at = np.unique(t * self.blocks + b, return_inverse=True)
             top = np.zeros(len(key))
-            np.maximum.at(top, at, np.concatenate(self.impacts))
+            np.maximum.at(top, at, np.concatenate(self.impacts)[used])
             t, b = key // self.blocks, key % self.blocks
             lists = np.bincount(t, minlength=nt)
             long = lists > LONG_LIST
@@ -117,7 +134,7 @@ class Index:
                                 (hi - lo) * self.blocks).reshape(hi - lo, self.blocks)
             bound += np.bincount(s, self.list_max[t], hi - lo)[:, None]
             both = bound.copy()
-            both[:-1] += bound[1:] * follows[lo:hi - 1, None]
+            both[:-1] += np.where(follows[lo:hi - 1, None], bound[1:], 0)
             rows, blocks = np.nonzero(both[:min(step, hi - lo)] >= 1 - ROUNDING)
             cuts = np.flatnonzero(np.diff(rows)) + 1
             for r, b in zip(np.split(rows, cuts), np.split(blocks, cuts), strict=True):
@@ -145,33 +162,49 @@ class Index:
             return out
         own = np.array(owner)
         follows = np.append(own[1:] == own[:-1], False)
-        for p, blocks in self.candidates(np.concatenate(parts), np.concatenate(seg_of), follows):
-            part, at = starts[p]
-            ids = parts[part][at:at + 2 * self.segment]
+        all_ids, all_segs = np.concatenate(parts), np.concatenate(seg_of)
+        for p, blocks in self.candidates(all_ids, all_segs, follows):
+            ids, row = self._passage(parts, starts[p]), out[owner[p]]
             have = np.zeros(len(self.terms) + 1, bool)
             have[ids] = True  # unknown words mark the last, unused place
-            grams = None
+            grams: dict[int, set] = {}
             for b in blocks:
                 for i in range(b * BLOCK, min((b + 1) * BLOCK, len(self.item_ids))):
-                    score = float(self.impacts[i][have[self.item_terms[i]]].sum())
-                    if score < 1 - ROUNDING:
-                        continue
-                    whole, question, answer = self.grams[i]
-                    k = len(next(iter(whole)))
-                    if grams is None:
-                        grams = {}
-                    if k not in grams:
-                        grams[k] = _grams(ids.tolist(), k)
-                    o = len(whole & grams[k]) / len(whole)
-                    q = self._part(question, ids, grams)
-                    a = self._part(answer, ids, grams)
-                    if o >= OVERLAP:
-                        item, row = self.item_ids[i], out[owner[p]]
-                        new = (score * self.floors[i], o, q, a)
-                        if item not in row or row[item][1:] + row[item][:1] < new[1:] + new[:1]:
-                            row[item] = new
+                    if self.impacts[i][have[self.item_terms[i]]].sum() >= 1 - ROUNDING:
+                        self._verify(i, ids, have, grams, row)
+        for p in self._loose_passages(all_ids, all_segs, follows) if self.loose else ():
+            ids, row = self._passage(parts, starts[p]), out[owner[p]]
+            have = np.zeros(len(self.terms) + 1, bool)
+            have[ids] = True
+            grams = {SHINGLE: _grams(ids.tolist())} if len(ids) >= SHINGLE else {SHINGLE: set()}
+            shared = Counter(i for g in grams[SHINGLE] for i in self.loose.get(g, ()))
+            for i, k in shared.items():
+                if k >= OVERLAP * len(self.grams[i][0]) - ROUNDING:
+                    self._verify(i, ids, have, grams, row)
         return out
 
+    def _passage(self, parts: list[np.ndarray], start: tuple[int, int]) -> np.ndarray:
+        return parts[start[0]][start[1]:start[1] + 2 * self.segment]
+
+    def _loose_passages(self, ids: np.ndarray, seg: np.ndarray, follows: np.ndarray) -> list[int]:
+        """Passages that hold SHINGLE words in a row that loose items have."""
+        known = np.concatenate(([0], np.cumsum(self.loose_term[ids])))
+        run = np.flatnonzero(known[SHINGLE:] - known[:-SHINGLE] == SHINGLE)
+        hit = np.zeros(len(follows), bool)
+        hit[seg[run]] = hit[seg[run + SHINGLE - 1]] = True
+        hit[:-1] |= hit[1:] & follows[:-1]  # as the second half of the passage before
+        return np.flatnonzero(hit).tolist()
+
+    def _verify(self, i: int, ids: np.ndarray, have: np.ndarray, grams: dict, row: dict) -> None:
+        """Enter item ``i`` into the text's ``row`` if the passage shares enough of its shingles."""
+        whole, question, answer = self.grams[i]
+        o = self._part(whole, ids, grams)
+        if o >= OVERLAP:
+            item = self.item_ids[i]
+            new = (float(self.shares[i][have[self.item_terms[i]]].sum()), o, self._part(question, ids, grams), self._part(answer, ids, grams))
+            if item not in row or row[item][1:] + row[item][:1] < new[1:] + new[:1]:
+                row[item] = new
+
     @staticmethod
     def _part(want: set, ids: np.ndarray, grams: dict) -> float:
         if not want:

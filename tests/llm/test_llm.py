@@ -203,6 +203,26 @@ def test_contaminated_matches_brute_force(spark):
     assert decontam.decontaminate(d, bench.limit(0)).count() == d.count()
 
 
+def test_items_of_few_words_are_found():
+    """Items whose words may all be lacking, and the normal items beside them."""
+    rng = random.Random(12)
+    normal = [sentence(rng, 20) + " 1 A" for _ in range(400)]
+    few = [" ".join(rng.choice("01") for _ in range(40)), " ".join(rng.choice("ACGT") for _ in range(60)),
+           " ".join(f"w{rng.randrange(400)}" for _ in range(3000))]
+    items = list(enumerate(normal[:200] + few + normal[200:]))
+    texts = [sentence(rng, 80) + " " + few[0] + " " + sentence(rng, 3), "1 0 0 1 a", few[1].lower(), few[2] + " tail", few[0] + " 2 2 2 " + few[1]]
+    for x in normal[:8] + normal[196:204]:
+        texts += [sentence(rng, 5) + " " + x, "0 1 1 c g"]
+    texts += ["", "0", "c g"]
+    with np.errstate(all="raise"):
+        got = [set(x) for x in decontam.Index(items).search(texts)]
+    want = []
+    for t in texts:
+        have = decontam._grams(decontam.words(t))
+        want.append({i for i, x in items if len((g := decontam._grams(decontam.words(x))) & have) >= 0.8 * len(g)})
+    assert got == want and [200 in want[0], 201 in want[2], 202 in want[3], {200, 201} <= want[4]] == [True] * 4
+
+
 # -- n-gram join
 
 def brute_components(texts, ids, k, percent):
