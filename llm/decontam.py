@@ -7,8 +7,11 @@ items, each with its largest impact per term.  For every passage the sums
 of block maxima bound the score of any item in a block (very long lists
 count with their list maximum, for all blocks at once); only blocks that can
 reach the threshold are scored, and items that do are verified by the
-overlap of their five-word shingles, of the question (all but the last
-sentence) and of the answer (the last sentence).
+overlap of their five-word shingles.  An item is found if a passage holds
+OVERLAP of its shingles, or OVERLAP of those of its question (all but the last
+sentence), whatever became of the answer (the last sentence).  A question of
+under SHINGLE words says too little and counts only with its answer; nor is an
+answer alone a finding.
 
 An item of few distinct words (binary, digit or DNA strings, very long texts)
 may lack so many shingles that no score follows; such loose items are found by
@@ -57,6 +60,13 @@ def _grams(ids, k: int = SHINGLE) -> set:
     return set(zip(*(ids[i:] for i in range(k)), strict=False)) if k else set()
 
 
+def _floor(shares: np.ndarray, grams: set) -> float:
+    """Least score of a part that shares OVERLAP of its shingles: it lacks at
+    most so many words as shingles, at worst its heaviest; 0 if that is all."""
+    lost = int((1 - OVERLAP) * len(grams) + ROUNDING)
+    return float(np.sort(shares)[:len(shares) - lost].sum()) if lost < len(shares) else 0.0
+
+
 class Index:
     """Inverted index of (item_id, text) rows; items without words match nothing."""
 
@@ -74,6 +84,7 @@ class Index:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         mean = sum(map(len, ids)) / max(n, 1)
         self.grams, self.item_terms, self.impacts, self.shares = [], [], [], []
+        self.least: list[int] = []  # shingles of the smallest part that decides
         self.loose: dict[tuple, list[int]] = {}  # shingle -> loose items that hold it
         self.loose_term = np.zeros(nt + 1, bool)  # unknown words mark the last place
         tight = np.ones(n, bool)
@@ -81,18 +92,18 @@ class Index:
             t, tf = np.unique(x, return_counts=True)
             w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean))
             self.item_terms.append(t)
-            # an item that shares OVERLAP of its shingles lacks at most ``lost``
-            # words, so its score is at least that without its heaviest terms
-            lost = int((1 - OVERLAP) * len(_grams(x)) + ROUNDING)
             share = w / w.sum()
-            floor = 1 - np.sort(share)[::-1][:lost].sum()
-            tight[i] = lost < len(t) and floor > LEAST_FLOOR
-            self.shares.append(share)
-            self.impacts.append(share / floor if tight[i] else np.zeros(len(t)))
+            floor = _floor(share, _grams(x))
             last = [p for p in SENTENCE.split(text.rstrip(" .!?:\n\t")) if words(p)]
             cut = len(x) - len(words(last[-1])) if len(last) > 1 else len(x)
             self.grams.append((_grams(x), _grams(x[:cut]), _grams(x[cut:])))
-            if not tight[i]:  # it has lost > 0, so its shingles are SHINGLE words long
+            if SHINGLE <= cut < len(x):  # the question alone decides too
+                floor = min(floor, _floor(share[np.isin(t, x[:cut])], self.grams[i][1]))
+            tight[i] = floor > LEAST_FLOOR
+            self.least.append(len(self.grams[i][1 if SHINGLE <= cut < len(x) else 0]))
+            self.shares.append(share)
+            self.impacts.append(share / floor if tight[i] else np.zeros(len(t)))
+            if not tight[i]:  # it has SHINGLE words or more, so its shingles are that long
                 self.loose_term[t] = True
                 for g in self.grams[i][0]:
                     self.loose.setdefault(g, []).append(i)
@@ -179,7 +190,7 @@ class Index:
             grams = {SHINGLE: _grams(ids.tolist())} if len(ids) >= SHINGLE else {SHINGLE: set()}
             shared = Counter(i for g in grams[SHINGLE] for i in self.loose.get(g, ()))
             for i, k in shared.items():
-                if k >= OVERLAP * len(self.grams[i][0]) - ROUNDING:
+                if k >= OVERLAP * self.least[i] - ROUNDING:
                     self._verify(i, ids, have, grams, row)
         return out
 
@@ -198,10 +209,10 @@ class Index:
     def _verify(self, i: int, ids: np.ndarray, have: np.ndarray, grams: dict, row: dict) -> None:
         """Enter item ``i`` into the text's ``row`` if the passage shares enough of its shingles."""
         whole, question, answer = self.grams[i]
-        o = self._part(whole, ids, grams)
-        if o >= OVERLAP:
+        o, q = self._part(whole, ids, grams), self._part(question, ids, grams)
+        if o >= OVERLAP or (q >= OVERLAP and self.least[i] < len(whole)):
             item = self.item_ids[i]
-            new = (float(self.shares[i][have[self.item_terms[i]]].sum()), o, self._part(question, ids, grams), self._part(answer, ids, grams))
+            new = (float(self.shares[i][have[self.item_terms[i]]].sum()), o, q, self._part(answer, ids, grams))
             if item not in row or row[item][1:] + row[item][:1] < new[1:] + new[:1]:
                 row[item] = new
 

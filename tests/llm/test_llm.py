@@ -223,6 +223,19 @@ def test_items_of_few_words_are_found():
     assert got == want and [200 in want[0], 201 in want[2], 202 in want[3], {200, 201} <= want[4]] == [True] * 4
 
 
+def test_question_without_answer_is_found():
+    rng = random.Random(13)
+    items = [(i, sentence(rng, 12) + ". " + sentence(rng, 11)) for i in range(40)] + [(40, "a b c? " + sentence(rng, 11)), (41, sentence(rng, 30))]
+    question, answer = items[3][1].split(". ")
+    rest = " ".join(question.split()[1:])
+    texts = [sentence(rng, 60) + " " + question + " " + sentence(rng, 60), rest + " " + sentence(rng, 20), " ".join(question.split()[3:]), answer,
+             "a b c", items[41][1].rsplit(" ", 9)[0], items[3][1]]
+    rows = decontam.Index(items).search(texts)
+    assert [set(r) for r in rows] == [{3}, {3}, set(), set(), set(), set(), {3}]
+    score, overlap, q, a = rows[0][3]
+    assert 0 < score < 1 and overlap < 0.8 and (q, a) == (1.0, 0.0) and rows[1][3][2] == 0.875
+
+
 # -- n-gram join
 
 def brute_components(texts, ids, k, percent):
