@@ -9,10 +9,16 @@ A window cannot count the links inside a large tight group, so such groups
 are folded first.  The first pass gathers runs of close vectors around
 leaders; the vectors within half the threshold angle of such a run's
 centroid form a ball, whose members are all linked to one another by the
-triangle inequality of angles.  In the windows a ball is one entity.  Two
-entities that a window links are decided by centre distance and radii where
-that suffices and member by member, in blocks, where it does not; so every
-link counted is exact whatever the size of a group.
+triangle inequality of angles.  In the windows a ball is one entity, known by
+its centre: it meets what lies within the threshold angle of its rim.  Two
+entities that meet are decided by centre distance and radii where that
+suffices and member by member, in blocks, where it does not; so every link
+counted is exact whatever the size of a group.
+
+The passes grow with the table, so that a pair at the threshold among spread
+vectors meets with probability RECALL.  Where a vector has as many links as a
+window holds, more may lie beyond it: the entities of its component are
+compared all with all, block by block.
 """
 
 from __future__ import annotations
@@ -31,7 +37,8 @@ from llm.common import stored
 from llm.components import components
 
 THRESHOLD = 0.95
-PASSES = 12
+RECALL = 0.99
+PASSES = 12  # at least
 WINDOW = 40
 BITS = 64
 LEADERS = 32
@@ -74,6 +81,23 @@ def prepare(vectors: DataFrame) -> tuple[DataFrame, str]:
     return stored(src.mapInPandas(run, "rid long, vec_id long, raw binary, dim int"), "vectors"), dtype
 
 
+def passes_for(rows: int, threshold: float) -> int:
+    """Passes after which two vectors at the threshold have met with
+    probability RECALL: in one pass they meet if they agree in the leading
+    bits that cut the rows down to a window."""
+    if rows <= WINDOW:
+        return PASSES
+    meet = (1 - math.acos(threshold) / math.pi) ** math.log2(rows / WINDOW)
+    return max(PASSES, math.ceil(math.log(1 - RECALL) / math.log1p(-meet)))
+
+
+def _limits(threshold: float) -> np.ndarray:
+    """Least cosine at which entities may hold linked members, by how many of
+    the two are balls (of at most half the threshold angle)."""
+    limit = math.acos(threshold)
+    return np.array([threshold] + [math.cos(min(math.pi, limit + k * limit / 2)) - 1e-5 for k in (1, 2)])
+
+
 def _sorted(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
@@ -164,15 +188,17 @@ def entities(base: DataFrame, dtype: str, threshold: float) -> DataFrame:
     return stored(joined.mapInPandas(run, "rid long, dim int, raw binary, ent long, cosine double, centre binary"), "entities")
 
 
-def _window_pairs(ent: np.ndarray, u: np.ndarray, fresh: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked entity pairs among rows at most WINDOW apart, the later of them at or after ``fresh``."""
+def _window_pairs(ent: np.ndarray, u: np.ndarray, fresh: int, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entity pairs that may be linked among rows at most WINDOW apart, the
+    later of them at or after ``fresh``."""
+    ball = (ent < 0).astype(int)
     a, b = [], []
     for o in range(1, min(WINDOW, len(ent) - 1) + 1):
         lo = max(0, fresh - o)
         i = np.arange(lo, len(ent) - o)
         if not len(i):
             continue
-        ok = (np.einsum("ij,ij->i", u[i], u[i + o]) >= threshold) & (ent[i] != ent[i + o])
+        ok = (np.einsum("ij,ij->i", u[i], u[i + o]) >= limits[ball[i] + ball[i + o]]) & (ent[i] != ent[i + o])
         a.append(ent[i[ok]])
         b.append(ent[i[ok] + o])
     a = np.concatenate(a) if a else np.empty(0, np.int64)
@@ -193,14 +219,20 @@ def _thin(ent: np.ndarray, recent: list[int]) -> np.ndarray:
 
 
 def window_links(ents: DataFrame, dtype: str, threshold: float, passes: int) -> DataFrame:
-    """Distinct entity pairs (a, b) of which some members are linked in a window of some pass."""
+    """Distinct entity pairs (a, b) that meet in a window of some pass and may hold linked members."""
+    limits = _limits(threshold)
+
     def key(batches):
         for df in batches:
             for d in np.unique(df["dim"]):
                 part = df[df["dim"] == d]
-                u = _unit(part["raw"].tolist(), dtype)
+                u, mid = _unit(part["raw"].tolist(), dtype), part["raw"].to_numpy(dtype=object, copy=True)
+                balls = np.flatnonzero(part["ent"] < 0)
+                if len(balls):
+                    mid[balls] = [c.tobytes() for c in _unit(part["centre"].iloc[balls].tolist(), "<f8").astype(dtype)]
                 for p in range(passes):
-                    yield pd.DataFrame({"pass": p, "dim": d, "key": _keys(u, p), "ent": part["ent"], "raw": part["raw"]})
+                    yield (pd.DataFrame({"pass": p, "dim": d, "key": _keys(u, p), "ent": part["ent"].to_numpy(), "raw": mid})
+                           .drop_duplicates(["key", "ent"]))
 
     def frame(kind, a=(), b=(), at=(), group=0, place=0, raw=None):
         n = len(a)
@@ -230,7 +262,7 @@ def window_links(ents: DataFrame, dtype: str, threshold: float, passes: int) ->
                 fresh = len(ent)
                 ent, raw = np.concatenate((ent, e)), raw + new
                 u = v if u is None else np.concatenate((u, v))
-                a, b = _window_pairs(ent, u, fresh, threshold)
+                a, b = _window_pairs(ent, u, fresh, limits)
                 pairs = pd.DataFrame({"a": a, "b": b}).drop_duplicates()
                 yield frame(0, pairs["a"].to_numpy(), pairs["b"].to_numpy(), place=[0] * len(pairs))
                 ent, raw, u = ent[-WINDOW:], raw[-WINDOW:], u[-WINDOW:]
@@ -246,52 +278,64 @@ def window_links(ents: DataFrame, dtype: str, threshold: float, passes: int) ->
     def across(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("place", kind="stable")
         ent, u = df["a"].to_numpy(), _unit(df["raw"].tolist(), dtype)
-        a, b = _window_pairs(ent, u, int((df["place"] < 0).sum()), threshold)
+        a, b = _window_pairs(ent, u, int((df["place"] < 0).sum()), limits)
         return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
-    keyed = ents.select("dim", "raw", "ent").mapInPandas(key, "pass int, dim int, key long, ent long, raw binary")
+    keyed = ents.select("dim", "raw", "ent", "centre").mapInPandas(key, "pass int, dim int, key long, ent long, raw binary")
     out = stored(_sorted(keyed, "pass", "dim", "key").mapInPandas(run, "kind int, a long, b long, edge long, place long, grp long, raw binary"), "windows")
     edges = out.where("kind = 1").groupBy("grp", "edge").applyInPandas(across, "a long, b long")  # at most 2 * WINDOW rows each
     return out.where("kind = 0").select("a", "b").union(edges).distinct()
 
 
-def _decided(pairs: DataFrame, ents: DataFrame, dtype: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b, full, na, nb), table of entities (ent, size)).
+def _table(ents: DataFrame) -> DataFrame:
+    """(ent, size, reach: least cosine to the centre, mid: centre or vector)"""
+    return stored(ents.groupBy("ent").agg(F.count(F.lit(1)).alias("size"), F.min("cosine").alias("reach"),
+                                          F.any_value(F.when(F.col("ent") < 0, F.col("centre")).otherwise(F.col("raw"))).alias("mid")), "entity-table")
+
+
+def _decided(pairs: DataFrame, table: DataFrame, dtype: str, threshold: float) -> DataFrame:
+    """Pairs (a, b, full, na, nb), without those too far apart for any link.
 
     ``full``: all members of a are linked with all of b, by centre distance and radii."""
-    table = stored(ents.groupBy("ent").agg(F.count(F.lit(1)).alias("size"), F.min("cosine").alias("reach"),
-                                           F.any_value(F.when(F.col("ent") < 0, F.col("centre")).otherwise(F.col("raw"))).alias("mid")), "entity-table")
     limit = math.acos(threshold)
 
     def run(batches):
         for df in batches:
-            full = []
+            full, near = [], []
             for a, b, ra, rb, x, y in zip(df["a"], df["b"], df["ra"], df["rb"], df["x"], df["y"], strict=True):
                 if a >= 0 and b >= 0:
                     full.append(True)  # two vectors, already compared
+                    near.append(True)
                     continue
                 p = _unit([x], "<f8" if a < 0 else dtype)[0]
                 q = _unit([y], "<f8" if b < 0 else dtype)[0]
                 d = math.acos(min(1.0, max(-1.0, float(p @ q))))
-                full.append(d + math.acos(min(1.0, ra)) + math.acos(min(1.0, rb)) <= limit - EPS)
-            yield pd.DataFrame({"a": df["a"], "b": df["b"], "full": full, "na": df["na"], "nb": df["nb"]})
+                radii = math.acos(min(1.0, ra)) + math.acos(min(1.0, rb))
+                full.append(d + radii <= limit - EPS)
+                near.append(d - radii <= limit + 1e-5)
+            yield pd.DataFrame({"a": df["a"], "b": df["b"], "full": full, "na": df["na"], "nb": df["nb"]})[np.array(near, bool)]
 
     side = lambda e, n, r, m: table.select(F.col("ent").alias(e), F.col("size").alias(n), F.col("reach").alias(r), F.col("mid").alias(m))
     j = pairs.join(side("a", "na", "ra", "x"), "a").join(side("b", "nb", "rb", "y"), "b")
-    return stored(j.mapInPandas(run, "a long, b long, full boolean, na long, nb long"), "decided"), table
+    return stored(j.mapInPandas(run, "a long, b long, full boolean, na long, nb long"), "decided")
 
 
 def _by_member(unsure: DataFrame, ents: DataFrame, dtype: str, threshold: float) -> DataFrame:
     """Exact links between the members of two entities, in blocks of at most
     about BLOCK members: kind 0, (rid, its links); kind 1, (a, b) linked."""
     blocks = lambda n: F.ceil(F.col(n) / BLOCK)
-
-    def side(e, own, other, s):
-        m = unsure.join(ents.select(F.col("ent").alias(e), "rid", "raw"), e)
+    # the single vectors that a ball meets go together, so its members are not repeated for each
+    many = unsure.where("b >= 0").groupBy("a").agg(F.count(F.lit(1)).alias("singles"))
+    work = stored(unsure.join(many, "a", "left")
+                  .select("a", "b", "na", F.when(F.col("b") < 0, F.col("b")).otherwise(F.pmod(F.xxhash64("b"), blocks("singles"))).alias("grp"),
+                          F.when(F.col("b") < 0, F.col("nb")).otherwise(1).alias("ng")), "unsure")
+
+    def side(pairs, e, own, other, s):
+        m = pairs.join(ents.select(F.col("ent").alias(e), "rid", "raw"), e)
         return (m.withColumn("mine", F.pmod(F.xxhash64("rid"), blocks(own)))
                 .withColumn("its", F.explode(F.sequence(F.lit(0).cast("long"), blocks(other) - 1)))
-                .select("a", "b", F.col("mine" if s == 0 else "its").alias("ba"), F.col("its" if s == 0 else "mine").alias("bb"),
-                        F.lit(s).alias("side"), "rid", "raw"))
+                .select("a", "grp", F.col("mine" if s == 0 else "its").alias("ba"), F.col("its" if s == 0 else "mine").alias("bb"),
+                        F.lit(s).alias("side"), F.col(e).alias("ent"), "rid", "raw"))
 
     def unit(df: pd.DataFrame) -> pd.DataFrame:
         x, y = df[df["side"] == 0], df[df["side"] == 1]
@@ -300,16 +344,60 @@ def _by_member(unsure: DataFrame, ents: DataFrame, dtype: str, threshold: float)
         hit = _unit(x["raw"].tolist(), dtype) @ _unit(y["raw"].tolist(), dtype).T >= threshold
         rid = np.concatenate((x["rid"], y["rid"]))
         n = np.concatenate((hit.sum(1), hit.sum(0)))
-        out = pd.DataFrame({"kind": 0, "a": rid, "b": 0, "n": n})[n > 0]
-        if hit.any():
-            out = pd.concat([out, pd.DataFrame({"kind": [1], "a": [df["a"].iloc[0]], "b": [df["b"].iloc[0]], "n": [1]})])
-        return out
-
-    both = side("a", "na", "nb", 0).union(side("b", "nb", "na", 1))
-    return stored(both.groupBy("a", "b", "ba", "bb").applyInPandas(unit, "kind int, a long, b long, n long"), "members")
-
+        other = np.unique(y["ent"].to_numpy()[hit.any(0)])
+        return pd.concat([pd.DataFrame({"kind": 0, "a": rid, "b": 0, "n": n})[n > 0],
+                          pd.DataFrame({"kind": 1, "a": df["a"].iloc[0], "b": other, "n": 1})])
+
+    both = (side(work.select("a", "grp", "na", "ng").distinct(), "a", "na", "ng", 0)
+            .union(side(work.select("a", "b", "grp", "na", "ng"), "b", "ng", "na", 1)))
+    return stored(both.groupBy("a", "grp", "ba", "bb").applyInPandas(unit, "kind int, a long, b long, n long"), "members")
+
+
+def _crowded(sure: DataFrame, label: DataFrame, table: DataFrame, dtype: str, threshold: float) -> tuple[DataFrame, DataFrame] | None:
+    """Components with a vector that has WINDOW links or more, their entities
+    compared all with all: (kind 0, (vector, its linked vectors); kind 1, pairs
+    with a ball that may hold links), and the entities."""
+    ends = sure.where("a >= 0").select(F.explode(F.array("a", "b")).alias("ent")).groupBy("ent").count().where(F.col("count") >= WINDOW)
+    of = label.select(F.col("node").alias("ent"), F.col("component").alias("grp"))
+    groups = stored(ends.join(of, "ent", "left").select(F.coalesce("grp", "ent").alias("grp")).distinct(), "crowded")
+    if groups.isEmpty():
+        return None
+    members = stored(table.join(of, "ent", "left").withColumn("grp", F.coalesce("grp", "ent")).join(groups, "grp")
+                     .select("grp", "ent", "reach", "mid"), "crowd")
+    size = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("k"))
+    dealt = (members.join(size, "grp").withColumn("mine", F.pmod(F.xxhash64("ent"), F.col("k")))
+             .withColumn("its", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+             .select("grp", F.least("mine", "its").alias("lo"), F.greatest("mine", "its").alias("hi"), "mine", "ent", "reach", "mid"))
+    limit = math.acos(threshold)
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES) -> DataFrame:
+    def unit(df: pd.DataFrame) -> pd.DataFrame:
+        same = df["lo"].iloc[0] == df["hi"].iloc[0]
+        ent, ball = df["ent"].to_numpy(), (df["ent"] < 0).to_numpy()
+        u = None
+        for at, kind in ((np.flatnonzero(ball), "<f8"), (np.flatnonzero(~ball), dtype)):
+            if len(at):
+                v = _unit(df["mid"].iloc[at].tolist(), kind)
+                u = np.empty((len(df), v.shape[1])) if u is None else u
+                u[at] = v
+        radius = np.where(ball, np.arccos(np.minimum(1.0, df["reach"].to_numpy())), 0.0)
+        first = np.ones(len(df), bool) if same else (df["mine"] == df["lo"]).to_numpy()
+        x, y = np.flatnonzero(first), np.arange(len(df)) if same else np.flatnonzero(~first)
+        near = u[x] @ u[y].T
+        hit = (near >= threshold) & ~ball[x][:, None] & ~ball[y] & (ent[x][:, None] != ent[y])
+        n = np.zeros(len(df), np.int64)
+        n[x] += hit.sum(1)
+        if not same:
+            n[y] += hit.sum(0)
+        i, j = np.nonzero((ball[x][:, None] | ball[y]) & (ent[x][:, None] != ent[y]))
+        ok = np.arccos(np.clip(near[i, j], -1, 1)) <= limit + radius[x][i] + radius[y][j] + 1e-5
+        p, q = ent[x][i[ok]], ent[y][j[ok]]
+        return pd.concat([pd.DataFrame({"kind": 0, "a": ent, "b": 0, "n": n})[n > 0],
+                          pd.DataFrame({"kind": 1, "a": np.minimum(p, q), "b": np.maximum(p, q), "n": 0}).drop_duplicates()])
+
+    return stored(dealt.groupBy("grp", "lo", "hi").applyInPandas(unit, "kind int, a long, b long, n long"), "crowd-links"), members
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links
     (other vectors linked directly), component_id (smallest vec_id reachable)
     and kept (vec_id is component_id).
@@ -317,16 +405,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     Null or zero vectors and vectors with null or non-finite components link
     with nothing, nor do vectors of different lengths with each other.
     Repeated rows are vectors of their own.  An empty table gives no rows.
-    Other columns are not read."""
+    Other columns are not read.  ``passes`` follows from the number of rows
+    if not given."""
     base, dtype = prepare(vectors)
     ents = entities(base, dtype, threshold)
-    pairs, table = _decided(window_links(ents, dtype, threshold, passes), ents, dtype, threshold)
+    passes = passes or passes_for(base.where("raw is not null").count(), threshold)
+    table = _table(ents)
+    pairs = _decided(window_links(ents, dtype, threshold, passes), table, dtype, threshold)
     exact = _by_member(pairs.where("not full"), ents, dtype, threshold)
     sure = pairs.where("full")
-    more = (sure.select(F.col("a").alias("ent"), F.col("nb").alias("n")).union(sure.select(F.col("b").alias("ent"), F.col("na").alias("n")))
-            .groupBy("ent").agg(F.sum("n").alias("more")))
-    links = sure.select("a", "b").union(exact.where("kind = 1").select("a", "b")).distinct()
-    label = components(links)
+    label = components(sure.select("a", "b").union(exact.where("kind = 1").select("a", "b")).distinct())
+    each = lambda t: t.select(F.col("a").alias("ent"), F.col("nb").alias("n")).union(t.select(F.col("b").alias("ent"), F.col("na").alias("n")))
+    counts = each(sure)
+    if crowd := _crowded(sure, label, table, dtype, threshold):
+        counted, members = crowd
+        new = counted.where("kind = 1").select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        late = _decided(new, table, dtype, threshold)
+        exact = exact.union(_by_member(late.where("not full"), ents, dtype, threshold))
+        # the vectors' links with one another were counted anew
+        counts = (each(sure.where("a < 0")).union(each(sure.where("a >= 0").join(members.select(F.col("ent").alias("a")), "a", "left_anti").select(*sure.columns)))
+                  .union(each(late.where("full"))).union(counted.where("kind = 0").select(F.col("a").alias("ent"), "n")))
+    more = counts.groupBy("ent").agg(F.sum("n").alias("more"))
     table = (table.select("ent", "size").join(more, "ent", "left").join(label.withColumnRenamed("node", "ent"), "ent", "left")
              .select("ent", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("ent_links"), F.coalesce("component", "ent").alias("label")))
     own = exact.where("kind = 0").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("own"))

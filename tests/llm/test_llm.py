@@ -342,6 +342,28 @@ def test_embeddings_match_brute_force(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_loose_group_is_linked_whole(spark):
+    """More links than the windows hold, outside balls and across a ball's rim."""
+    rng = np.random.default_rng(5)
+    centre, other = rng.standard_normal((2, 64))
+    spread = lambda c, n, r: c / np.linalg.norm(c) + r * rng.standard_normal((n, 64)) / 8
+    x = np.concatenate([spread(centre, 2300, 0.2), spread(other, 300, 0.1), spread(other, 60, 0.27), rng.standard_normal((200, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(df).collect()}
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    link = y @ y.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert [got[i]["n_links"] for i in range(len(x))] == link.sum(1).tolist() and link.sum(1).max() > 960
+
+
+def test_passes_follow_the_rows():
+    p = [embed_dedup.passes_for(n, 0.95) for n in (0, 500, 10_000, 1_000_000, 4_000_000)]
+    assert p == sorted(p) and p[0] == 12
+    for n, k in zip((1_000_000, 4_000_000), p[3:], strict=True):
+        assert (1 - (1 - np.arccos(0.95) / np.pi) ** np.log2(n / 40)) ** k <= 0.01 and k > 12
+
+
 # -- HTML
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=x>Menu</a></ul></nav>
