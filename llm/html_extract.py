@@ -10,7 +10,8 @@ second pass reports breaches).  The class of the tokens that every page has
 once is the root of the template; other valid classes nest in the gaps
 (slots) between its tokens.  Extraction removes template text, drops slots
 whose path says menu, header, footer, sidebar, notice, advert, form, script,
-style or comment, and keeps the slots of the article.
+style or comment, and keeps all other blocks of the article or main element
+or, without one, of the page.
 
 Only tokens on at least SUPPORT of a host's pages are kept, so a host's
 template is no larger than a few pages; templates join the pages by host as
@@ -144,17 +145,17 @@ def _close(stack: list[Node], names: set, scope: frozenset) -> None:
             return
 
 
-def blocks(page: str, template: dict[int, int] | None = None, words: frozenset = frozenset()):
-    """Text blocks in page order: (text, out, main, slot, link share, all template text).
+def blocks(page: str, words: frozenset = frozenset()):
+    """Text blocks in page order: (text, out, main, all template text).
 
-    ``template`` maps root tokens to their place; ``words`` are tokens of template text."""
-    parts, meta, slot, links, size, fixed, link = [], None, -1, 0, 0, True, 0
+    ``words`` are tokens of template text."""
+    parts, meta, fixed = [], None, True
 
     def flush():
-        nonlocal parts, links, size, fixed, meta
+        nonlocal parts, fixed, meta
         text = " ".join(entities.unescape("".join(parts)).split())
-        got = (text, meta[0], meta[1], meta[2], links / max(size, 1), fixed) if text else None
-        parts, links, size, fixed, meta = [], 0, 0, True, None
+        got = (text, meta[0], meta[1], fixed) if text else None
+        parts, fixed, meta = [], True, None
         return got
 
     last_out = None
@@ -165,43 +166,27 @@ def blocks(page: str, template: dict[int, int] | None = None, words: frozenset =
                     yield got
             elif text == "br":
                 parts.append(" ")
-            if text == "a":
-                link += 1 if kind == "tag" else -1
-            if template and token in template:
-                slot = template[token]
             continue
         if kind == "text":
             if parts and meta is not None and node.out != meta[0] and (got := flush()):
                 yield got
             last_out = node.out
             if meta is None:
-                meta = (node.out, node.main, slot)
-            size += len(text)
-            links += len(text) if link > 0 else 0
+                meta = (node.out, node.main)
             fixed &= token in words
         parts.append(text)
     if parts and (got := flush()):
         yield got
 
 
-def extract(page: str | None, root=(), words=()) -> str:
-    """The article's blocks, one a line.  ``root``: tokens of the host's root
-    class in order; ``words``: its template text."""
+def extract(page: str | None, words=()) -> str:
+    """The article's blocks, one a line.  ``words``: the host's template text."""
     if not page:
         return ""
-    place = {t: i for i, t in enumerate(root)}
-    found = [b for b in blocks(page, place, frozenset(words)) if not b[1]]
-    kept = [b for b in found if not b[5]] if words else found
-    found = kept or found
+    found = [b for b in blocks(page, frozenset(words)) if not b[1]]
     main = [b for b in found if b[2]]
-    if main:
-        return "\n".join(b[0] for b in main)
-    # no article element: the slots that hold most of the text outside links
-    mass: dict[int, float] = {}
-    for text, _, _, slot, share, _ in found:
-        mass[slot] = mass.get(slot, 0) + len(text) * (1 - min(1.0, share))
-    top = max(mass.values(), default=0)
-    return "\n".join(b[0] for b in found if mass[b[3]] >= 0.2 * top and b[4] < 0.6)
+    kept = [b for b in main or found if not b[3]]
+    return "\n".join(b[0] for b in kept or found)
 
 
 # -- template deduction -----------------------------------------------------
@@ -228,8 +213,7 @@ def _occurrences(page: str | None) -> dict[int, list]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, root: tokens of the root class in order, words: its template
-    text), for hosts of at least MIN_PAGES pages.  ``pages`` has host, html."""
+    """(host, words: the template text of the root class), for hosts of at least MIN_PAGES pages.  ``pages`` has host, html."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             rows = [(h, p, _long(t), c, i, w) for h, p, page in zip(df["host"], df["page"], df["html"], strict=True)
@@ -264,8 +248,7 @@ def templates(pages: DataFrame) -> DataFrame:
     valid = frequent.withColumn("v", F.col("vector").cast("string")).join(bad.withColumnRenamed("vector", "v"), ["host", "v"], "left_anti")
     # the root is the valid class on most pages; the others nest in its slots
     root = valid.groupBy("host").agg(F.max(F.struct("on", F.size("c").alias("size"), "v", "c")).alias("r"))
-    return stored(root.select("host", F.expr("transform(filter(r.c, x -> not x.word), x -> x.token)").alias("root"),
-                              F.expr("transform(filter(r.c, x -> x.word), x -> x.token)").alias("words")), "templates")
+    return stored(root.select("host", F.expr("transform(filter(r.c, x -> x.word), x -> x.token)").alias("words")), "templates")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -282,10 +265,9 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            text = [extract(p, () if r is None else [t % (1 << 64) for t in r.tolist()], () if w is None else [t % (1 << 64) for t in w.tolist()])
-                    for p, r, w in zip(df["html"], df["root"], df["words"], strict=True)]
+            text = [extract(p, () if w is None else [t % (1 << 64) for t in w.tolist()]) for p, w in zip(df["html"], df["words"], strict=True)]
             yield pd.DataFrame({"page_id": df["page_id"], "url": df["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    rows = src.join(found, "host", "left").select("page_id", "url", "html", "root", "words")
+    rows = src.join(found, "host", "left").select("page_id", "url", "html", "words")
     kind = src.schema["page_id"].dataType.simpleString()
     return rows.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -388,6 +388,20 @@ def test_template_text_is_dropped(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def texts_of(spark, bodies, host="h.org"):
+    rows = [(i, f"http://{host}/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(bodies))]
+
+
+def test_pages_without_article_keep_title_lead_and_short_sections(spark):
+    rng = random.Random(22)
+    parts = [[sentence(rng, 3), sentence(rng, 8), sentence(rng, 200), sentence(rng, 5), sentence(rng, 6)] for _ in range(10)]
+    got = texts_of(spark, [f"<div class=top>Same line</div><h1>{a}</h1><div class=lead>{b}</div><div class=body><p>{c}</p></div>"
+                           f"<div class=more><a href=x>{d}</a></div><section><p>{e}</p></section>" for a, b, c, d, e in parts])
+    assert got == ["\n".join(x) for x in parts]
+
+
 # -- pipeline
 
 def test_pipeline_stages(spark):
