@@ -5,13 +5,12 @@ classes and ids).  A token's occurrence vector is its count on each page of
 its host; tokens of one vector form an equivalence class.  Vectors are never
 built: their fingerprint is the sum of hash(page, count), so classes come
 from one map-side combined aggregation.  A class is valid if it is on enough
-of the host's pages and its tokens come in the same order on each of them (a
-second pass reports breaches).  The class of the tokens that every page has
-once is the root of the template; other valid classes nest in the gaps
-(slots) between its tokens.  Extraction removes template text, drops slots
-whose path says menu, header, footer, sidebar, notice, advert, form, script,
-style or comment, and keeps all other blocks of the article or main element
-or, without one, of the page.
+of the host's pages and its tokens come in the same order, as often as they
+are repeated, on each of them (a second pass reports breaches).  The text of
+all valid classes, whatever their counts, is the host's template text.
+Extraction removes it, drops blocks whose path says menu, header, footer,
+sidebar, notice, advert, form, script, style or comment, and keeps all other
+blocks of the article or main element or, without one, of the page.
 
 Only tokens on at least SUPPORT of a host's pages are kept, so a host's
 template is no larger than a few pages; templates join the pages by host as
@@ -212,8 +211,16 @@ def _occurrences(page: str | None) -> dict[int, list]:
     return seen
 
 
+def _ordered(tokens: list[int], seen: dict[int, list[int]]) -> bool:
+    """Whether the tokens of a class on a page come in order, round by round."""
+    at = [seen[t] for t in tokens if t in seen]
+    flat = [i for around in zip(*at, strict=False) for i in around]
+    return flat == sorted(flat)
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, words: the template text of the root class), for hosts of at least MIN_PAGES pages.  ``pages`` has host, html."""
+    """(host, words: the text tokens of its valid classes), for hosts of at
+    least MIN_PAGES pages.  ``pages`` has host, page_id, url, html."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             rows = [(h, p, _long(t), c, i, w) for h, p, page in zip(df["host"], df["page"], df["html"], strict=True)
@@ -221,34 +228,36 @@ def templates(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["host", "page", "token", "n", "at", "word"])
 
     src = pages.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")
-    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    hosts = src.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
     tokens = (src.mapInPandas(count, "host string, page long, token long, n long, at long, word boolean")
               .groupBy("host", "token")
               .agg(F.count(F.lit(1)).alias("on"), F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"),
-                   F.max("n").alias("most"), F.avg("at").alias("at"), F.max("word").alias("word")))
-    # classes of tokens on most pages, once each: the candidates for the root
-    frequent = stored(tokens.where("most = 1").join(hosts, "host").where(F.col("on") >= SUPPORT * F.col("pages"))
-                      .groupBy("host", "vector").agg(F.max("on").alias("on"), F.array_sort(F.collect_list(F.struct("at", "token", "word"))).alias("c"))
-                      .where("size(c) > 1 and exists(c, x -> not x.word)"), "classes")
+                   F.avg("at").alias("at"), F.max("word").alias("word")))
+    # classes with text of the tokens on most pages, however often they occur there
+    frequent = stored(tokens.join(hosts, "host").where(F.col("on") >= SUPPORT * F.col("pages"))
+                      .groupBy("host", F.col("vector").cast("string").alias("vector"))
+                      .agg(F.array_sort(F.collect_list(F.struct("at", "token", "word"))).alias("c"))
+                      .where("exists(c, x -> x.word)"), "classes")
 
     def breaches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             bad = set()
             for host, page, classes in zip(df["host"], df["html"], df["classes"], strict=True):
-                seen = {_long(t): x[1] for t, x in _occurrences(page).items()}
-                for c in classes:
-                    at = [seen[t] for t in c["tokens"] if t in seen]
-                    if at != sorted(at):
-                        bad.add((host, c["vector"]))
+                seen: dict[int, list[int]] = {t: [] for c in classes for t in c["tokens"]}
+                for i, (_, token, _, _) in enumerate(events(page or "")):
+                    if (at := seen.get(_long(token))) is not None:
+                        at.append(i)
+                seen = {t: at for t, at in seen.items() if at}
+                bad.update((host, c["vector"]) for c in classes if not _ordered(c["tokens"], seen))
             yield pd.DataFrame(list(bad), columns=["host", "vector"])
 
-    per = frequent.groupBy("host").agg(F.collect_list(F.struct(F.col("vector").cast("string").alias("vector"), F.col("c.token").alias("tokens"))).alias("classes"))
-    bad = (pages.select("host", "html").join(stored(per, "host-classes"), "host").select("host", "html", "classes")
+    # a class of one token has no order to breach
+    per = frequent.where("size(c) > 1").groupBy("host").agg(F.collect_list(F.struct("vector", F.col("c.token").alias("tokens"))).alias("classes"))
+    bad = (src.select("host", "html").join(stored(per, "host-classes"), "host").select("host", "html", "classes")
            .mapInPandas(breaches, "host string, vector string").distinct())
-    valid = frequent.withColumn("v", F.col("vector").cast("string")).join(bad.withColumnRenamed("vector", "v"), ["host", "v"], "left_anti")
-    # the root is the valid class on most pages; the others nest in its slots
-    root = valid.groupBy("host").agg(F.max(F.struct("on", F.size("c").alias("size"), "v", "c")).alias("r"))
-    return stored(root.select("host", F.expr("transform(filter(r.c, x -> x.word), x -> x.token)").alias("words")), "templates")
+    valid = frequent.join(bad, ["host", "vector"], "left_anti")
+    words = F.expr("flatten(collect_list(transform(filter(c, x -> x.word), x -> x.token)))")
+    return stored(valid.groupBy("host").agg(words.alias("words")), "templates")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

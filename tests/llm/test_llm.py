@@ -394,6 +394,15 @@ def texts_of(spark, bodies, host="h.org"):
     return [got[i] for i in range(len(bodies))]
 
 
+def test_template_text_of_all_classes_is_dropped(spark):
+    """Text on 19 of 20 pages, and text that stands twice on each."""
+    rng = random.Random(21)
+    body = [sentence(rng, 30) for _ in range(20)]
+    got = texts_of(spark, [f"<div>Top line</div><p>Twice here</p><div><p>{b}</p></div>" + ("<div>Nearly all</div>" if i else "") + "<p>Twice here</p>"
+                           for i, b in enumerate(body)])
+    assert got == body
+
+
 def test_pages_without_article_keep_title_lead_and_short_sections(spark):
     rng = random.Random(22)
     parts = [[sentence(rng, 3), sentence(rng, 8), sentence(rng, 200), sentence(rng, 5), sentence(rng, 6)] for _ in range(10)]
