@@ -12,6 +12,10 @@ Extraction removes it, drops blocks whose path says menu, header, footer,
 sidebar, notice, advert, form, script, style or comment, and keeps all other
 blocks of the article or main element or, without one, of the page.
 
+Pages of a host that agree in their longest text runs, up to COPY of the text,
+are copies of one article and count once: else a host of mirrors would take
+its article for template.
+
 Only tokens on at least SUPPORT of a host's pages are kept, so a host's
 template is no larger than a few pages; templates join the pages by host as
 a stored table, which Spark broadcasts when it is small.
@@ -32,6 +36,7 @@ from llm.common import small_batches, stored
 
 SUPPORT = 0.9
 MIN_PAGES = 8
+COPY = 0.8
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)
  |<(?P<raw>script|style|textarea|title|xmp|noembed|noframes)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
@@ -185,6 +190,9 @@ def extract(page: str | None, words=()) -> str:
     found = [b for b in blocks(page, frozenset(words)) if not b[1]]
     main = [b for b in found if b[2]]
     kept = [b for b in main or found if not b[3]]
+    # an article or main element that is mostly template text is a copied article
+    if main and 2 * sum(len(b[0]) for b in kept) < sum(len(b[0]) for b in main):
+        kept = main
     return "\n".join(b[0] for b in kept or found)
 
 
@@ -218,9 +226,22 @@ def _ordered(tokens: list[int], seen: dict[int, list[int]]) -> bool:
     return flat == sorted(flat)
 
 
+def _copies(pages: DataFrame) -> DataFrame:
+    """(host, page) of all pages but one of each set of copies.  Rows that
+    are equal in all columns count as one page here."""
+    text = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\z)", "<>")
+    runs = pages.select("host", "page", F.split(text, "<[^>]*>").alias("r")).withColumn(
+        "r", F.expr("array_sort(transform(filter(r, x -> trim(x) != ''), x -> struct(-length(trim(x)) as n, xxhash64(trim(x)) as h)))"))
+    total = runs.withColumn("total", F.expr("aggregate(r, 0L, (a, x) -> a - x.n)")).where("total > 0")
+    sign = F.expr(f"aggregate(r, struct(0L as seen, 0L as h), (a, x) -> if(a.seen < {COPY} * total, struct(a.seen - x.n as seen, xxhash64(a.h, x.h) as h), a)).h")
+    signed = stored(total.select("host", "page", sign.alias("sign")), "page-signs")
+    first = signed.groupBy("host", "sign").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stored(signed.join(first, ["host", "sign"]).where("page != first").select("host", "page").distinct(), "copies")
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, words: the text tokens of its valid classes), for hosts of at
-    least MIN_PAGES pages.  ``pages`` has host, page_id, url, html."""
+    least MIN_PAGES different pages.  ``pages`` has host, page_id, url, html."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             rows = [(h, p, _long(t), c, i, w) for h, p, page in zip(df["host"], df["page"], df["html"], strict=True)
@@ -228,6 +249,7 @@ def templates(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["host", "page", "token", "n", "at", "word"])
 
     src = pages.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")
+    src = src.join(_copies(src), ["host", "page"], "left_anti").select("host", "page", "html")
     hosts = src.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
     tokens = (src.mapInPandas(count, "host string, page long, token long, n long, at long, word boolean")
               .groupBy("host", "token")
@@ -265,7 +287,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     n_chars.
 
     Null or empty html gives empty text.  Pages with a null or relative url
-    share the host ''.  Repeated rows are extracted each (all copies count in
+    share the host ''.  Repeated rows are extracted each (copies count once in
     their host's statistics); an empty table gives no rows; other columns are
     not read."""
     small_batches(pages.sparkSession)

@@ -411,6 +411,17 @@ def test_pages_without_article_keep_title_lead_and_short_sections(spark):
     assert got == ["\n".join(x) for x in parts]
 
 
+def test_host_of_copies_keeps_its_article(spark):
+    rng = random.Random(23)
+    text = [sentence(rng, 40) for _ in range(3)]
+    inner = "".join(f"<p>{t}</p>" for t in text)
+    want = ["\n".join([f"Seen {i} times", *text]) for i in range(10)]
+    assert texts_of(spark, [f"<div class=n>Seen {i} times</div>{inner}" for i in range(10)]) == want
+    # a long paragraph differs too, so the pages are no copies
+    odd = [sentence(rng, 60) for _ in range(10)]
+    assert texts_of(spark, [f"<article>{inner}<p>{o}</p></article>" for o in odd]) == ["\n".join([*text, o]) for o in odd]
+
+
 # -- pipeline
 
 def test_pipeline_stages(spark):
