@@ -401,6 +401,8 @@ def test_template_text_of_all_classes_is_dropped(spark):
     got = texts_of(spark, [f"<div>Top line</div><p>Twice here</p><div><p>{b}</p></div>" + ("<div>Nearly all</div>" if i else "") + "<p>Twice here</p>"
                            for i, b in enumerate(body)])
     assert got == body
+    got = texts_of(spark, [f"<article><p>Twice here</p><p>{b}</p>" + ("<p>Nearly all</p>" if i else "") + "<p>Twice here</p></article>" for i, b in enumerate(body)])
+    assert got == body
 
 
 def test_pages_without_article_keep_title_lead_and_short_sections(spark):
