@@ -86,27 +86,22 @@ def ngrams(toks: Column, n: int, sep: str = "_") -> Column:
     return let(toks, body)
 
 
-_STOP_CACHE: dict[str, list[str]] = {}
+# FIXED VALUES: the English stop words that StopWordsRemover loads by default
+ENGLISH_STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+itself they them their theirs themselves what which who whom this that these those am is are was were be been being
+have has had having do does did doing a an the and but if or because as until while of at by for with about against
+between into through during before after above below to from up down in out on off over under again further then once
+here there when where why how all any both each few more most other some such no nor not only own same so than too
+very s t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm
+you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't
+doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's
+there's what's when's where's who's why's would
+""".split()
 
 
 def english_stop_words() -> list[str]:
-    """Spark ML's default English stop-word list, read from the Spark ML jar
-    that ships with pyspark (same list as
-    ``StopWordsRemover.loadDefaultStopWords("english")``, no JVM needed)."""
-    if "english" not in _STOP_CACHE:
-        import glob
-        import os
-        import zipfile
-
-        import pyspark
-        jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-        if not jars:
-            raise FileNotFoundError("the spark-mllib jar with the stop-word list is not beside pyspark")
-        with zipfile.ZipFile(jars[0]) as z:
-            raw = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-        words = [w.strip() for w in raw.splitlines() if w.strip()]
-        _STOP_CACHE["english"] = words
-    return _STOP_CACHE["english"]
+    return ENGLISH_STOP_WORDS
 
 
 def stop_array() -> Column:
