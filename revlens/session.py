@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library is designed around: AQE re-plans shuffles at run
 # time (coalescing small partitions, splitting skewed join partitions),
@@ -61,3 +62,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="revlens-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def shared_scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), "revlens-work", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage and
+    outlives executors."""
+    path = shared_scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

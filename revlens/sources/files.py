@@ -8,7 +8,6 @@ temporary folder.
 """
 
 import os
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from revlens.functions import constants as K
-from revlens.session import ensure_checkpoint_dir
+from revlens.session import shared_scratch
 
 FORMATS = {".csv": "csv", ".dat": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "json",
            ".parquet": "parquet", "": "parquet"}
@@ -27,12 +26,6 @@ RAW_REVIEW_SCHEMA = ("id string, app_id string, app_name string, category_id str
                      "vote_sum long, date timestamp")
 
 
-def shared_scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "revlens-work", f"{name}-{uuid.uuid4().hex[:12]}")
-
-
 def _fmt(path: str) -> str:
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext not in FORMATS:
