@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import read
+from llm.merkle import MANIFEST_SQL
 from llm.mixing import MIX_SQL, POSITION_SQL
 
 
@@ -75,9 +76,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, verified against planted changes."""
+    from llm.merkle import manifest, tampering
+    docs = read(spark, sf_dir, "documents")
+    changed, when = tampering(docs)
+    return manifest(docs, changed=changed, when=when).withColumnRenamed("folded", "folded_root")
+
+
 QUERIES = {"op1_html_text": op1_html_text, "op4_embedding_dedup": op4_embedding_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op3_secret_scan": op3_secret_scan, "op5_mixing": op5_mixing,
-           "op2_token_counts": op2_token_counts, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
+           "op2_token_counts": op2_token_counts, "op9_warc": op9_warc, "op10_language_id": op10_language_id,
+           "op12_merkle_manifest": op12_merkle_manifest}
 ORACLES: dict[str, str] = {
     "op5_mixing": MIX_SQL.format(docs="documents", cols="doc_id, cast(size AS BIGINT) AS size, source_size, round(target, 6) AS target, "
                                  f"cast(size * copies AS BIGINT) AS taken, round({POSITION_SQL}, 6) AS position"),
+    "op12_merkle_manifest": MANIFEST_SQL,
 }
