@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import read
+from llm.hard_negatives import NEGATIVES_SQL
 from llm.merkle import MANIFEST_SQL
 from llm.mixing import MIX_SQL, POSITION_SQL
 
@@ -76,6 +77,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and the text that they decode to."""
+    from llm.bpe import n_tokens, round_trip
+    rows = round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document, verified against planted changes."""
     from llm.merkle import manifest, tampering
@@ -84,11 +93,21 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(docs, changed=changed, when=when).withColumnRenamed("folded", "folded_root")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding and its five best positives."""
+    from llm.hard_negatives import mine
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(rows["vec_id"] % 7 == 0, (rows["label"] + 1) % 10).otherwise(rows["label"])
+    return mine(rows, F.col("id") % 100 == 0, relabel=moved)
+
+
 QUERIES = {"op1_html_text": op1_html_text, "op4_embedding_dedup": op4_embedding_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op3_secret_scan": op3_secret_scan, "op5_mixing": op5_mixing,
            "op2_token_counts": op2_token_counts, "op9_warc": op9_warc, "op10_language_id": op10_language_id,
-           "op12_merkle_manifest": op12_merkle_manifest}
+           "op11_bpe_codec": op11_bpe_codec, "op12_merkle_manifest": op12_merkle_manifest,
+           "op13_hard_negatives": op13_hard_negatives}
 ORACLES: dict[str, str] = {
     "op5_mixing": MIX_SQL.format(docs="documents", cols="doc_id, cast(size AS BIGINT) AS size, source_size, round(target, 6) AS target, "
                                  f"cast(size * copies AS BIGINT) AS taken, round({POSITION_SQL}, 6) AS position"),
     "op12_merkle_manifest": MANIFEST_SQL,
+    "op13_hard_negatives": NEGATIVES_SQL,
 }
