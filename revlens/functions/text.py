@@ -41,6 +41,8 @@ EMOJI_RANGES = """
 1F90C-1F93A 1F93C-1F945 1F947-1F9FF 1FA70-1FA7C 1FA80-1FA89 1FA8F-1FAC6 1FACE-1FADC 1FADF-1FAE9 1FAF0-1FAF8
 """
 EMOJI_CLASS = "[" + "".join("-".join(rf"\x{{{x}}}" for x in r.split("-")) for r in EMOJI_RANGES.split()) + "]"
+# every emoji is one of these
+EMOJI_GUARD = r"[\xA9\xAE\x{203C}-\x{1FAF8}]"
 
 
 def tokens(c: Column) -> Column:

@@ -3,25 +3,22 @@ inequality, correlation, bivariate summaries, text term tables)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def boxplot_stats(df: DataFrame, x: str) -> DataFrame:
-    """Five-number summary (linear quartiles) and 1.5 IQR whisker fences.
-    Quartiles come from a distributed (value, count) histogram."""
-    h = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    q = F.percentile(F.col("_v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_c"))
-    s = h.agg(F.min("_v").cast("double").alias("min"), q.alias("_q"), F.max("_v").cast("double").alias("max"))
-    iqr = F.col("_q")[2] - F.col("_q")[0]
-    return s.select(F.lit(x).alias("measure"), "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("q3"), "max", (F.col("_q")[0] - 1.5 * iqr).alias("lower_fence"),
-                    (F.col("_q")[2] + 1.5 * iqr).alias("upper_fence"))
+from revlens.functions.ordered import running
+from revlens.functions.quantiles import exact_quantiles
+from revlens.functions.stats import null_safe_join
 
 
-from pyspark.sql import Window  # noqa: E402
-
-from revlens.functions.stats import null_safe_join  # noqa: E402
+def boxplot_stats(df: DataFrame, x: str) -> DataFrame:
+    """Five-number summary (linear quartiles) and 1.5 IQR whisker fences."""
+    ends = df.agg(F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"))
+    s = ends.crossJoin(exact_quantiles(df, x, [0.25, 0.5, 0.75]))  # two one-row tables
+    q1, q3 = F.col("q")[0], F.col("q")[2]
+    iqr = q3 - q1
+    return s.select(F.lit(x).alias("measure"), "min", q1.alias("q1"), F.col("q")[1].alias("median"), q3.alias("q3"), "max",
+                    (q1 - 1.5 * iqr).alias("lower_fence"), (q3 + 1.5 * iqr).alias("upper_fence"))
 
 
 def _hist(df: DataFrame, x: str) -> DataFrame:
@@ -42,8 +39,8 @@ def author_counts_by_category(df: DataFrame, key: str = "category", who: str = "
     present = present.crossJoin(total)
     zeros = present.select(key, F.lit(0).cast("bigint").alias("n"), (F.col("N") - F.col("k")).alias("m"))
     hz = h.unionByName(zeros).where(F.col("m") > 0)
-    q = hz.groupBy(key).agg(F.percentile(F.col("n"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("m")).alias("_q"),
-                            F.min("n").cast("double").alias("min"))
+    q = null_safe_join(exact_quantiles(hz, "n", [0.25, 0.5, 0.75], by=[key], weight="m").withColumnRenamed("q", "_q"),
+                       hz.groupBy(key).agg(F.min("n").cast("double").alias("min")), [key])
     N = F.col("N").cast("double")
     mean = F.col("s") / N
     var = (F.col("ss") - F.col("s") * F.col("s") / N) / (N - 1)
@@ -112,26 +109,21 @@ def diversity_index(df: DataFrame, x: str) -> DataFrame:
 def lorenz_gini(df: DataFrame, who: str = "author") -> DataFrame:
     """Lorenz curve of reviews per ``who`` and the Gini coefficient.
 
-    Keys are grouped by their review count first: the ordered running sums
-    run over the distinct count values (a few thousand at most), never over
-    millions of keys in one task.  With counts sorted ascending, the m keys
-    of count c occupy ranks P+1..P+m, so their share of sum(i * n_i) is
+    Keys are grouped by their review count first; the running sums over the
+    distinct counts go by range partitions.  With counts sorted ascending, the
+    m keys of count c occupy ranks P+1..P+m, so their share of sum(i * n_i) is
     c * (m * P + m (m + 1) / 2).
     """
     per = df.groupBy(who).agg(F.count(F.lit(1)).alias("n"))
     lv = per.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)  # distinct counts only
-    wc = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    lv = (lv.withColumn("P", F.coalesce(F.sum("m").over(w), F.lit(0)))
-            .withColumn("cum_keys", F.sum("m").over(wc))
-            .withColumn("cum_reviews", F.sum(F.col("n") * F.col("m")).over(wc)))
+    lv = running(lv, ["n"], {"P": F.col("m"), "before": F.col("n") * F.col("m")})
     tot = lv.agg(F.sum("m").alias("k"), F.sum(F.col("n") * F.col("m")).alias("s"),
                  F.sum(F.col("n").cast("double") * (F.col("m").cast("double") * F.col("P") + F.col("m").cast("double") * (F.col("m") + 1) / 2)).alias("si"))
     gini = tot.select("k", "s", (2 * F.col("si") / (F.col("k").cast("double") * F.col("s")) - (F.col("k") + 1) / F.col("k")).alias("gini"))
     return lv.crossJoin(gini).select(
         F.col("n").alias("reviews_per_key"), F.col("m").alias("keys"),
-        (F.col("cum_keys") / F.col("k")).alias("cum_key_share"),
-        (F.col("cum_reviews") / F.col("s")).alias("cum_review_share"), "gini")
+        ((F.col("P") + F.col("m")) / F.col("k")).alias("cum_key_share"),
+        ((F.col("before") + F.col("n") * F.col("m")) / F.col("s")).alias("cum_review_share"), "gini")
 
 
 def frequency_spread(df: DataFrame, x: str) -> DataFrame:
@@ -150,17 +142,11 @@ def all_modes(df: DataFrame, x: str) -> DataFrame:
 
 def pareto(df: DataFrame, x: str) -> DataFrame:
     """All values by descending count (ties by value) with running count and
-    running percent.  Running sums are split in two: an offset per distinct
-    count value (window over distinct counts) plus a rank inside the group
-    of values sharing that count (window partitioned by the count)."""
-    h = _hist(df, x)
-    lv = h.groupBy("_c").agg(F.count(F.lit(1)).alias("_m"))
-    w = Window.orderBy(F.col("_c").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    lv = lv.withColumn("_off", F.coalesce(F.sum(F.col("_c") * F.col("_m")).over(w), F.lit(0)))
-    t = lv.agg(F.sum(F.col("_c") * F.col("_m")).alias("_t"))
-    j = h.join(F.broadcast(lv.crossJoin(t)), "_c")  # one row per distinct count
-    r = F.row_number().over(Window.partitionBy("_c").orderBy(F.col("_v").asc_nulls_first()))
-    j = j.withColumn("cumulative", F.col("_off") + r * F.col("_c"))
+    running percent.  The running count goes by ranges of (count, value), so
+    values that share one count are spread over tasks too."""
+    h = running(_hist(df, x), [F.col("_c").desc(), "_v"], {"before": F.col("_c")})
+    total = h.agg(F.sum("_c").alias("_t"))
+    j = h.crossJoin(F.broadcast(total)).withColumn("cumulative", F.col("before") + F.col("_c"))  # one row
     return j.select(F.col("_v").alias(x), F.col("_c").alias("count"), "cumulative",
                     (F.col("cumulative") * 100.0 / F.col("_t")).alias("cumulative_percent"))
 
@@ -188,8 +174,8 @@ def rating_vs_measures(df: DataFrame, rating: str = "rating",
 
 def rating_distribution(df: DataFrame, key: str = "category", rating: str = "rating") -> DataFrame:
     g = df.groupBy(key, rating).agg(F.count(F.lit(1)).alias("count"))
-    t = df.groupBy(key).agg(F.count(F.lit(1)).alias("_t"))
-    return null_safe_join(g, t, [key]).select(key, rating, "count", (F.col("count") / F.col("_t")).alias("share"))
+    whole = F.sum("count").over(Window.partitionBy(key))  # over a group's ratings, not its rows
+    return g.select(key, rating, "count", (F.col("count") / whole).alias("share"))
 
 
 def top_apps_per_category(df: DataFrame, n: int = 3, key: str = "category", app: str = "app_name") -> DataFrame:
@@ -221,13 +207,12 @@ def multi_review_authors(df: DataFrame, who: str = "author", min_reviews: int =
 def qq_points(df: DataFrame, x: str, points: int = 99) -> DataFrame:
     """Sample quantiles (linear) against standard-normal quantiles at
     p = i / (points + 1).  The grid of theoretical values is a fixed
-    ``points``-row table; sample quantiles come from one histogram pass."""
+    ``points``-row table; all sample quantiles come from one selection."""
     from statistics import NormalDist
     grid = [(i, i / (points + 1), NormalDist().inv_cdf(i / (points + 1))) for i in range(1, points + 1)]
     g = df.sparkSession.createDataFrame(grid, "i int, p double, theoretical double")
-    h = _hist(df, x)
-    q = h.agg(F.percentile(F.col("_v"), F.array(*[F.lit(p) for _, p, _ in grid]), F.col("_c")).alias("_q"))
-    return g.crossJoin(q).select("i", "p", "theoretical", F.element_at("_q", F.col("i")).alias("sample"))
+    q = exact_quantiles(df, x, [p for _, p, _ in grid])
+    return g.crossJoin(q).select("i", "p", "theoretical", F.element_at("q", F.col("i")).alias("sample"))
 
 
 # --------------------------------------------------------------------------- A33 / A34
@@ -241,10 +226,12 @@ def term_frequency(df: DataFrame, tokens_column: str, key: str | None = None) ->
 def tfidf_top_terms(df: DataFrame, tokens_column: str, key: str, doc_key: str = "id", n: int = 5) -> DataFrame:
     """Per group: the n terms with the highest tf * idf, where tf = term
     count in the group and idf = ln(documents / documents containing the
-    term).  Document frequencies come from (term, doc) distinct pairs."""
+    term).  Tokens are exploded once, into (term, doc, group) counts that give
+    both figures."""
     e = df.select(key, doc_key, F.explode(F.col(tokens_column)).alias("term"))
-    tf = e.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = e.select("term", doc_key).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    c = e.groupBy("term", doc_key, key).agg(F.count(F.lit(1)).alias("n"))
+    tf = c.groupBy(key, "term").agg(F.sum("n").alias("tf"))
+    dfreq = c.groupBy("term", doc_key).agg(F.sum("n").alias("n")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ndocs = df.agg(F.count(F.lit(1)).alias("_N"))
     s = (tf.join(dfreq, "term").crossJoin(F.broadcast(ndocs))
            .withColumn("tfidf", F.col("tf") * F.ln(F.col("_N") / F.col("df"))))
@@ -275,51 +262,6 @@ def collocations(df: DataFrame, tokens_column: str, min_count: int = 1) -> DataF
     return j.select("w1", "w2", "count", pmi.alias("pmi"))
 
 
-# --------------------------------------------------------------------------- A35 / A36
-def cluster_texts(df: DataFrame, text_column: str, k: int = 8, seed: int = 42, num_features: int = 1024,
-                  pca_dims: int = 2) -> DataFrame:
-    """TF-IDF vectors -> K-means cluster id, plus PCA coordinates for plots
-    (Spark ML; distributed fits, only model coefficients reach the driver).
-    Vectors are hashed to ``num_features`` dense dimensions: PCA aggregates
-    a d x d covariance, so d stays small whatever the data size."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, StopWordsRemover
-    from pyspark.ml.functions import vector_to_array
-    p = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_column, outputCol="_w", pattern=r"[^\p{L}\p{N}_']+", toLowercase=True),
-        StopWordsRemover(inputCol="_w", outputCol="_ws"),
-        HashingTF(inputCol="_ws", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_xs"),
-    ])
-    from pyspark.ml.functions import array_to_vector
-    vec = p.fit(df).transform(df).withColumn("_x", array_to_vector(vector_to_array("_xs")))
-    p2 = Pipeline(stages=[KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed, maxIter=20),
-                          PCA(inputCol="_x", outputCol="_pca", k=pca_dims)])
-    out = p2.fit(vec).transform(vec)
-    return (out.withColumn("_p", vector_to_array("_pca"))
-               .select(*[c for c in df.columns if c != text_column], "cluster",
-                       *[F.col("_p")[i].alias(f"pc{i + 1}") for i in range(pca_dims)]))
-
-
-def topics(df: DataFrame, tokens_column: str, k: int = 5, vocab_size: int = 1 << 18, top_terms: int = 8,
-           seed: int = 42) -> DataFrame:
-    """Latent topics (LDA over term counts, every iteration over all texts):
-    per topic, its top terms and weights.  ``vocab_size`` bounds the model:
-    beyond that many distinct terms, the rarest are left out."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    cv = CountVectorizer(inputCol=tokens_column, outputCol="_tf", vocabSize=vocab_size, minDF=1).fit(df)
-    vecs = cv.transform(df)
-    lda = LDA(featuresCol="_tf", k=k, seed=seed, maxIter=10, optimizer="online", subsamplingRate=1.0).fit(vecs)
-    vocab = df.sparkSession.createDataFrame(list(enumerate(cv.vocabulary)), "idx int, term string")
-    d = lda.describeTopics(top_terms)
-    e = d.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "_t"))
-    e = e.select("topic", "rank", F.col("_t.termIndices").alias("idx"), F.col("_t.termWeights").alias("weight"))
-    return e.join(F.broadcast(vocab), "idx").select("topic", "rank", "term", "weight")  # vocab <= vocab_size
-
-
 # --------------------------------------------------------------------------- L3
 def first_reviews(df: DataFrame, n: int = 5, date_column: str = "date", key: str = "id",
                   newest: bool = False) -> DataFrame:
@@ -330,14 +272,12 @@ def first_reviews(df: DataFrame, n: int = 5, date_column: str = "date", key: str
 
 
 def describe_by(df: DataFrame, x: str, by: str) -> DataFrame:
-    """describe() of ``x`` per group of ``by`` (quartiles from per-group
-    value histograms)."""
+    """describe() of ``x`` per group of ``by`` (quartiles by distributed
+    selection, so a hot group is spread over tasks)."""
     base = df.groupBy(by).agg(F.count(F.col(x)).alias("count"), F.avg(x).alias("mean"),
                               F.stddev_samp(x).alias("std"), F.min(x).cast("double").alias("min"),
                               F.max(x).cast("double").alias("max"))
-    h = df.where(F.col(x).isNotNull()).groupBy(by, F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    q = h.groupBy(by).agg(F.percentile(F.col("_v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)),
-                                       F.col("_c")).alias("_q"))
+    q = exact_quantiles(df, x, [0.25, 0.5, 0.75], by=[by]).withColumnRenamed("q", "_q")
     j = null_safe_join(base, q, [by], "left")
     return j.select(by, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
                     F.col("_q")[2].alias("p75"), "max")

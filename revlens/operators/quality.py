@@ -4,13 +4,12 @@ Stateless checks (nulls, emoji, special characters, dates, ratings, e-mail,
 URL, phone) are single column expressions, so a whole assessment is one
 projection over the scan.  Two checks need data-wide state:
 
-* duplicates: a full-row ``groupBy`` with map-side combine collapses
-  repeats before any shuffle (a hot key holding a third of the rows is
-  reduced locally, never sorted in one task); per-key "first" rows are
-  chosen by a second aggregation and joined back on the key, and the row
-  multiplicities are re-expanded with ``explode(sequence(1, n))``;
-* outliers: quartiles from a (value, count) histogram aggregated in
-  parallel, then one scalar row cross-joined to every row.
+* duplicates: 128-bit digests of the row and of each key are counted with
+  map-side combine (a hot key holding a third of the rows is reduced
+  locally); only keys with more than one row are joined back, and the
+  multiplicities of equal rows are re-expanded with ``explode(sequence(1, n))``;
+* outliers: quartiles by distributed selection over a (value, count)
+  histogram, then one scalar row cross-joined to every row.
 """
 
 from __future__ import annotations
@@ -23,45 +22,58 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from revlens.functions import constants as K
 from revlens.functions import text as T
-from revlens.functions.stats import null_safe_join
+from revlens.functions.quantiles import exact_quantiles
+from revlens.session import shared_table
 
 
 # --------------------------------------------------------------------------- duplicates
+def row_digest(cols: Sequence[str]) -> Column:
+    """MD5 (16 bytes) of the columns as text, each with its length before it;
+    nulls are told apart from values."""
+    def one(c):
+        t = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-"))
+    return F.unhex(F.md5(F.concat(*[one(c) for c in cols]).cast("binary")))
+
+
 def flag_duplicates(df: DataFrame, flags: dict[str, Sequence[str] | None],
                     business: Sequence[str] | None = None) -> DataFrame:
     """Add one boolean per entry of ``flags``: name -> key columns (None =
     all ``business`` columns).  The first row of each key group is not a
-    duplicate; "first" is the smallest row by all business columns (nulls
-    first), so the choice is deterministic.  Nulls compare equal.
+    duplicate; "first" is the row of smallest digest, so the choice does not
+    depend on the order of the input.  Nulls compare equal.
+
+    Only digests are grouped.  Keys with more than one row come back as a
+    small table; all other rows pass without a shuffle (as long as that table
+    can be broadcast), and the full columns move only for rows that have an
+    equal copy.
     """
-    cols = list(business or df.columns)
-    extra = [c for c in df.columns if c not in cols]
-    allc = cols + extra
-    g = df.groupBy(*allc).agg(F.count(F.lit(1)).alias("_n"))
-    firsts = []
-    for i, (name, keys) in enumerate(flags.items()):
-        if keys is None:
-            continue
-        rest = [c for c in cols if c not in keys]
-        if rest:
-            f = (g.groupBy(*keys).agg(F.min(F.struct(*rest)).alias(f"_first{i}")))
-            g = null_safe_join(g, f, list(keys), "left")
-            firsts.append((name, F.struct(*rest).eqNullSafe(F.col(f"_first{i}"))))
-        else:
-            firsts.append((name, F.lit(True)))
+    allc = df.columns
+    keys = {f"_first{i}": list(k if k is not None else business or allc) for i, k in enumerate(flags.values())}
+    whole = [f for f, k in keys.items() if set(k) == set(allc)]
+    wide = df.withColumn("_d", row_digest(allc))
+    narrow = df.select(row_digest(allc).alias("_d"), *[row_digest(k).alias(f"_k{f}") for f, k in keys.items() if f not in whole])
+    rows = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("_n"))
+    kind = rows.schema["_d"].dataType
+    marks = rows.where("_n > 1").select("_d", "_n", *[(F.col("_d") if f in whole else F.lit(None).cast(kind)).alias(f) for f in keys])
+    for f in keys:
+        if f not in whole:
+            first = rows.groupBy(f"_k{f}").agg(F.sum("_n").alias("_c"), F.min("_d").alias("_m")).where("_c > 1")
+            marks = marks.unionByName(rows.join(first, f"_k{f}").select(
+                "_d", "_n", *[(F.col("_m") if g == f else F.lit(None).cast(kind)).alias(g) for g in keys]))
+    marks = shared_table(marks.groupBy("_d").agg(F.max("_n").alias("_n"), *[F.max(f).alias(f) for f in keys]), "duplicate-keys")
+
+    def flagged(part: DataFrame, copy: Column) -> DataFrame:
+        return part.select(*[F.col(c) for c in allc], *[(F.col(f).isNotNull() & ~(F.col("_d").eqNullSafe(F.col(f)) & (copy == 1))).alias(name)
+                                                       for f, name in zip(keys, flags, strict=True)])
+
+    single = wide.join(marks, "_d", "left").where("_n is null or _n = 1")
+    copied = (wide.join(marks.where("_n > 1"), "_d").groupBy("_d", "_n", *keys).agg(F.first(F.struct(*allc)).alias("_r")).select("_d", "_n", *keys, "_r.*"))
     # copies in two steps, so no array is longer than 2^16 or n / 2^16
     step = 1 << 16
-    out = g.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / step).cast("long"))).alias("_m"))
-    out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(step).cast("long"), F.col("_n") - F.col("_m") * step))).alias("_j"))
-    out = out.withColumn("_k", F.col("_m") * step + F.col("_j")).drop("_m", "_j")
-    exprs = [F.col(c) for c in allc]
-    fi = dict(firsts)
-    for name, keys in flags.items():
-        if keys is None:
-            exprs.append((F.col("_k") > 1).alias(name))
-        else:
-            exprs.append((~(fi[name] & (F.col("_k") == 1))).alias(name))
-    return out.select(*exprs)
+    copied = copied.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / step).cast("long"))).alias("_m"))
+    copied = copied.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(step).cast("long"), F.col("_n") - F.col("_m") * step))).alias("_j"))
+    return flagged(single, F.lit(1)).unionByName(flagged(copied, F.col("_m") * step + F.col("_j")))
 
 
 # --------------------------------------------------------------------------- stateless checks
@@ -82,7 +94,8 @@ def _nn(cond: Column) -> Column:
 
 
 def has_emoji(c: Column) -> Column:
-    return _nn(c.rlike(T.EMOJI_CLASS))
+    # one range first: the class has some 150, and few texts have a character above it
+    return _nn(c.rlike(T.EMOJI_GUARD) & c.rlike(T.EMOJI_CLASS))
 
 
 def has_excessive_special_chars(c: Column, threshold: float = K.SPECIAL_CHAR_THRESHOLD) -> Column:
@@ -117,17 +130,14 @@ def quartile_bounds(df: DataFrame, column: str, method: str = "exact") -> DataFr
     """One row: q1, q3, lower, upper fences (1.5 IQR) of ``column``.
 
     exact: linear-interpolated quartiles (pandas / DuckDB ``quantile_cont``)
-    computed from a distributed (value, count) histogram, so the final
-    buffer holds one entry per distinct value, not per row.  approx:
-    ``percentile_approx`` with a bounded, mergeable sketch, for wide
-    continuous columns.
+    by distributed selection.  approx: ``percentile_approx`` with a bounded,
+    mergeable sketch.
     """
     v = F.col(column)
     if method == "approx":
         q = df.agg(F.percentile_approx(v.cast("double"), [0.25, 0.75], 100000).alias("_q"))
     else:
-        h = df.where(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-        q = h.agg(F.percentile(F.col("_v"), F.array(F.lit(0.25), F.lit(0.75)), F.col("_c")).alias("_q"))
+        q = exact_quantiles(df, column, [0.25, 0.75]).select(F.col("q").alias("_q"))
     q = q.select(F.col("_q")[0].cast("double").alias("q1"), F.col("_q")[1].cast("double").alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     return q.select("q1", "q3", (F.col("q1") - 1.5 * iqr).alias("lower"),
@@ -139,9 +149,8 @@ def fences(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     single (column, value) histogram pass over ``df``."""
     names = list(columns)
     entries = [F.struct(F.lit(n).alias("_k"), F.col(c).cast("double").alias("_v")) for n, c in columns.items()]
-    h = (df.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*").where(F.col("_v").isNotNull())
-           .groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    q = h.groupBy("_k").agg(F.percentile(F.col("_v"), F.array(F.lit(0.25), F.lit(0.75)), F.col("_c")).alias("_q"))
+    values = df.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
+    q = exact_quantiles(values, "_v", [0.25, 0.75], by=["_k"]).withColumnRenamed("q", "_q")
     iqr = F.col("_q")[1] - F.col("_q")[0]
     q = q.select("_k", (F.col("_q")[0] - 1.5 * iqr).alias("_lo"), (F.col("_q")[1] + 1.5 * iqr).alias("_hi"))
     aggs = []

@@ -17,7 +17,9 @@ from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, ByteType, Dat
                                FloatType, IntegerType, LongType, ShortType, StringType,
                                TimestampNTZType, TimestampType)
 
-from revlens.functions.stats import null_safe_join, safe_div
+from revlens.functions.ordered import running
+from revlens.functions.quantiles import exact_quantiles
+from revlens.functions.stats import null_safe_join, safe_div, value_counts
 from revlens.operators.clean import impact_config
 
 
@@ -129,10 +131,9 @@ def column_profile(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- A11 - A14
 def by_category(df: DataFrame, key: str = "category") -> DataFrame:
     """Distinct reviews, apps, authors per category, reviews per app (2 dp)."""
-    from revlens.functions.stats import grouped_modes_and_distincts
-    g = grouped_modes_and_distincts(df, [key], {}, {"reviews": "id", "apps": "app_id", "authors": "author"})
-    # a group whose three ids are all null has no histogram row
-    g = null_safe_join(df.select(key).distinct(), g, [key], "left").na.fill(0, ["reviews", "apps", "authors"])
+    # nulls are counted as values too, so a group whose ids are all null keeps its row
+    g = value_counts(df, [key], ["id", "app_id", "author"]).groupBy(key).agg(
+        *[F.count(F.col(f"v_{i}")).alias(name) for i, name in enumerate(("reviews", "apps", "authors"))])
     return g.select(key, "reviews", "apps", "authors",
                     F.bround(safe_div(F.col("reviews"), F.col("apps")), 2).alias("reviews_per_app"))
 
@@ -141,8 +142,7 @@ def describe_column(df: DataFrame, x: str) -> DataFrame:
     """count, mean, std, min, quartiles (linear), max of a numeric column."""
     base = df.agg(F.count(F.col(x)).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
                   F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"))
-    h = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    q = h.agg(F.percentile(F.col("_v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_c")).alias("_q"))
+    q = exact_quantiles(df, x, [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q")
     return base.crossJoin(q).select("count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
                                     F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
 
@@ -155,13 +155,13 @@ def counts_by_category(df: DataFrame, x: str, key: str = "category",
         o = [F.col(x).asc() if ascending else F.col(x).desc(), F.col(key).asc()]
     else:
         o = [F.col(key).asc()]
-    w = Window.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
     tot = df.agg(F.sum(x).alias("_t"))
     t = df.select(key, x).crossJoin(F.broadcast(tot))
-    t = t.withColumn("percent", F.bround(F.col(x) / F.col("_t"), 2))
-    # df here is one row per category: the unpartitioned window sees tens of rows
-    return t.select(key, x, F.sum(x).over(w).alias("cumulative"), "percent",
-                    F.bround(F.sum("percent").over(w), 2).alias("cumulative_percent"))
+    # shares are whole hundredths: their running sum is one of integers
+    t = t.withColumn("percent", F.bround(F.col(x) / F.col("_t"), 2)).withColumn("_h", F.round(F.col("percent") * 100).cast("long"))
+    t = running(t, o, {"_x": F.col(x), "_p": F.col("_h")})
+    return t.select(key, x, (F.col("_x") + F.col(x)).alias("cumulative"), "percent",
+                    F.bround((F.col("_p") + F.col("_h")) / 100, 2).alias("cumulative_percent"))
 
 
 def apps_by_category(df: DataFrame, store: DataFrame, key: str = "category") -> DataFrame:
@@ -205,5 +205,9 @@ def top_n_frequency(df: DataFrame, x: str, n: int = 10) -> DataFrame:
 
 def countstats(df: DataFrame, x: str) -> DataFrame:
     """describe() of the per-value counts of ``x``."""
-    c = df.groupBy(x).agg(F.count(F.lit(1)).alias("n"))
-    return describe_column(c, "n")
+    return describe_column(count_values(df, x), "n")
+
+
+def count_values(df: DataFrame, x: str) -> DataFrame:
+    """Rows per value of ``x`` (null is a value), the table that ``countstats`` describes."""
+    return df.groupBy(x).agg(F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens.functions.ordered import running
+from revlens.functions.stats import null_safe_join
+
 
 def key_hash(cols: Sequence[str], seed: int) -> Column:
     """Seeded MD5 hex of the key columns."""
@@ -39,25 +42,21 @@ def sample_exact(df: DataFrame, frac: float, seed: int = 42, key: Sequence[str]
     seeded hash (ties by key).
 
     No global sort: rows are counted per 5-hex-digit hash bucket (at most
-    2^20 buckets, a bounded table whatever the data size), a running sum
-    over the bucket table finds the boundary bucket, every row below it is
-    kept, and only the boundary bucket's rows (about n / 2^20) are ranked.
+    2^20 buckets) and running totals find the boundary bucket, one row that
+    every task gets: rows below it are kept, and only the boundary bucket's
+    rows (about n / 2^20) are ranked.
     """
     h = df.withColumn("_h", key_hash(key, seed)).withColumn("_b", F.substring("_h", 1, 5))
-    n = df.agg(F.count(F.lit(1)).alias("_n")).select(F.bround(F.col("_n") * frac, 0).cast("bigint").alias("_k"))
     counts = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (counts.withColumn("_cum", F.sum("_c").over(w))  # <= 2^20 rows
-                 .crossJoin(n)
-                 .where(F.col("_cum") - F.col("_c") < F.col("_k"))
-                 .select("_b", "_c", "_cum", "_k"))
-    j = h.join(F.broadcast(cum), "_b")  # bounded by 2^20 rows
-    boundary = F.col("_cum") > F.col("_k")
-    need = F.col("_k") - (F.col("_cum") - F.col("_c"))
-    wb = Window.partitionBy("_b").orderBy("_h", *key)
-    full = j.where(~boundary)
-    part = j.where(boundary).withColumn("_r", F.row_number().over(wb)).where(F.col("_r") <= need).drop("_r")
-    return full.unionByName(part).drop("_h", "_b", "_c", "_cum", "_k")
+    cum = running(counts, ["_b"], {"_before": F.col("_c")})
+    total = cum.agg(F.bround(F.sum("_c") * frac, 0).cast("bigint").alias("_k"))  # one row
+    inside = (F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_c"))
+    edge = cum.crossJoin(F.broadcast(total)).where(inside).agg(F.max("_b").alias("_edge"), F.max(F.col("_k") - F.col("_before")).alias("_need"))
+    j = h.crossJoin(F.broadcast(edge))  # one row; without an edge all rows are taken
+    full = j.where("_edge is null or _b < _edge")
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *key))
+    part = j.where("_b = _edge").withColumn("_r", rank).where(F.col("_r") <= F.col("_need"))
+    return full.unionByName(part.drop("_r")).drop("_h", "_b", "_edge", "_need")
 
 
 def inject_test_rows(df: DataFrame, frac: float = 0.1, seed: int = 42, copies: int = 5,
@@ -119,6 +118,3 @@ def split_80_10_10(df: DataFrame, seed: int = 42, key: Sequence[str] = ("id",),
     b = hex_threshold(weights[0] + weights[1])
     return df.withColumn("split", F.when(h < F.lit(a), "train").when(h < F.lit(b), "validation")
                          .otherwise("test"))
-
-
-from revlens.functions.stats import null_safe_join  # noqa: E402

@@ -5,6 +5,7 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from revlens.operators import explore as X
+from revlens.operators import latent as LT
 from revlens.operators import textprep as P
 from revlens.plans.q_features import NSVIEW, TOKVIEW, _ngram_sql
 from revlens.plans.registry import register
@@ -222,13 +223,13 @@ def collocations(spark, sf):
 @register("cluster_texts")
 def cluster_texts(spark, sf):
     """TF-IDF + K-means cluster per document with PCA coordinates (rows check)."""
-    return X.cluster_texts(doc_reviews(spark, sf).select("id", "content"), "content", k=8)
+    return LT.cluster_texts(_ns_docs(spark, sf).select("id", "ns"), "ns", k=8)
 
 
 @register("topics")
 def topics(spark, sf):
-    """LDA topics over the stop-word-free tokens (rows check)."""
-    return X.topics(_ns_docs(spark, sf), "ns", k=5)
+    """Topics over the stop-word-free tokens (rows check)."""
+    return LT.topics(_ns_docs(spark, sf), "ns", k=5)
 
 
 @register("first_reviews", sql=with_views(

@@ -45,29 +45,33 @@ def parse_dates(spark, sf):
 
 
 # ------------------------------------------------------------------ X1 - X9
-@register("text_features", sql=with_views(
-    f"""SELECT id, {SENT}::BIGINT AS text_sentence_count, len(tok)::BIGINT AS text_word_count,
+_TEXT_SQL = f"""SELECT id, {SENT}::BIGINT AS text_sentence_count, len(tok)::BIGINT AS text_word_count,
        length(replace(content, ' ', ''))::BIGINT AS text_char_count,
        len(regexp_extract_all(content, {q(T.PUNCTUATION_CLASS)}))::BIGINT AS text_punctuation_count,
        len(list_filter(tok, lambda x: list_contains({STOP_SQL}, lower(x))))::BIGINT AS text_stopwords_count,
        CASE WHEN len(tok) > 0 THEN length(replace(content, ' ', '')) / len(tok) END AS text_word_density,
        CASE WHEN {SENT} > 0 THEN len(tok) / {SENT} END AS text_sentence_density,
        len(tok)::BIGINT AS review_length
-    FROM t""", d=DOC_REVIEWS_SQL, t=TOKVIEW), dbl=["text_word_density", "text_sentence_density"])
+    FROM t"""
+
+
+@register("text_features", sql=with_views(_TEXT_SQL, d=DOC_REVIEWS_SQL, t=TOKVIEW), dbl=["text_word_density", "text_sentence_density"])
 def text_features(spark, sf):
     d = doc_reviews(spark, sf).select("id", "content")
     return X.text_features(d).drop("content")
 
 
-@register("lexical_features", sql=with_views(
-    f"""SELECT id, len(list_distinct(tok))::BIGINT AS lexical_unique_word_count,
+_LEX_SQL = f"""SELECT id, len(list_distinct(tok))::BIGINT AS lexical_unique_word_count,
        CASE WHEN len(tok) > 0 THEN len(list_distinct(tok)) / len(tok) END AS lexical_type_token_ratio,
        CASE WHEN len(tok) > 0 THEN len(list_filter(tok, lambda x: regexp_matches(x, {q('^\\p{L}')})
             AND NOT list_contains({STOP_SQL}, lower(x)))) / len(tok) END AS lexical_density,
        CASE WHEN len(tok) > 0 THEN list_sum(list_transform(tok, lambda x: length(x))) / len(tok) END
             AS lexical_avg_word_length
-    FROM t""", d=DOC_REVIEWS_SQL, t=TOKVIEW),
-    dbl=["lexical_type_token_ratio", "lexical_density", "lexical_avg_word_length"])
+    FROM t"""
+
+
+@register("lexical_features", sql=with_views(_LEX_SQL, d=DOC_REVIEWS_SQL, t=TOKVIEW),
+          dbl=["lexical_type_token_ratio", "lexical_density", "lexical_avg_word_length"])
 def lexical_features(spark, sf):
     d = doc_reviews(spark, sf).select("id", "content")
     return X.lexical_features(d).drop("content")
@@ -95,9 +99,13 @@ def readability(spark, sf):
     return X.readability(d).drop("content")
 
 
-@register("engineer_features")
+@register("engineer_features", sql=with_views(
+    "SELECT d.* EXCLUDE (content), f.* EXCLUDE (id), l.* EXCLUDE (id), r.* EXCLUDE (id) FROM d JOIN f ON d.id = f.id JOIN l ON d.id = l.id "
+    "JOIN rd r ON d.id = r.id", d=DOC_REVIEWS_SQL, t=TOKVIEW, f=_TEXT_SQL, l=_LEX_SQL, rd=_READ_SQL),
+    dbl=["text_word_density", "text_sentence_density", "lexical_type_token_ratio", "lexical_density", "lexical_avg_word_length",
+         "readability_flesch_reading_ease", "readability_flesch_kincaid_grade", "readability_gunning_fog", "readability_smog_index"])
 def engineer_features(spark, sf):
-    """All feature blocks on one shared token array (rows check)."""
+    """All feature blocks on one shared token array."""
     return X.engineer_features(doc_reviews(spark, sf)).drop("content")
 
 
@@ -162,16 +170,20 @@ def _vocab(spark, sf):
 _SPARE = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^_{|}~"
 
 
-@register("spell_correct", sql=with_views(
-    f"""SELECT word, correction FROM (
+_SPELL_SQL = """SELECT word, correction FROM (
          SELECT r.word, dct.word AS correction,
                 row_number() OVER (PARTITION BY r.word ORDER BY levenshtein(r.a, dct.a), dct.freq DESC, dct.word) AS rn
          FROM va r JOIN va dct ON dct.freq >= 3 AND levenshtein(r.a, dct.a) <= 2
          WHERE r.freq < 3)
-       WHERE rn = 1""", d=DOC_REVIEWS_SQL, t=TOKVIEW, v=_VOCAB_SQL,
+       WHERE rn = 1"""
+_SPELL_VIEWS = dict(
+    d=DOC_REVIEWS_SQL, t=TOKVIEW, v=_VOCAB_SQL,
     ch="SELECT string_agg(c, '' ORDER BY c) AS src FROM (SELECT DISTINCT unnest(string_split(word, '')) AS c "
        "FROM v) WHERE ord(c) > 127",
-    va=f"SELECT word, freq, translate(word, ch.src, substr('{_SPARE}', 1, length(ch.src))) AS a FROM v, ch"))
+    va=f"SELECT word, freq, translate(word, ch.src, substr('{_SPARE}', 1, length(ch.src))) AS a FROM v, ch")
+
+
+@register("spell_correct", sql=with_views(_SPELL_SQL, **_SPELL_VIEWS))
 def spell_correct(spark, sf):
     return P.fit_spell_corrections(_vocab(spark, sf), min_freq=3)
 
@@ -191,8 +203,20 @@ def lemmatize(spark, sf):
     return P.fit_lemmas(_vocab(spark, sf))
 
 
-@register("text_prep")
+def _map_sql(src, col, table, word, to, out):
+    """Every token of an array through a (word, target) table, in order."""
+    return (f"SELECT s.id, list(coalesce(m.{to}, s.w) ORDER BY s.i) AS {out} FROM (SELECT id, unnest({col}) AS w, "
+            f"unnest(range(0, len({col}))) AS i FROM {src}) s LEFT JOIN {table} m ON s.w = m.{word} GROUP BY s.id")
+
+
+@register("text_prep", sql=with_views(
+    f"""SELECT c.id, c.tokenized, c.normalized, c.ns AS no_stopwords, coalesce(sc.a, []) AS spell_checked, coalesce(le.a, []) AS lemmatized,
+               coalesce({_ngram_sql('le.a', 2)}, []) AS bigrams, coalesce({_ngram_sql('le.a', 3)}, []) AS trigrams
+        FROM c LEFT JOIN sc ON sc.id = c.id LEFT JOIN le ON le.id = c.id""", **_SPELL_VIEWS,
+    c=f"SELECT id, tok AS tokenized, {NORM} AS normalized, {NOSTOP} AS ns FROM t",
+    sp=_SPELL_SQL, lm=_lemma_sql(), sc=_map_sql("c", "ns", "sp", "word", "correction", "a"),
+    le=_map_sql("sc", "a", "lm", "word", "lemma", "a")))
 def text_prep(spark, sf):
-    """Whole fitted chain, seven array columns per document (rows check)."""
+    """Whole fitted chain, seven array columns per document."""
     d = doc_reviews(spark, sf).select("id", "content")
     return P.text_prep(d).drop("content")

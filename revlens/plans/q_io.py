@@ -64,10 +64,17 @@ def acquire_reviews(spark, sf):
     return out.withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
-@register("fileset_overview")
+_FILE_BYTES = ("octet_length(encode(concat(id, app_id, app_name, category, category, author, cast(rating::DOUBLE AS VARCHAR), app_name, "
+               "cast(vote_count AS VARCHAR), cast(vote_sum AS VARCHAR)))) + 24")  # the title is empty, a date is 24 characters
+_FILE_SUMS = f"count(*) AS rows, 12::BIGINT AS columns, cast(sum({_FILE_BYTES}) AS BIGINT) AS value_bytes FROM r"
+
+
+@register("fileset_overview", sql=with_views(
+    f"SELECT category, {_FILE_SUMS} GROUP BY category UNION ALL SELECT 'Total', {_FILE_SUMS}", r=REVIEWS_SQL))
 def fileset_overview(spark, sf):
-    """Per raw file: rows, columns, size (rows check; sizes depend on the writer)."""
-    return S.fileset_overview(spark, os.path.join(_raw_files(spark, sf), "*", "*.csv"))
+    """Raw files: rows, columns and value bytes, by category (file names and sizes depend on the writer)."""
+    files = S.fileset_overview(spark, os.path.join(_raw_files(spark, sf), "*", "*.csv"), key="_part")
+    return files.groupBy("category").agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"), F.sum("value_bytes").alias("value_bytes"))
 
 
 @register("staged_completeness", sql=with_views(

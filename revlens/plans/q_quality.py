@@ -34,10 +34,15 @@ NOISY_REVIEWS_SQL = (f"SELECT * FROM r UNION ALL SELECT * FROM r WHERE substr({_
                      f"< '{hex_threshold(0.1)}'")
 
 
+def _digest_sql(cols):
+    one = "coalesce(cast(length(cast({c} AS VARCHAR)) AS VARCHAR) || ':' || cast({c} AS VARCHAR), '-')"
+    return "md5(" + " || ".join(one.format(c=c) for c in cols) + ")"
+
+
 def _rn_flag(keys, order, name):
     # _rid: one arbitrary physical order shared by every flag, so all
     # flags treat the same copy of identical rows as the first one
-    o = ", ".join([f"{c} NULLS FIRST" for c in order] + ["_rid"])
+    o = ", ".join([_digest_sql(order)] * bool(order) + ["_rid"])
     return f"(row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {o}) > 1) AS {name}"
 
 
@@ -78,7 +83,7 @@ def flag_duplicate_rows(spark, sf):
 
 
 @register("flag_duplicate_ids", sql=with_views(
-    f"SELECT * EXCLUDE (_rid), {_rn_flag(['id'], [c for c in REVIEW_COLUMNS if c != 'id'], 'dqa_is_duplicate_review_id')} "
+    f"SELECT * EXCLUDE (_rid), {_rn_flag(['id'], REVIEW_COLUMNS, 'dqa_is_duplicate_review_id')} "
     "FROM (SELECT *, row_number() OVER () AS _rid FROM r)",
     r=REVIEWS_SQL))
 def flag_duplicate_ids(spark, sf):
@@ -170,7 +175,7 @@ SELECT f.*, {_null_flag(DOC_COLUMNS)} AS dqa_has_null_values,
        {_rx('content', K.PHONE_PATTERN)} AS dqa_contains_phone_number,
        coalesce(vote_count < b.lo OR vote_count > b.hi, false) AS dqa_vote_count_outlier
 FROM (SELECT * EXCLUDE (_rid), {_rn_flag(DOC_COLUMNS, [], 'dqa_is_duplicate')},
-             {_rn_flag(['id'], [c for c in DOC_COLUMNS if c != 'id'], 'dqa_is_duplicate_review_id')}
+             {_rn_flag(['id'], DOC_COLUMNS, 'dqa_is_duplicate_review_id')}
       FROM (SELECT *, row_number() OVER () AS _rid FROM d)) f
 CROSS JOIN b
 """
@@ -194,7 +199,7 @@ SELECT f.*, {_null_flag(REVIEW_COLUMNS)} AS dqa_has_null_values,
        coalesce(vote_sum < bs.lo OR vote_sum > bs.hi, false) AS dqa_vote_sum_outlier,
        coalesce(vote_count < bc.lo OR vote_count > bc.hi, false) AS dqa_vote_count_outlier
 FROM (SELECT * EXCLUDE (_rid), {_rn_flag(REVIEW_COLUMNS, [], 'dqa_is_duplicate')},
-             {_rn_flag(['id'], [c for c in REVIEW_COLUMNS if c != 'id'], 'dqa_is_duplicate_review_id')}
+             {_rn_flag(['id'], REVIEW_COLUMNS, 'dqa_is_duplicate_review_id')}
       FROM (SELECT *, row_number() OVER () AS _rid FROM s)) f
 CROSS JOIN bs CROSS JOIN bc
 """

@@ -83,6 +83,24 @@ def counts_by_category(spark, sf):
     return R.counts_by_category(R.by_category(reviews(spark, sf)), "reviews")
 
 
+def _counts_sql(order):
+    return ("SELECT category, reviews, (sum(reviews) OVER w)::BIGINT AS cumulative, percent, "
+            "round_even(sum(percent) OVER w, 2) AS cumulative_percent "
+            "FROM (SELECT *, round_even(reviews / sum(reviews) OVER (), 2) AS percent FROM b) "
+            f"WINDOW w AS (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+
+
+@register("counts_by_category_name", sql=with_views(_counts_sql("category"), r=REVIEWS_SQL, b=_BYCAT), dbl=["percent", "cumulative_percent"])
+def counts_by_category_name(spark, sf):
+    return R.counts_by_category(R.by_category(reviews(spark, sf)), "reviews", sort_by_value=False)
+
+
+@register("counts_by_category_rising", sql=with_views(_counts_sql("reviews, category"), r=REVIEWS_SQL, b=_BYCAT),
+          dbl=["percent", "cumulative_percent"])
+def counts_by_category_rising(spark, sf):
+    return R.counts_by_category(R.by_category(reviews(spark, sf)), "reviews", ascending=True)
+
+
 _STORE_SQL = ("SELECT category, (count(DISTINCT app_id) * 3)::BIGINT AS app_store FROM r GROUP BY category")
 
 
@@ -142,6 +160,11 @@ def countstats(spark, sf):
     return R.countstats(reviews(spark, sf), "app_id")
 
 
+@register("count_values", sql=with_views("SELECT app_id, count(*) AS n FROM r GROUP BY app_id", r=REVIEWS_SQL))
+def count_values(spark, sf):
+    return R.count_values(reviews(spark, sf), "app_id")
+
+
 @register("doc_category_summary", sql=with_views(
     "SELECT category, count(*) AS count, round_even(count(*) * 100.0 / (SELECT count(*) FROM d), 2) AS percent "
     "FROM d GROUP BY category", d=DOC_REVIEWS_SQL), dbl=["percent"])

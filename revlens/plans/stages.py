@@ -4,10 +4,11 @@ A stage is ``fn: DataFrame -> DataFrame`` from a source table to a target
 parquet table.  If the target exists (its ``_SUCCESS`` marker is present)
 and ``force`` is false, the stored table is read instead of recomputed --
 this is also how a long pipeline survives lost executors: every stage
-boundary is a durable table in shared storage.  Row counts come from the
-stored tables' parquet footers and are appended with
-the runtime to a ``run_metrics`` parquet table; datasets are recorded in
-an append-only ``dataset_registry`` table.
+boundary is a durable table in shared storage.  Rows in and out are observed
+while the stage runs (``Observation``), so no table is read again to count
+them; with start, stop and runtime they are appended to a ``run_metrics``
+parquet table.  Datasets are recorded in an append-only ``dataset_registry``
+table.
 """
 
 import os
@@ -15,14 +16,15 @@ import time
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions import constants as K
 
 METRICS_SCHEMA = ("task string, stage string, phase string, runtime double, input_records long, "
                   "output_records long, input_records_per_second double, output_records_per_second double, "
-                  "timestamp timestamp")
+                  "start timestamp, stop timestamp")
 REGISTRY_SCHEMA = ("name string, phase string, stage string, path string, nrows long, ncols int, "
                    "creator string, created timestamp")
 STAGES = {p[1] for p in K.TASK_CONFIG} | {"raw", "norm", "dqa", "features", "nlp"}
@@ -46,31 +48,43 @@ def run_stage(spark: SparkSession, fn: Callable[[DataFrame], DataFrame], src: st
     already exists; return the stored result."""
     if _exists(spark, dst) and not force:
         return spark.read.parquet(dst)
+    rows_in, rows_out = Observation(), Observation()
     inp = spark.read.parquet(src)
-    out = fn(inp)
-    t0 = time.perf_counter()
-    out.write.mode("overwrite").parquet(dst)
+    start, t0 = datetime.now(), time.perf_counter()
+    out = fn(_counted(inp, rows_in) if metrics_path else inp)
+    (_counted(out, rows_out) if metrics_path else out).write.mode("overwrite").parquet(dst)
     runtime = time.perf_counter() - t0
     if metrics_path:
-        # row counts of stored parquet tables come from file footers
-        n_in = spark.read.parquet(src).count()
-        n_out = spark.read.parquet(dst).count()
-        record_metrics(spark, metrics_path, task, runtime, n_in, n_out)
+        stop = datetime.now()
+        record_metrics(spark, metrics_path, task, runtime, _rows(spark, rows_in, src), _rows(spark, rows_out, dst), start, stop)
     return spark.read.parquet(dst)
 
 
+def _counted(df: DataFrame, rows: Observation) -> DataFrame:
+    return df.observe(rows, F.count(F.lit(1)).alias("rows"))
+
+
+def _rows(spark: SparkSession, seen: Observation, path: str) -> int:
+    """The observed count.  The optimizer drops an observed step when it learns
+    at run time that nothing comes after it; then the footers have the count."""
+    try:
+        return seen.get["rows"]
+    except (Py4JJavaError, KeyError):
+        return spark.read.parquet(path).count()
+
+
 def record_metrics(spark: SparkSession, metrics_path: str, task: str, runtime: float,
-                   n_in: int, n_out: int) -> None:
+                   n_in: int, n_out: int, start: datetime, stop: datetime) -> None:
     """Append one row, with stage and phase from the task lookup (a join
     against the 32-row lookup table)."""
     row = spark.createDataFrame(
         [(task, float(runtime), int(n_in), int(n_out),
-          n_in / runtime if runtime > 0 else None, n_out / runtime if runtime > 0 else None, datetime.now())],
+          n_in / runtime if runtime > 0 else None, n_out / runtime if runtime > 0 else None, start, stop)],
         "task string, runtime double, input_records long, output_records long, "
-        "input_records_per_second double, output_records_per_second double, timestamp timestamp")
+        "input_records_per_second double, output_records_per_second double, start timestamp, stop timestamp")
     j = row.join(F.broadcast(task_lookup(spark)), "task", "left")
     j.select("task", "stage", "phase", "runtime", "input_records", "output_records",
-             "input_records_per_second", "output_records_per_second", "timestamp"
+             "input_records_per_second", "output_records_per_second", "start", "stop"
              ).write.mode("append").parquet(metrics_path)
 
 
@@ -96,8 +110,9 @@ def register_dataset(spark: SparkSession, registry_path: str, df: DataFrame, nam
         raise ValueError("creator is required")
     if df.isEmpty():
         raise ValueError("dataset is empty")
-    df.write.mode("overwrite").parquet(path)
-    n = spark.read.parquet(path).count()  # from parquet footers
+    rows = Observation()
+    _counted(df, rows).write.mode("overwrite").parquet(path)
+    n = _rows(spark, rows, path)
     meta = spark.createDataFrame([(name, phase, stage, path, int(n), len(df.columns), creator, datetime.now())],
                                  REGISTRY_SCHEMA)
     meta.write.mode("append").parquet(registry_path)

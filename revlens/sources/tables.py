@@ -16,6 +16,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.functions.ordered import running
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -69,14 +71,27 @@ FULL_COLUMNS = [*REVIEW_COLUMNS, "content"]
 
 
 def full_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews with all columns: those whose order number is a document's id,
-    with that document's text as content."""
-    r = reviews(spark, sf_dir).withColumn("_doc", F.substring_index("id", "-", 1).cast("bigint"))
+    """All reviews with all columns.  The text of a review is that of the
+    document whose rank by id (from 0) equals the review's order number modulo
+    the number of documents, so every review has one (null without documents)."""
+    r = reviews(spark, sf_dir)
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    return r.join(d, F.col("_doc") == F.col("doc_id")).select(*FULL_COLUMNS)
-
+    ids = running(d.select("doc_id"), ["doc_id"], {"_rank": F.lit(1)})
+    n = ids.agg(F.count(F.lit(1)).alias("_docs"))  # one row
+    texts = d.join(ids, "doc_id").drop("doc_id")
+    r = r.crossJoin(F.broadcast(n)).withColumn("_doc", F.when(F.col("_docs") > 0, F.substring_index("id", "-", 1).cast("bigint") % F.col("_docs")))
+    return r.join(texts, F.col("_doc") == F.col("_rank"), "left").select(*FULL_COLUMNS)
+
+
+# SQL text of the same views, for DuckDB oracles (valid in Spark SQL too;
+# FULL_REVIEWS_SQL reads a view ``r`` of REVIEWS_SQL).
+FULL_REVIEWS_SQL = """
+SELECT r.*, t.text AS content
+FROM r CROSS JOIN (SELECT count(*) AS n FROM documents) c
+LEFT JOIN (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS rank, text FROM documents) t
+  ON cast(split_part(r.id, '-', 1) AS BIGINT) % c.n = t.rank
+"""
 
-# SQL text of the same views, for DuckDB oracles (valid in Spark SQL too).
 REVIEWS_SQL = """
 SELECT concat(cast(l_orderkey AS VARCHAR), '-', cast(l_linenumber AS VARCHAR)) AS id,
        cast(l_partkey AS VARCHAR) AS app_id, p_name AS app_name, p_type AS category,
