@@ -79,7 +79,8 @@ def full_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = running(d.select("doc_id"), ["doc_id"], {"_rank": F.lit(1)})
     n = ids.agg(F.count(F.lit(1)).alias("_docs"))  # one row
     texts = d.join(ids, "doc_id").drop("doc_id")
-    r = r.crossJoin(F.broadcast(n)).withColumn("_doc", F.when(F.col("_docs") > 0, F.substring_index("id", "-", 1).cast("bigint") % F.col("_docs")))
+    # spread while rows are narrow: the work on their texts is what costs
+    r = r.repartition(spark.sparkContext.defaultParallelism, "id").crossJoin(F.broadcast(n)).withColumn("_doc", F.when(F.col("_docs") > 0, F.substring_index("id", "-", 1).cast("bigint") % F.col("_docs")))
     return r.join(texts, F.col("_doc") == F.col("_rank"), "left").select(*FULL_COLUMNS)
 
 
