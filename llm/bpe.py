@@ -8,6 +8,10 @@ children, so the root is the leftmost pair of lowest rank.  It is merged, the
 pairs on both sides get their new ranks and the pair that vanished gets
 infinity, each by one walk to the root, until the root is infinite.  A word of
 n bytes thus takes O(n log n) steps, however long it is.
+
+The distinct words of a batch that were not met before are merged side by
+side: one tree a row of a matrix, one merge in every row at a time.  Long
+words have a tree of their own.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -25,7 +30,11 @@ from llm.common import fresh, small_batches
 # FIXED VALUES: word pattern of byte-level BPE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = 1 << 62
-CACHE_WORDS, CACHE_BYTES = 100_000, 48
+#: Words of up to LONGEST bytes are merged side by side, up to ROWS at a time.
+LONGEST, ROWS = 65, 1 << 14
+CACHE_WORDS, CACHE_BYTES = 300_000, 32
+#: Texts are taken in blocks of about so many characters.
+BLOCK_CHARS = 4 << 20
 
 
 def default_vocab() -> str:
@@ -96,6 +105,10 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if added else None
         self.words = regex.compile(PATTERN).findall
         self.cache: dict[str, bytes] = {}
+        pairs = np.array([a << 32 | b for a, b in self.rank] or [-1], np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.pair_rank = pairs[order], np.array(list(self.rank.values()) or [0], np.int64)[order]
+        self.first_ids, self.merged_ids = np.array(self.first, np.int64), np.array(self.merged or [0], np.int64)
 
     def merge(self, data: bytes) -> list[int]:
         """Token ids of one word."""
@@ -119,26 +132,102 @@ class Bpe:
                 pairs.put(before[i], key(before[i], i))
         return [t for t in token if t >= 0]
 
-    def word(self, w: str) -> bytes:
-        got = self.cache.get(w)
-        if got is None:
+    def _keys(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(rank, place) of each pair of ids as one number, NONE without a merge."""
+        code = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == code, self.pair_rank[at] << 32 | place, NONE)
+
+    def _side_by_side(self, words: list[bytes], size: int) -> list[bytes]:
+        """Packed ids of words of 2 to ``size`` + 1 bytes; ``size`` is a power of two."""
+        n = np.array([len(w) for w in words])
+        rows, width = len(words), size + 1
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(rows, width)
+        token = self.first_ids[raw]
+        token[np.arange(width) >= n[:, None]] = -1
+        tree = np.full((rows, 2 * size), NONE, np.int64)
+        place = np.broadcast_to(np.arange(size), (rows, size))
+        tree[:, size:] = np.where(place < (n - 1)[:, None], self._keys(token[:, :-1], token[:, 1:], place), NONE)
+        s = size
+        while s > 1:
+            tree[:, s // 2:s] = np.minimum(tree[:, s:2 * s:2], tree[:, s + 1:2 * s:2])
+            s //= 2
+        after = np.tile(np.arange(1, width + 2), (rows, 1))
+        before = np.tile(np.arange(-1, width), (rows, 1))
+        live = np.flatnonzero(tree[:, 1] != NONE)
+        while len(live):
+            low = tree[live, 1]
+            i = low & 0xFFFFFFFF
+            gone = after[live, i]
+            made = self.merged_ids[low >> 32]
+            token[live, i], token[live, gone] = made, -1
+            j = after[live, gone]
+            after[live, i], before[live, j] = j, i
+            more = j < n[live]
+            leaf = np.full((3, len(live)), 2 * size - 1)  # places whose way to the root is renewed
+            key = self._keys(made, token[live, np.minimum(j, size)], i)
+            tree[live, size + i] = np.where(more, key, NONE)
+            leaf[0] = size + i
+            at = live[more]
+            tree[at, size + gone[more]] = NONE
+            leaf[1, more] = size + gone[more]
+            p = before[live, i]
+            has = p >= 0
+            at = live[has]
+            tree[at, size + p[has]] = self._keys(token[at, p[has]], made[has], p[has])
+            leaf[2, has] = size + p[has]
+            s = size
+            while s > 1:
+                leaf >>= 1
+                for x in leaf:
+                    tree[live, x] = np.minimum(tree[live, 2 * x], tree[live, 2 * x + 1])
+                s //= 2
+            live = live[tree[live, 1] != NONE]
+        keep = token >= 0
+        packed = token[keep].astype("<u4").tobytes()
+        ends = np.concatenate(([0], np.cumsum(keep.sum(1) * 4))).tolist()
+        return [packed[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """Put words into the cache; it is emptied first when it would overflow."""
+        new = [w for w in words if w not in self.cache]
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache = {}
+            new = list(words)
+        sizes: dict[int, list[tuple[str, bytes]]] = {}
+        for w in new:
             data = w.encode("utf-8", "surrogatepass")
-            got = b"".join(t.to_bytes(4, "little") for t in self.merge(data))
-            if len(data) <= CACHE_BYTES:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[w] = got
-        return got
+            size = 0 if len(data) < 2 or len(data) > LONGEST else 1 << max(0, (len(data) - 2).bit_length())
+            sizes.setdefault(size, []).append((w, data))
+        for w, data in sizes.pop(0, []):
+            self.cache[w] = np.array(self.merge(data), "<u4").tobytes()
+        for size, some in sizes.items():
+            for at in range(0, len(some), ROWS):
+                part = some[at:at + ROWS]
+                self.cache.update(zip((w for w, _ in part), self._side_by_side([d for _, d in part], size), strict=True))
+
+    def encode_many(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Packed ids (little-endian unsigned 32-bit integers) of each text."""
+        out, block, held = [], [], 0
+        for t in texts:
+            block.append([self.words(part) if i % 2 == 0 else part for i, part in enumerate(self.cut.split(t) if self.cut else (t,))] if t else [])
+            held += len(t or "")
+            if held > BLOCK_CHARS:
+                out += self._packed(block)
+                block, held = [], 0
+        return out + self._packed(block)
+
+    def _packed(self, block: list[list]) -> list[bytes]:
+        """``block`` has a list for each text: words in even places, an added token in odd ones."""
+        self.learn({w for parts in block for words in parts[::2] for w in words})
+        get = self.cache.__getitem__
+        out = [b"".join(b"".join(map(get, x)) if i % 2 == 0 else self.added[x].to_bytes(4, "little") for i, x in enumerate(parts)) for parts in block]
+        for w in [w for w in self.cache if len(w) > CACHE_BYTES]:
+            del self.cache[w]
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for i, part in enumerate(self.cut.split(text) if self.cut else (text,)):
-            if i % 2:
-                out.append(self.added[part].to_bytes(4, "little"))
-            elif part:
-                out.extend(map(self.word, self.words(part)))
-        return b"".join(out)
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """Text of packed ids; unknown ids give nothing, broken UTF-8 gives U+FFFD."""
@@ -180,7 +269,7 @@ def encode(docs: DataFrame, vocab_path: str | None = None, text_col: str = "text
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = shared.get()
         for s in texts:
-            yield pd.Series([bpe.encode(t) if t else b"" for t in s], dtype=object)
+            yield pd.Series(bpe.encode_many(s), dtype=object)
 
     return docs.withColumn(out, ids(F.col(text_col)))
 
