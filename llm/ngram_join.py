@@ -11,14 +11,15 @@ sets.  Rows flow as follows:
    order (rare hash groups first, counted over all texts).  Tiles are the
    root fan-out of the index, and equi-join keys for Spark;
 3. within a tile, points form a packed R-tree whose boxes prune pairs by the
-   summed minima of their upper corners; surviving pairs are verified on the
-   exact sets.
+   summed minima of their upper corners; pairs that survive the bound on
+   finer groups, too, are verified on the exact sets.
 
 Groups of near copies are not compared pair by pair: first every class is
-verified with its tile's leader only, then classes already in one component
-are not paired again (one pair for two components, then all that remain).
-What is skipped is already connected, so components are exact.  Large tiles
-are cut by size bands and into blocks, and each pair of blocks is one unit.
+verified with its tile's leader only, then rows that pass the bounds with a
+row of another component meet in units of bounded size, where links that join
+nothing new are skipped.  What is skipped is already connected, so components
+are exact.  Candidates never leave a task as pairs: a step emits at most the
+rows that go into it, or a forest of links.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from llm.components import components
 
 GROUPS = 64
 FREQ_GROUPS = 1 << 18
-BLOCK_ROWS = 256
+#: Rows and shingles of a block; a unit is one block or two.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 21
 LEAF = 16
 SMALL = 48
 SIG = "doc_id long, h long, n long, f1 long, f2 long, keys array<long>, vec binary"
@@ -84,7 +86,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 f1.append(mix64(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64))
                 f2.append(mix64(s ^ np.uint64(0xABCDEF0123)).sum(dtype=np.uint64))
                 keys.append(as_long(s[order[:prefix_len(len(s), percent)]]) if len(s) else np.empty(0, np.int64))
-                vecs.append(_point_bytes(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)))
+                vecs.append(_point_bytes(s))
             yield pd.DataFrame({"doc_id": df["doc_id"], "h": df["h"], "n": n, "f1": as_long(np.array(f1, np.uint64)),
                                 "f2": as_long(np.array(f2, np.uint64)), "keys": keys, "vec": vecs})
 
@@ -92,50 +94,6 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return stored(src.mapInPandas(run, SIG), "signatures")
 
 
-# -- verification -----------------------------------------------------------
-
-def _pack(s: np.ndarray) -> bytes:
-    """Sorted distinct 40-bit hashes, five bytes each."""
-    return np.ascontiguousarray(np.sort(s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    a = np.zeros((len(b) // 5, 8), np.uint8)
-    a[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return a.view("<u8").ravel()
-
-
-def _exact_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int) -> DataFrame:
-    """(cid, packed set) of the given classes, from the text of one member."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            yield pd.DataFrame({"rep": df["rep"], "rep_h": df["rep_h"], "s": [_pack(s) for s in _sets(df["text"], k)]})
-
-    want = stored(classes.join(cids, "cid", "left_semi").select("cid", "rep", "rep_h"), "wanted")
-    src = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("rep_h"), "text")
-    src, _ = split_by(src, bitmap(want, "rep", "rep_h"), F.col("rep"), F.col("rep_h"))  # texts are not shuffled
-    sets = src.mapInPandas(run, "rep long, rep_h long, s binary")
-    same = sets["rep"].eqNullSafe(want["rep"]) & (sets["rep_h"] == want["rep_h"])
-    return sets.join(want, same).select("cid", "s").dropDuplicates(["cid"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            ok = []
-            for x, y in zip(df["x"], df["y"], strict=True):
-                x, y = _unpack(x), _unpack(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield df.loc[np.array(ok, bool), ["a", "b"]]
-
-    small_batches(pairs.sparkSession)
-    j = (pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("x")), "a")
-         .join(sets.select(F.col("cid").alias("b"), F.col("s").alias("y")), "b"))
-    return j.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
-
-
 # -- R-tree -----------------------------------------------------------------
 
 class RTree:
@@ -186,22 +144,52 @@ def bound_ok(p, q, n, m, percent: int) -> np.ndarray:
         ((100 + percent) * np.minimum(p, q).sum(-1, dtype=np.int64) >= percent * (n + m))
 
 
-def _point_bytes(counts: np.ndarray) -> bytes:
-    """Counts in the narrowest of 1, 2 and 4 bytes that holds them all."""
-    top = counts.max()
-    return counts.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+def groups_of(n: int) -> int:
+    """Groups of a set's point: a power of two, about eight shingles each, so
+    that long texts are told apart as well as short ones."""
+    return max(GROUPS, 1 << max(0, (n // 8 - 1)).bit_length())
 
 
-def _points(vecs) -> np.ndarray:
-    vecs = list(vecs)
-    out = np.empty((len(vecs), GROUPS), np.int64)
-    size = np.array([len(v) for v in vecs])
-    for w in np.unique(size):
-        at = np.flatnonzero(size == w)
-        out[at] = np.frombuffer(b"".join(vecs[i] for i in at), f"<u{w // GROUPS}").reshape(-1, GROUPS)
+def _point_bytes(s: np.ndarray) -> bytes:
+    """Counts of a set's groups in the narrowest of 1, 2 and 4 bytes that holds them, the width first."""
+    g = groups_of(len(s))
+    counts = np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g)
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _folded(vecs, at: np.ndarray, g: int) -> np.ndarray:
+    """Counts of the rows ``at`` in ``g`` groups (finer points are added up)."""
+    out = np.empty((len(at), g), np.int64)
+    kind = np.array([(vecs[i][0], len(vecs[i])) for i in at]).reshape(-1, 2)
+    for w, size in np.unique(kind, axis=0):
+        here = np.flatnonzero((kind == (w, size)).all(1))
+        raw = b"".join(vecs[at[i]][1:] for i in here)
+        out[here] = np.frombuffer(raw, f"<u{w}").reshape(len(here), -1, g).sum(1, dtype=np.int64)
     return out
 
 
+def _points(vecs) -> np.ndarray:
+    """Points in GROUPS dimensions."""
+    return _folded(vecs, np.arange(len(vecs)), GROUPS)
+
+
+def fine_ok(vecs, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the pairs pass the bound on the finer points that both have."""
+    g = np.array([(len(v) - 1) // v[0] for v in vecs], np.int64)
+    both, ok = np.minimum(g[i], g[j]), np.ones(len(i), bool)
+    for size in np.unique(both[both > GROUPS]):
+        here = np.flatnonzero(both == size)
+        step = max(1, (1 << 22) // int(size))
+        for at in range(0, len(here), step):
+            part = here[at:at + step]
+            rows, place = np.unique(np.concatenate((i[part], j[part])), return_inverse=True)
+            points = _folded(vecs, rows, int(size))
+            a, b = place[:len(part)], place[len(part):]
+            ok[part] = bound_ok(points[a], points[b], n[i[part]], n[j[part]], percent)
+    return ok
+
+
 def _unit_pairs(points: np.ndarray, start: np.ndarray, end: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs (i, j, unit) within the units [start, end) of rows:
     units of up to SMALL rows are single leaves, scanned together; larger
@@ -223,61 +211,54 @@ def _unit_pairs(points: np.ndarray, start: np.ndarray, end: np.ndarray, percent:
     return tuple(np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in range(3))
 
 
-def _candidates(tiles: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a tile and
-    pass the bounds.  Unless ``every``, a unit gives one pair for two
-    components, and its tile is named in a row (null, null, key) if that left
-    any out.  ``tiles`` has key, nb (blocks), cid, n, label, vec."""
+def _in_units(batches: Iterator[pd.DataFrame], names: list[str], work) -> Iterator[pd.DataFrame]:
+    """Calls ``work(df, cuts)`` on whole units: runs of rows equal in ``names``, one from cut to cut."""
+    rest = None
+    for df in batches:
+        df = df if rest is None else pd.concat([rest, df], ignore_index=True)
+        edge = np.zeros(max(len(df) - 1, 0), bool)
+        for c in names:
+            v = df[c].to_numpy()
+            edge |= v[1:] != v[:-1]
+        cuts = np.concatenate(([0], np.flatnonzero(edge) + 1))
+        last = int(cuts[-1])
+        if last:
+            yield work(df.iloc[:last], cuts)
+        rest = df.iloc[last:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield work(rest, np.array([0, len(rest)]))
+
+
+def _active(tiles: DataFrame, percent: int) -> DataFrame:
+    """(key, cid): the rows of a tile that pass the bounds with a row of
+    another component in it.  Large tiles are cut by bands of size and into
+    blocks, each pair of blocks a unit with an R-tree; a unit gives at most
+    its own rows.  ``tiles`` has key, nb (blocks), cid, n, label, vec."""
     rows = (tiles.withColumn("own", F.when(F.col("nb") > 1, _band(percent)).otherwise(0))  # large tiles: by bands of size, too
             .withColumn("band", F.explode(F.when(F.col("nb") > 1, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array(F.col("own")))))
             .withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
             .withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")))
-    rows = (rows.repartition("key", "band", "bi", "bj").sortWithinPartitions("key", "band", "bi", "bj")
+    unit = ["key", "band", "bi", "bj"]
+    rows = (rows.repartition(*unit).sortWithinPartitions(*unit)
             .select("key", "band", F.col("bi").cast("int"), F.col("bj").cast("int"), F.col("blk").cast("int"), F.col("own").cast("int"), "cid", "label", "vec"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for df in batches:
-            df = df if rest is None else pd.concat([rest, df], ignore_index=True)
-            edge = np.zeros(max(len(df) - 1, 0), bool)
-            for c in ("key", "band", "bi", "bj"):
-                v = df[c].to_numpy()
-                edge |= v[1:] != v[:-1]
-            cuts = np.concatenate(([0], np.flatnonzero(edge) + 1))
-            last = int(cuts[-1])
-            if last:
-                yield units(df.iloc[:last], cuts)
-            rest = df.iloc[last:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield units(rest, np.array([0, len(rest)]))
-
     def units(df, cuts):
         start, end = cuts[:-1], cuts[1:]
-        i, j, u = _unit_pairs(_points(df["vec"]), start, end, percent)
+        vecs = list(df["vec"])
+        points = _points(vecs)
+        i, j, u = _unit_pairs(points, start, end, percent)
         lab, band, blk, cid, key = (df[c].to_numpy() for c in ("label", "own", "blk", "cid", "key"))
         at = start[u]
         mine = (lab[i] != lab[j]) & (np.maximum(band[i], band[j]) == df["band"].to_numpy()[at]) & \
             (np.minimum(blk[i], blk[j]) == df["bi"].to_numpy()[at]) & (np.maximum(blk[i], blk[j]) == df["bj"].to_numpy()[at])
-        i, j, u = i[mine], j[mine], u[mine]
-        a, b = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
-        pairs = pd.DataFrame({"a": a, "b": b, "key": key[start[u]], "u": u,
-                              "x": np.minimum(lab[i], lab[j]), "y": np.maximum(lab[i], lab[j])})
-        if every:
-            return _out(pairs, pairs.iloc[:0])
-        one = pairs.sort_values(["u", "x", "y", "a", "b"]).drop_duplicates(["u", "x", "y"])
-        left = pairs.loc[~pairs.index.isin(one.index)].drop_duplicates("key")
-        return _out(one, left)
-
-    def _out(pairs, left):
-        # nullable integers from the start: a detour over floats would round the 64-bit keys
-        pairs, left = pairs[["a", "b"]].drop_duplicates().astype("Int64"), left[["key"]].astype("Int64")
-        none = lambda n: pd.array([pd.NA] * n, "Int64")
-        return pd.concat([pairs.assign(key=none(len(pairs))), left.assign(a=none(len(left)), b=none(len(left)))[["a", "b", "key"]]],
-                         ignore_index=True)
+        i, j = i[mine], j[mine]
+        fine = fine_ok(vecs, points.sum(1), i, j, percent)
+        hit = np.unique(np.concatenate((i[fine], j[fine])))
+        return pd.DataFrame({"key": key[hit], "cid": cid[hit]})
 
     tiles.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
-    return rows.mapInPandas(run, "a long, b long, key long").distinct()
+    return rows.mapInPandas(lambda b: _in_units(b, unit, units), "key long, cid long").distinct()
 
 
 def _band(percent: int) -> F.Column:
@@ -286,78 +267,212 @@ def _band(percent: int) -> F.Column:
     return F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9)))
 
 
+def _blocks(rows, shingles_) -> F.Column:
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(shingles_ / BLOCK_SHINGLES), F.lit(1)).cast("long")
+
+
+# -- verification -----------------------------------------------------------
+
+def _verified(units: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) found within units, on the exact sets: for each unit a
+    forest that joins all rows of it that are linked, by way of ``label``.
+
+    ``units`` has u1, u2, u3 (the unit), side, cid and label; where a unit has
+    rows of side 1, only rows of different sides are compared.  The text of
+    one member of each class goes to its units and nowhere else."""
+    small_batches(docs.sparkSession, 128)
+    name = ["u1", "u2", "u3"]
+    units = stored(units.join(classes.select("cid", "rep", "rep_h"), "cid"), "units")
+    src = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("rep_h"), "text")
+    src, _ = split_by(src, bitmap(units.select("rep", "rep_h").distinct(), "rep", "rep_h"), F.col("rep"), F.col("rep_h"))
+    same = src["rep"].eqNullSafe(units["rep"]) & (src["rep_h"] == units["rep_h"])
+    rows = src.join(units, same).select(*name, "side", "cid", "label", "text")
+
+    def work(df, cuts):
+        out = []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            part = df.iloc[s:e].drop_duplicates("cid")  # rows repeated in the input
+            if part["label"].nunique() > 1:
+                out += _forest(part, k, percent)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    rows = rows.repartition(*name).sortWithinPartitions(*name)
+    return rows.mapInPandas(lambda b: _in_units(b, name, work), "a long, b long")
+
+
+def _forest(unit: pd.DataFrame, k: int, percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of the unit that join rows not yet joined."""
+    sets = list(_sets(unit["text"], k))
+    n = np.array([len(s) for s in sets])
+    vecs = [_point_bytes(s) for s in sets]
+    points = _points(vecs)
+    i, j, _ = _unit_pairs(points, np.array([0]), np.array([len(sets)]), percent)
+    side, label, cid = (unit[c].to_numpy() for c in ("side", "label", "cid"))
+    ok = (label[i] != label[j]) & ((side[i] != side[j]) if side.any() else True)
+    i, j = i[ok], j[ok]
+    ok = fine_ok(vecs, n, i, j, percent)
+    i, j = i[ok], j[ok]
+    near = np.minimum(points[i], points[j]).sum(1) / np.maximum(1, n[i] + n[j])
+    up = {x: x for x in label.tolist()}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    for at in np.argsort(-near, kind="stable").tolist():  # likely links first: more of the rest is joined already
+        a, b = int(i[at]), int(j[at])
+        x, y = root(int(label[a])), root(int(label[b]))
+        if x == y:
+            continue
+        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if 100 * both >= percent * (n[a] + n[b] - both):
+            up[x] = y
+            out.append((int(cid[a]), int(cid[b])))
+    return out
+
+
 # -- the join ---------------------------------------------------------------
 
-def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(links: DataFrame) -> DataFrame:
     """cid -> label of its component so far."""
     c = stored(components(links), "labels")
     return c.select(F.col("node").alias("cid"), F.col("component").alias("label"))
 
 
-def linked_classes(docs: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
-    """One row per class: f1, f2, component (the smallest doc_id of all
-    classes reachable by links)."""
-    one = F.struct("doc_id", "h")
-    classes = stored(
-        sig.where("n > 0").groupBy("f1", "f2")
-        .agg(F.min("doc_id").alias("low"), F.min(one).alias("one"), F.any_value("n").alias("n"),
-             F.any_value("keys").alias("keys"), F.any_value("vec").alias("vec"))
-        .select("f1", "f2", "low", "n", "keys", "vec", F.col("one.doc_id").alias("rep"), F.col("one.h").alias("rep_h"),
-                F.monotonically_increasing_id().alias("cid")), "classes")
-    rows = classes.select("cid", "n", F.explode("keys").alias("key"))
+def _classes(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, body).  ``classes``: one narrow row per set (f1, f2, cid, low =
+    smallest doc_id, rep, rep_h = one member, c = rows); ``body``: cid, n, keys
+    and vec, straight from the rows whose set occurs once; only sets that
+    occur again are grouped.
+
+    cid is f1, unless sets that differ share it."""
+    per = sig.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "h")).alias("one"), F.count(F.lit(1)).alias("c"))
+    per = stored(per.select("f1", "f2", "low", F.col("one.doc_id").alias("rep"), F.col("one.h").alias("rep_h"), "c"), "classes")
+    clash = stored(per.groupBy("f1").agg(F.min("f2").alias("lo"), F.max("f2").alias("hi")).where("lo != hi").select("f1"), "clashes")
+    again = per.where("c > 1").select("f1", "f2")
+    maybe, once = split_by(sig.where("n > 0"), bitmap(again, "f1", "f2"), F.col("f1"), F.col("f2"))
+    first = stored(maybe.groupBy("f1", "f2").agg(*[F.any_value(c).alias(c) for c in ("n", "keys", "vec")]), "copied")
+    body = once.select("f1", "f2", "n", "keys", "vec").union(first)
+    if clash.isEmpty():
+        named = lambda d: d.withColumn("cid", F.col("f1"))
+    else:
+        marks = clash.withColumn("_m", F.lit(True))
+        named = lambda d: d.join(marks, "f1", "left").withColumn("cid", F.when(F.col("_m"), F.xxhash64("f1", "f2")).otherwise(F.col("f1"))).drop("_m")
+    return named(per), named(body)
+
+
+def _distinct_tiles(tiles: DataFrame) -> DataFrame:
+    """``tiles`` (key, cid, ...) without tiles that hold the same classes as
+    another one; ``w`` is how many the kept one stands for, ``c`` its rows."""
+    members = tiles.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("cid")).alias("x"),
+                                       F.sum(F.xxhash64("cid", F.lit(1)).cast("decimal(38,0)")).alias("s"))
+    kept = members.groupBy("c", "x", "s").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("w")).where("c > 1").select("key", "c", "w")
+    return tiles.join(kept, "key")
+
+
+def _maximal_tiles(tiles: DataFrame) -> DataFrame:
+    """``tiles`` (key, cid, c, ...) without tiles all of whose classes have one
+    and the same other tile as their largest: that one holds every pair."""
+    top = tiles.groupBy("cid").agg(F.max(F.struct("c", "key")).alias("top")).select("cid", F.col("top.key").alias("top"))
+    inside = tiles.join(top, "cid").groupBy("key").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo = hi and lo != key")
+    return tiles.join(inside.select("key"), "key", "left_anti")
+
+
+def _tiles(body: DataFrame, percent: int) -> DataFrame:
+    """(key, cid, n, c, w): classes that share an indexed shingle."""
+    rows = body.select("cid", "n", F.explode("keys").alias("key"))
     # a tile whose classes all lie in bands of size (mod 64) of their own, none
     # beside another, holds no pair that the sizes allow
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(_band(percent), F.lit(64)).cast("int"))
     alone = "bit_count(m) = c and (m & (shiftleft(m, 1) | shiftrightunsigned(m, 63))) = 0"
     shared = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_or(bit).alias("m"))
-                    .where(f"c > 1 and not ({alone})").select("key", "c"), "shared")
+                    .where(f"c > 1 and not ({alone})").select("key"), "shared")
     # only rows that the bitmap cannot rule out go through the join
     rows, _ = split_by(rows, bitmap(shared, "key"), F.col("key"))
-    tiles = stored(rows.join(shared, "key"), "tiles")
-    # a tile's leader is its class with most partners over all tiles: among
-    # near copies the text that the others derive from
-    weight = tiles.groupBy("cid").agg(F.sum(F.col("c") - 1).alias("w"))
-    lead = tiles.join(weight, "cid").groupBy("key").agg(F.max(F.struct("w", "cid", "n")).alias("lead"))
+    return stored(_distinct_tiles(stored(rows.join(shared, "key"), "tiles")), "tiles")
+
+
+def _star_units(tiles: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
+    """Every class with the leader it meets most; a tile's leader is its class
+    with most partners over all tiles: among near copies the text that the
+    others derive from.  A leader's followers go in blocks."""
+    weight = tiles.groupBy("cid").agg(F.sum(F.col("w") * (F.col("c") - 1)).alias("weight"))
+    lead = tiles.join(weight, "cid").groupBy("key").agg(F.max(F.struct("weight", "cid", "n")).alias("lead"))
     star = (tiles.join(lead, "key").where("cid != lead.cid")
             .where(f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
-            .groupBy("cid", F.col("lead.cid").alias("a")).count()
-            .groupBy("cid").agg(F.max(F.struct("count", "a")).alias("best"))
-            .select(F.col("best.a").alias("a"), F.col("cid").alias("b")))
-    vecs = classes.select("cid", "vec")
-    todo = done = stored(_bounded(star, vecs, percent).distinct(), "star")
-    points, links = tiles.select("key", "cid", "n"), None
-    for step in ("star", "one", "every"):
-        if step != "star":
-            # rows of tiles with more than one component, with their points
-            mixed = points.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-            ends = (mixed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-                    .where("lo < hi").select("key", F.ceil(F.col("c") / BLOCK_ROWS).alias("nb")))
-            found = stored(_candidates(mixed.join(ends, "key").join(vecs, "cid"), percent, step == "every"), "pairs")
-            again = found.where("a is null").select("key").distinct()
-            points = points.join(again, "key", "left_semi")
-            todo = stored(found.where("a is not null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-            done = done.union(todo)
-        cids = todo.select(F.col("a").alias("cid")).union(todo.select(F.col("b").alias("cid"))).distinct()
-        found = stored(_verified(todo, stored(_exact_sets(docs, classes, cids, k), "sets"), percent), "links")
-        links = found if links is None else links.union(found)
-        label = _labelled(classes, links)
+            .groupBy("cid", F.col("lead.cid").alias("a")).agg(F.sum("w").alias("m"), F.any_value("n").alias("n"))
+            .groupBy("cid").agg(F.max(F.struct("m", "a")).alias("best"), F.any_value("n").alias("n"))
+            .select(F.col("best.a").alias("a"), F.col("cid").alias("b"), "n"))
+    star = stored(_bounded(star, vecs, percent), "star")
+    blocks = star.groupBy("a").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("nb"))
+    follow = star.join(blocks, "a").select(F.col("a").alias("u1"), F.pmod(F.xxhash64("b"), F.col("nb")).alias("u2"), F.lit(0).cast("long").alias("u3"),
+                                           F.lit(1).alias("side"), F.col("b").alias("cid"), F.col("b").alias("label"))
+    leaders = blocks.select(F.col("a").alias("u1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("u2"),
+                            F.lit(0).cast("long").alias("u3"), F.lit(0).alias("side"), F.col("a").alias("cid"), F.col("a").alias("label"))
+    return follow.union(leaders)
+
+
+def _rest_units(rows: DataFrame) -> DataFrame:
+    """Units of the rows (key, cid, n, label) that may still be linked.  A
+    tile's largest component is never compared with itself: its blocks meet
+    the blocks of the other rows, and those meet each other."""
+    part = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    main = part.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top")).select("key", F.col("top.label").alias("main"))
+    rows = rows.join(main, "key").withColumn("in_main", F.col("label") == F.col("main"))
+    count = lambda cond, x: F.coalesce(F.sum(F.when(cond, x)), F.lit(0))
+    size = rows.groupBy("key").agg(_blocks(count(F.col("in_main"), 1), count(F.col("in_main"), F.col("n"))).alias("nm"),
+                                   _blocks(count(~F.col("in_main"), 1), count(~F.col("in_main"), F.col("n"))).alias("no"))
+    rows = rows.join(size, "key")
+    own = F.pmod(F.xxhash64("cid"), F.when(F.col("in_main"), F.col("nm")).otherwise(F.col("no")))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    # u2 >= 0: block of the others with u3 = block of the main component; u2 < 0: two blocks of the others
+    cross = F.when(F.col("in_main"), F.transform(upto("no"), lambda o: F.struct(o.alias("u2"), F.col("own").alias("u3"), F.lit(1).alias("side")))) \
+        .otherwise(F.transform(upto("nm"), lambda m: F.struct(F.col("own").alias("u2"), m.alias("u3"), F.lit(0).alias("side"))))
+    among = F.when(F.col("in_main"), F.array().cast("array<struct<u2:bigint,u3:bigint,side:int>>")).otherwise(
+        F.transform(upto("no"), lambda o: F.struct((-1 - F.least(o, F.col("own"))).alias("u2"), F.greatest(o, F.col("own")).alias("u3"),
+                                                   F.when(F.col("own") > o, 1).otherwise(0).alias("side"))))
+    out = rows.withColumn("own", own).select(F.col("key").alias("u1"), "cid", "label", F.explode(F.concat(cross, among)).alias("u"))
+    return out.select("u1", "u.u2", "u.u3", "u.side", "cid", "label")
+
+
+def linked_classes(docs: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
+    """One row per class: f1, f2, component (the smallest doc_id of all
+    classes reachable by links)."""
+    classes, body = _classes(sig)
+    tiles, vecs = _tiles(body, percent), body.select("cid", "vec")
+    links = stored(_verified(_star_units(tiles, vecs, percent), docs, classes, k, percent), "links")
+    label = _labelled(links)
+    # rows of tiles with more than one component, with their points
+    mixed = tiles.select("key", "cid", "n").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    ends = (mixed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+            .where("lo < hi").select("key", F.ceil(F.col("c") / BLOCK_ROWS).alias("nb")))
+    mixed = stored(mixed.join(ends, "key"), "mixed")
+    active = mixed.select("key", "cid", "n", "label").join(_active(mixed.join(vecs, "cid"), percent), ["key", "cid"])
+    active = stored(_distinct_tiles(stored(active, "active")), "active")
+    active = stored(_maximal_tiles(active).select("key", "cid", "n", "label"), "active")
+    links = links.union(stored(_verified(_rest_units(active), docs, classes, k, percent), "links"))
+    label = _labelled(links)
     out = classes.select("f1", "f2", "cid", "low").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     lows = out.groupBy("label").agg(F.min("low").alias("component"))
     return out.join(lows, "label").select("f1", "f2", "component")
 
 
 def _bounded(pairs: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) that pass the size and point bounds."""
+    """Pairs (a, b, n) that pass the size and point bounds."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             if len(df):
-                p, q = _points(df["x"]), _points(df["y"])
-                df = df.loc[bound_ok(p, q, p.sum(1), q.sum(1), percent)]
-            yield pd.DataFrame({"a": np.minimum(df["a"], df["b"]), "b": np.maximum(df["a"], df["b"])})
+                vecs = [*df["x"], *df["y"]]
+                points, i = _points(vecs), np.arange(len(df))
+                p, q, n = points[:len(df)], points[len(df):], points.sum(1)
+                df = df.loc[bound_ok(p, q, p.sum(1), q.sum(1), percent) & fine_ok(vecs, n, i, i + len(df), percent)]
+            yield df[["a", "b", "n"]]
 
     j = (pairs.join(vecs.select(F.col("cid").alias("a"), F.col("vec").alias("x")), "a")
          .join(vecs.select(F.col("cid").alias("b"), F.col("vec").alias("y")), "b"))
-    return j.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return j.select("a", "b", "n", "x", "y").mapInPandas(run, "a long, b long, n long")
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
