@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -41,10 +42,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage,
     survives lost executors, and gives the planner real sizes."""
     path = new_folder(df.sparkSession, name)
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders that ``stored`` has made and nobody has removed.
+_made: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``stored`` made."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def releasing(fn):
+    """A function whose result is stored, whereupon the tables that it stored
+    on the way are deleted: only for narrow results."""
+    @functools.wraps(fn)
+    def run(*args, **kw) -> DataFrame:
+        had = set(_made)
+        out = fn(*args, **kw)
+        old = [p for p in _made if p not in had]
+        result = stored(out, fn.__name__)
+        for p in old:
+            remove(out.sparkSession, p)
+        return result
+
+    return run
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import stored
+from llm.common import releasing, stored
 from llm.components import components
 
 THRESHOLD = 0.95
@@ -397,6 +397,7 @@ def _crowded(sure: DataFrame, label: DataFrame, table: DataFrame, dtype: str, th
     return stored(dealt.groupBy("grp", "lo", "hi").applyInPandas(unit, "kind int, a long, b long, n long"), "crowd-links"), members
 
 
+@releasing
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links
     (other vectors linked directly), component_id (smallest vec_id reachable)

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import as_long, bitmap, mix64, shingles, small_batches, split_by, stored, words_of
+from llm.common import as_long, bitmap, mix64, releasing, shingles, small_batches, split_by, stored, words_of
 from llm.components import components
 
 GROUPS = 64
@@ -475,6 +475,7 @@ def _bounded(pairs: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
     return j.select("a", "b", "n", "x", "y").mapInPandas(run, "a long, b long, n long")
 
 
+@releasing
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, h, n_shingles and
     component_id.
@@ -484,7 +485,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     like others, but a component's id is the smallest that is not null.  An
     empty table gives no rows.  Other columns are not read."""
     sig = signatures(docs, k, percent)
-    classes = stored(linked_classes(docs, sig, k, percent), "linked")
+    classes = linked_classes(docs, sig, k, percent)
     narrow = sig.select("doc_id", "h", F.col("n").alias("n_shingles"), "f1", "f2")
     full = narrow.where("n_shingles > 0").join(classes, ["f1", "f2"]).select("doc_id", "h", "n_shingles", F.col("component").alias("component_id"))
     return full.union(narrow.where("n_shingles = 0").select("doc_id", "h", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -493,7 +494,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: the smallest id (ties: by
     hash of the text; of repeated rows, one)."""
-    rows = stored(join(docs, k, percent), "joined")
+    rows = join(docs, k, percent)
     # a row without shingles or with a null component is a group of its own
     rows = rows.where("n_shingles > 0 and component_id is not null")
     per = rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("c"), F.min("component_id").alias("component_id"))
