@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import stored
+from llm.common import fresh, stored
 
 #: The three base patterns and their least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,7 +29,7 @@ WORDLIKE = r"[A-Za-z0-9_-]{8,}"
 #: Shape of the negative samples: words and camel, snake or kebab identifiers.
 ORDINARY = r"^[A-Z]?[a-z]{2,}(?:[_-]?[A-Z]?[a-z]{2,})*[0-9]{0,4}$"
 KINDS = ("assign", "access", "hex", "markov")
-#: Bound of the labelled samples (documents each) that fit the two models.
+#: Size of the labelled samples (different texts each) that fit the two models.
 SAMPLE_DOCS = 4000
 BACKOFF = 16.0
 MIN_PER_CHAR, MIN_TOTAL = 0.6, 15.0
@@ -78,19 +78,26 @@ def _pairs(words: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row with the array ``llr`` of 128 x 128 log-likelihood ratios.
 
-    Trained from at most ``SAMPLE_DOCS`` documents with base spans and as
-    many of all, both by hash of the text.  Without any positive sample the
-    random model is uniform."""
+    Trained from about ``SAMPLE_DOCS`` different texts with base spans and as
+    many of all (all of them where there are fewer): those whose hash lies
+    under a bound that follows from the two counts, so no text is sorted.
+    Without any positive sample the random model is uniform."""
     src = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    order = [F.xxhash64("t"), F.col("t")]
-    found = src.where((F.col("t").rlike("[:=]") & F.col("t").rlike(ASSIGN)) | F.col("t").rlike(ACCESS) | F.col("t").rlike(HEX))
-    found = found.orderBy(*order).limit(SAMPLE_DOCS)
+    has = (F.col("t").rlike("[:=]") & F.col("t").rlike(ASSIGN)) | F.col("t").rlike(ACCESS) | F.col("t").rlike(HEX)
+    size = src.agg(F.count(F.lit(1)).alias("all"), F.count_if(has).alias("found")).first()
+
+    def sample(n, cond):  # equal texts have one hash and count once
+        bound = SAMPLE_DOCS / max(n, 1)
+        few = src if bound >= 1 else src.where(F.xxhash64("t") < int(bound * (1 << 64)) - (1 << 63))
+        return few.where(cond).groupBy(F.xxhash64("t").alias("h")).agg(F.any_value("t").alias("t"))
+
+    found = sample(size["found"], has)
     values = F.concat(F.filter(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= ASSIGN_MIN),
                       F.filter(F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)), lambda v: F.length(v) >= ACCESS_MIN),
                       F.regexp_extract_all("t", F.lit(HEX), F.lit(0)))
     random = _pairs(found.select(F.explode(values).alias("w")))
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    plain = _pairs(src.orderBy(*order).limit(SAMPLE_DOCS).select(F.explode(F.regexp_extract_all(clean, F.lit(WORDLIKE), F.lit(0))).alias("w")).where(F.col("w").rlike(ORDINARY)))
+    plain = _pairs(sample(size["all"], F.lit(True)).select(F.explode(F.regexp_extract_all(clean, F.lit(WORDLIKE), F.lit(0))).alias("w")).where(F.col("w").rlike(ORDINARY)))
     cells = (docs.sparkSession.range(128 * 128).select(F.col("id").cast("int").alias("code"))
              .join(random.withColumnRenamed("count", "r"), "code", "left").join(plain.withColumnRenamed("count", "o"), "code", "left")
              .na.fill(0, ["r", "o"]))
@@ -119,8 +126,10 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFra
     Markov span overlaps none.  Repeated rows are scanned each; an empty
     table gives no rows; a column named like ``out`` is replaced."""
     model = stored(fit(docs, text_col), "secret-model")  # one row of 16,384 doubles
-    base, llr, text = "_base_spans", "_llr", F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.drop(out).withColumn(base, base_spans(text)).crossJoin(F.broadcast(model.withColumnRenamed("llr", llr)))
+    docs = docs.drop(out)
+    base, llr = fresh(docs, "base_spans", "llr")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumn(base, base_spans(text)).crossJoin(F.broadcast(model.withColumnRenamed("llr", llr)))
 
     def good(word):
         s = _score(word, F.col(llr))
