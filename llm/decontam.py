@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import small_batches
+from llm.common import small_batches, stored
 
 _SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SENTENCE = re.compile(r"[.!?:\n]+")
@@ -68,9 +68,11 @@ def _floor(shares: np.ndarray, grams: set) -> float:
 
 
 class Index:
-    """Inverted index of (item_id, text) rows; items without words match nothing."""
+    """Inverted index of (item_id, text) rows; items without words match nothing.
+    ``whole`` has the figures of the whole benchmark where the rows are a shard
+    of it: items, mean length and items per word."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, float, dict[bytes, int]] | None = None):
         items = sorted((i, t) for i, t in items if i is not None and words(t))
         toks = [words(t) for _, t in items]
         self.item_ids = [i for i, _ in items]
@@ -81,8 +83,11 @@ class Index:
         df = np.zeros(nt)
         for x in ids:
             df[list(set(x))] += 1
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = sum(map(len, ids)) / max(n, 1)
+        total, mean = n, sum(map(len, ids)) / max(n, 1)
+        if whole:
+            total, mean = whole[:2]
+            df = np.array([whole[2][w] for w in self.terms], float)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
         self.grams, self.item_terms, self.impacts, self.shares = [], [], [], []
         self.least: list[int] = []  # shingles of the smallest part that decides
         self.loose: dict[tuple, list[int]] = {}  # shingle -> loose items that hold it
@@ -226,14 +231,34 @@ class Index:
         return len(want & grams[k]) / len(want)
 
 
+def _terms(items: DataFrame) -> DataFrame:
+    """(word, length of the item): one row per item and different word; a
+    benchmark's words are lower-cased and cut as in ``words``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = [(w, len(ws), i == 0) for ws in map(words, df["text"]) for i, w in enumerate(dict.fromkeys(ws))]
+            yield pd.DataFrame(rows, columns=["word", "size", "first"])
+
+    return items.select("text").mapInPandas(run, "word binary, size long, first boolean")
+
+
 def shards(benchmark: DataFrame) -> Iterator[Index]:
-    """One index for each shard of about ITEMS_PER_SHARD items."""
+    """One index for each shard of about ITEMS_PER_SHARD items.  Weights rest
+    on the whole benchmark: its counts are a table, from which a shard takes
+    those of its own words."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     n = items.count()
     k = max(1, -(-n // ITEMS_PER_SHARD))
+    if k == 1:
+        yield Index([(r["item_id"], r["text"]) for r in items.collect()])  # one shard of stated size
+        return
+    terms = _terms(items)
+    table = stored(terms.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "benchmark-terms")
+    size = terms.where("first").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).first()
     for i in range(k):
-        part = items if k == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == i)
-        yield Index([(r["item_id"], r["text"]) for r in part.collect()])  # one shard of stated size
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == i)
+        df = _terms(part).select("word").distinct().join(table, "word").collect()  # the words of one shard
+        yield Index([(r["item_id"], r["text"]) for r in part.collect()], (size["n"], size["mean"], {bytes(r["word"]): r["df"] for r in df}))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "matches") -> DataFrame:
