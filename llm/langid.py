@@ -3,7 +3,8 @@ n-grams.
 
 Training counts hashed n-grams per label over all training rows (one sparse
 partial matrix per task, summed by Spark).  The log-probability matrix has
-``labels x BUCKETS`` cells; both factors are bounded (``MAX_LABELS``), so it
+``labels x buckets`` cells.  With many labels neighbouring buckets are added
+up, so that it stays within ``CELLS`` (256 buckets are kept in any case); it
 is broadcast, and a batch is scored as sparse rows against it in numpy."""
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from llm.common import small_batches, stored
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-MAX_LABELS = 2000
+#: Cells of the matrix, and labels that a training task counts before it hands its sums on.
+CELLS, HELD = 1 << 26, 64
 CHUNK = 1 << 16
 SHARPNESS = 40.0
 
@@ -51,7 +53,7 @@ def has_letter(text: str | None) -> bool:
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(labels by code point, log-probability matrix float32 [labels, BUCKETS + 1];
+    """(labels by code point, log-probability matrix float32 [labels, buckets + 1];
     the last column is the log prior).  Rows with null label or text without
     letters teach nothing."""
     spark = labelled.sparkSession
@@ -60,39 +62,54 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
+
+        def handed():
+            for lab, m in sums.items():
+                at = np.flatnonzero(m)
+                yield pd.DataFrame({"label": lab, "bucket": np.append(at, BUCKETS), "n": np.append(m[at], docs[lab])})
+            sums.clear()
+            docs.clear()
+
         for df in batches:
             for t, lab in zip(df["text"], df["label"], strict=True):
                 if not has_letter(t):
                     continue
                 m = sums.get(lab)
                 if m is None:
-                    if len(sums) >= MAX_LABELS:
-                        raise ValueError(f"more than {MAX_LABELS} languages")
+                    if len(sums) >= HELD:
+                        yield from handed()
                     m = sums[lab] = np.zeros(BUCKETS, np.int64)
                 docs[lab] = docs.get(lab, 0) + 1
                 for b in _buckets(t):
                     m += np.bincount(b, minlength=BUCKETS)
-        for lab, m in sums.items():
-            at = np.flatnonzero(m)
-            yield pd.DataFrame({"label": lab, "bucket": np.append(at, BUCKETS), "n": np.append(m[at], docs[lab])})
+        yield from handed()
 
     src = labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("label is not null")
     rows = (src.mapInPandas(count, "label string, bucket long, n long")
             .groupBy("label", "bucket").agg(F.sum("n").alias("n")))
     rows = stored(rows, "langid")
-    if rows.select("label").distinct().limit(MAX_LABELS + 1).count() > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} languages")
-    got = rows.toPandas()  # at most labels x (BUCKETS + 1) cells
+    buckets = buckets_for(rows.select("label").distinct().count())
+    # a power of two divides a greater one, so sums of buckets are the counts of fewer buckets
+    fewer = F.when(F.col("bucket") == BUCKETS, F.lit(buckets).cast("long")).otherwise(F.col("bucket") % buckets)
+    got = rows.groupBy("label", fewer.alias("bucket")).agg(F.sum("n").alias("n")).toPandas()  # at most CELLS and a prior per label
     labels = sorted(got["label"].unique())
-    m = np.zeros((len(labels), BUCKETS + 1))
+    m = np.zeros((len(labels), buckets + 1))
     m[got["label"].map({x: i for i, x in enumerate(labels)}).to_numpy(int), got["bucket"].to_numpy(int)] = got["n"].to_numpy()
-    grams = m[:, :BUCKETS] + 0.5
-    out = np.empty((len(labels), BUCKETS + 1), np.float32)
-    out[:, :BUCKETS] = np.log(grams / grams.sum(1, keepdims=True))
-    out[:, BUCKETS] = np.log((m[:, BUCKETS] + 1) / (m[:, BUCKETS].sum() + len(labels))) if labels else 0
+    grams = m[:, :buckets] + 0.5
+    out = np.empty((len(labels), buckets + 1), np.float32)
+    out[:, :buckets] = np.log(grams / grams.sum(1, keepdims=True))
+    out[:, buckets] = np.log((m[:, buckets] + 1) / (m[:, buckets].sum() + len(labels))) if labels else 0
     return labels, out
 
 
+def buckets_for(labels: int) -> int:
+    """Buckets of a matrix for so many labels: a power of two, 256 at least."""
+    n = BUCKETS
+    while n > 256 and labels * n > CELLS:
+        n //= 2
+    return n
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text",
             label_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """All rows and columns of ``docs`` plus prediction and score.
@@ -108,6 +125,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
 
     def score(texts: pd.Series) -> pd.DataFrame:
         names, m = shared.value
+        last = len(m) - 1  # the prior
         lab, sc = [], []
         for t in texts:
             if not names or not has_letter(t):
@@ -116,11 +134,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                 continue
             ll, n = np.zeros(len(names)), 0
             for b in _buckets(t):
+                b = b if last == BUCKETS else b & (last - 1)
                 at, k = np.unique(b, return_counts=True) if len(b) > 4096 else (b, None)
                 rows = m[at]
                 ll += rows.sum(0, dtype=np.float64) if k is None else k @ rows.astype(np.float64)
                 n += len(b)
-            z = (ll + m[BUCKETS]) / max(n, 1) * min(SHARPNESS, max(n, 1))
+            z = (ll + m[last]) / max(n, 1) * min(SHARPNESS, max(n, 1))
             z = np.exp(z - z.max())
             i = int(z.argmax())
             lab.append(names[i])
