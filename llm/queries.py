@@ -10,6 +10,7 @@ from llm.common import read
 from llm.hard_negatives import NEGATIVES_SQL
 from llm.merkle import MANIFEST_SQL
 from llm.mixing import MIX_SQL, POSITION_SQL
+from llm.warc import ARCHIVE_SQL
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +109,7 @@ QUERIES = {"op1_html_text": op1_html_text, "op4_embedding_dedup": op4_embedding_
 ORACLES: dict[str, str] = {
     "op5_mixing": MIX_SQL.format(docs="documents", cols="doc_id, cast(size AS BIGINT) AS size, source_size, round(target, 6) AS target, "
                                  f"cast(size * copies AS BIGINT) AS taken, round({POSITION_SQL}, 6) AS position"),
+    "op9_warc": ARCHIVE_SQL,
     "op12_merkle_manifest": MANIFEST_SQL,
     "op13_hard_negatives": NEGATIVES_SQL,
 }

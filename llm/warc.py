@@ -1,7 +1,8 @@
 """Deterministic sharded WARC archives.
 
-Records are range-sorted by page id into shards whose bounds come from an
-exact histogram (so the same table always gives the same shards).  Each task
+Records are range-sorted by page id, payload and url into shards of a given
+number of rows, whose bounds come from exact running counts (so the same table
+always gives the same shards, whatever its ids).  Each task
 writes its shards' files in order, one gzip member per record, rolls a file
 when its compressed size passes ``roll_bytes``, writes under a temporary
 name and renames when complete; a rerun of a task writes the same bytes to
@@ -23,17 +24,21 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import new_folder, small_batches, stored
+from revlens.functions.ordered import running
 
 #: Fixed values of the record format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CELLS = 1 << 14
+#: Most shards: their first keys (about 40 bytes each) go to every task.
+MAX_SHARDS = 1 << 18
+FIRST = -(1 << 63)
 FIXED_DATE = "1970-01-01T00:00:00Z"
 
 MANIFEST = ("file string, shard int, part int, records long, bytes long, sha256 string")
@@ -116,23 +121,39 @@ class _Roll:
         return row
 
 
-def _cells(ids: DataFrame, shard_rows: int) -> tuple[pd.DataFrame, int, int]:
-    """(cell -> shard, lowest id, cell width): shards of about ``shard_rows``
-    rows from an exact histogram of at most CELLS + 1 cells of page ids."""
-    r = ids.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
-    lo = int(r["lo"] or 0)
-    width = (int(r["hi"] or 0) - lo) // CELLS + 1
-    cells = ids.groupBy(_cell(lo, width).alias("cell")).count().toPandas().sort_values("cell")
-    cells["shard"] = ((cells["count"].cumsum() - cells["count"]) // shard_rows).astype("int64")
-    return cells[["cell", "shard"]], lo, width
-
-
-def _cell(lo: int, width: int) -> F.Column:
-    c = (F.col("page_id").cast("decimal(38,0)") - F.lit(lo).cast("decimal(38,0)")) / F.lit(width)
-    return F.when(F.col("page_id").isNull(), -1).otherwise(F.floor(c)).cast("long")
-
-
-def _write_partition(folder: str, roll_bytes: int, min_revisit_bytes: int):
+def _bounds(keys: DataFrame, shard_rows: int) -> DataFrame:
+    """The first key of each shard: (shard, page_id, digest, u, before = rows of
+    the same page_id and digest in earlier shards).  Shards hold ``shard_rows``
+    rows in the order of (page_id, digest, u), exactly but for rows equal in
+    all three, which stay together; with more than MAX_SHARDS of them, more."""
+    order = ["page_id", "digest", "u"]
+    groups = stored(keys.groupBy(*order).agg(F.count(F.lit(1)).alias("c")), "warc-groups")
+    total = groups.agg(F.sum("c")).first()[0] or 0
+    per = max(shard_rows, -(-total // MAX_SHARDS))
+    at = running(groups, order, {"start": F.col("c")}).withColumn("shard", F.floor(F.col("start") / per).cast("long"))
+    at = stored(at, "warc-order")
+    first = at.groupBy("shard").agg(F.min(F.struct("start", *order)).alias("f")).select("shard", "f.*")
+    begun = at.alias("a").join(first.select("page_id", "digest").distinct().alias("b"),
+                               F.expr("a.page_id <=> b.page_id and a.digest = b.digest"), "left_semi").groupBy("page_id", "digest").agg(F.min("start").alias("begin"))
+    same = first["page_id"].eqNullSafe(begun["page_id"]) & (first["digest"] == begun["digest"])
+    return stored(first.join(begun, same).select("shard", first["page_id"], first["digest"], "u", (F.col("start") - F.col("begin")).alias("before")), "warc-bounds")
+
+
+def _packed(page_id: pd.Series, digest: pd.Series, u: pd.Series) -> np.ndarray:
+    """Keys as bytes that compare like (page_id with null first, digest, u)."""
+    n = len(digest)
+    out = np.empty((n, 38), np.uint8)
+    out[:, 0] = page_id.notna()
+    big = lambda x: (x ^ np.int64(FIRST)).astype(">i8").view(np.uint8).reshape(n, 8)
+    out[:, 1:9] = big(np.array([0 if pd.isna(x) else int(x) for x in page_id], np.int64))
+    out[:, 9:29] = np.frombuffer(b"".join(bytes.fromhex(x) for x in digest), np.uint8).reshape(n, 20)
+    out[:, 29:37] = big(u.to_numpy(np.int64))
+    out[:, 37] = 1  # trailing zeros would not count
+    return out.view("S38").ravel()
+
+
+def _write_partition(folder: str, roll_bytes: int, min_revisit_bytes: int, begun):
+    """``begun``: shard -> (key, rows of it in earlier shards), where it goes on with a key."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         attempt = TaskContext.get().taskAttemptId()
         roll, done = None, []
@@ -148,6 +169,8 @@ def _write_partition(folder: str, roll_bytes: int, min_revisit_bytes: int):
                 if roll is None or roll.shard != shard:
                     done.append(roll.close() if roll else None)
                     roll = _Roll(folder, int(shard), roll_bytes, attempt)
+                    last, seq = begun.value.get(int(shard), (None, 0))
+                    seq -= 1
                 key = (pid, digest)
                 seq = seq + 1 if key == last else 0
                 payload = html.encode("utf-8", "surrogatepass")
@@ -174,7 +197,7 @@ def write(pages: DataFrame, folder: str | None = None, shard_rows: int = 2_000,
     Null html is an empty payload.  A null page id or url leaves its header
     out; rows of null page id sort first.  Among equal payloads the smallest
     page id (nulls last) is the response; of repeated rows with that id the
-    first by url.  An empty table gives an empty manifest.  Other columns are
+    first by hash of the url.  A page id of many rows goes over several shards.  An empty table gives an empty manifest.  Other columns are
     not read."""
     spark = pages.sparkSession
     small_batches(spark, 256)
@@ -183,25 +206,39 @@ def write(pages: DataFrame, folder: str | None = None, shard_rows: int = 2_000,
     fs.create_dir(posixpath.join(base, "_temporary"), recursive=True)
     src = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     digest = F.sha1(F.col("html").cast("binary")).alias("digest")  # hex; base32 in the writer
-    keys = stored(src.select("page_id", digest, F.octet_length("html").cast("long").alias("bytes")), "warc-keys")
-    cells, lo, width = _cells(keys, shard_rows)
+    u = F.xxhash64("url").alias("u")
+    keys = stored(src.select("page_id", digest, u, F.octet_length("html").cast("long").alias("bytes")), "warc-keys")
+    bounds = _bounds(keys.select("page_id", "digest", "u"), shard_rows)
     big = keys.where(F.col("bytes") >= min_revisit_bytes)
     # the first page of each repeated payload, counted with map-side combine;
-    # all its other pages get a marker row that sorts before their record
-    first = (big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1").drop("n"))
+    # all its other pages get a marker row that sorts before their record, and
+    # one in each shard that begins with them
+    first = stored(big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+                   .where("n > 1").drop("n"), "warc-first")
     marks = (big.join(first, "digest").where("not page_id <=> first")
-             .select("page_id", "digest", "first").distinct())
+             .select("page_id", "digest", F.lit(FIRST).alias("u"), "first").distinct()
+             .unionByName(bounds.join(first, "digest").where("not page_id <=> first").select("page_id", "digest", "u", "first")))
     none = F.lit(None).cast("string")
-    rows = (marks.select("page_id", "digest", F.lit(0).alias("kind"), "first", none.alias("url"), none.alias("html"))
-            .unionByName(src.select("page_id", digest, F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "url", "html")))
-    # at most CELLS + 1 rows of two numbers
-    table = spark.createDataFrame(cells if len(cells) else pd.DataFrame({"cell": [-1], "shard": [0]}), "cell long, shard long")
-    n = int(cells["shard"].max()) + 1 if len(cells) else 1
+    rows = (marks.select("page_id", "digest", "u", F.lit(0).alias("kind"), "first", none.alias("url"), none.alias("html"))
+            .unionByName(src.select("page_id", digest, u, F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "url", "html")))
+    table = bounds.toPandas().sort_values("shard")  # at most MAX_SHARDS rows
+    cuts = spark.sparkContext.broadcast(_packed(table["page_id"], table["digest"], table["u"]))
+    goes_on = table[table["before"] > 0]
+    begun = spark.sparkContext.broadcast({int(s): ((None if pd.isna(p) else int(p), d), int(n)) for s, p, d, n in zip(
+        goes_on["shard"], goes_on["page_id"], goes_on["digest"], goes_on["before"], strict=True)})
+    numbers = spark.sparkContext.broadcast(table["shard"].to_numpy(np.int64))
+
+    @F.pandas_udf("long")
+    def shard_of(page_id: pd.Series, digest: pd.Series, u: pd.Series) -> pd.Series:
+        if not len(digest) or not len(cuts.value):
+            return pd.Series(np.zeros(len(digest), np.int64))
+        at = np.searchsorted(cuts.value, _packed(page_id, digest, u), side="right") - 1
+        return pd.Series(numbers.value[np.maximum(at, 0)])
+
     # range partitioning on the shard alone: a shard is never split over tasks
-    rows = (rows.withColumn("cell", _cell(lo, width)).join(F.broadcast(table), "cell").drop("cell")
-            .repartitionByRange(n, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url"))
-    manifest = stored(rows.mapInPandas(_write_partition(folder, roll_bytes, min_revisit_bytes), MANIFEST), "warc-manifest")
+    rows = (rows.withColumn("shard", shard_of("page_id", "digest", "u"))
+            .repartitionByRange(max(1, len(table)), "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "u", "url"))
+    manifest = stored(rows.mapInPandas(_write_partition(folder, roll_bytes, min_revisit_bytes, begun), MANIFEST), "warc-manifest")
     return folder, manifest
 
 
@@ -272,3 +309,19 @@ def archive(pages: DataFrame, **options) -> DataFrame:
     folder, manifest = write(pages, **options)
     return read_back(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
                                               "url", "file")
+
+
+_FIVE_BITS = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(({n} >> {k}) & 31 AS INTEGER) + 1, 1)"
+_BASE32 = ("array_to_string(list_transform(range(0, 8), lambda i: " + " || ".join(
+    _FIVE_BITS.format(n="cast('0x' || substr({hex}, 5 * i + 1, 5) AS BIGINT)", k=k) for k in (15, 10, 5, 0)) + "), '')")
+
+#: DuckDB SQL of ``op9_warc``: five hex digits are four letters of base 32.
+ARCHIVE_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, cast(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS x FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM d)
+SELECT page_id, payload_bytes, {_BASE32.format(hex="x")} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
