@@ -6,15 +6,22 @@ its host; tokens of one vector form an equivalence class.  Vectors are never
 built: their fingerprint is the sum of hash(page, count), so classes come
 from one map-side combined aggregation.  A class is valid if it is on enough
 of the host's pages and its tokens come in the same order, as often as they
-are repeated, on each of them (a second pass reports breaches).  The text of
-all valid classes, whatever their counts, is the host's template text.
-Extraction removes it, drops blocks whose path says menu, header, footer,
-sidebar, notice, advert, form, script, style or comment, and keeps all other
-blocks of the article or main element or, without one, of the page.
-
-Pages of a host that agree in their longest text runs, up to COPY of the text,
-are copies of one article and count once: else a host of mirrors would take
-its article for template.
+are repeated, on each of them; a class of tokens that occur once a page is
+split first: tokens outside a longest run in order, on any page, leave it.
+The largest such class is the root; its tokens cut a page into slots.  Any
+other valid class is nested if each of its rounds lies within one slot, and if
+these are the same slots on every page (a second pass reports breaches).
+The text of the root and of the nested classes is the host's template text;
+what else stands in the slots is data.  Extraction takes the data, without
+blocks whose path says menu, header, footer, sidebar, notice, advert, form,
+script, style or comment, of the article or main element or, without one, of
+the page.
+
+Copies of one article count once in a host's statistics: else a host of
+mirrors would take its article for template.  They are told by what is left
+of the pages without the runs that most of the host shares, so a long template
+makes no page a copy; runs of a few words (dates, counters) don't tell pages
+apart.
 
 Only tokens on at least SUPPORT of a host's pages are kept, so a host's
 template is no larger than a few pages; templates join the pages by host as
@@ -25,6 +32,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,11 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import small_batches, stored
+from llm.common import releasing, small_batches, stored
 
-SUPPORT = 0.9
-MIN_PAGES = 8
-COPY = 0.8
+#: Share of a host's pages that a class is on, the least number of different
+#: pages to deduce from, and the number from which template text is removed
+#: from an article or main element, too.
+SUPPORT, MIN_PAGES, SURE_PAGES = 0.9, 3, 8
+#: Pages agree in their longest runs up to this share of the text; runs of fewer words than RUN_WORDS don't count.
+COPY, RUN_WORDS = 0.8, 4
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)
  |<(?P<raw>script|style|textarea|title|xmp|noembed|noframes)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
@@ -63,7 +74,12 @@ OUT_WORDS = frozenset(
     "notice notices alert popup modal overlay newsletter subscribe subscription signup paywall sidebar sidebars aside rail menu menus nav navbar "
     "navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist disqus replies reply respond "
     "related recommended recommendations share sharing social widget widgets search login skip".split())
-HEADER_WORDS = frozenset("header head heading".split())
+#: Words that say where or how, not what: a class of such words and of OUT_WORDS holds no article text.
+NEUTRAL_WORDS = frozenset(
+    "area article articles bar block body bottom box btn button buttons card col column container content count counter desktop entry field fixed "
+    "floating form global group icon icons inner input item items label left link links list main media mobile outer page panel post posts primary "
+    "reader readers right row secondary section sections site slot slots sticky stories sub text thread title tools top unit user users web wrap "
+    "wrapper zone".split())
 NEGATED = frozenset("has with no without not".split())
 
 
@@ -81,7 +97,10 @@ def _out(name: str, attrs: str, in_main: bool) -> bool:
             words = [w for w in re.split(r"[^a-z0-9]+", cls) if w]
             if not words or words[0] in NEGATED:
                 continue
-            if words[0] in OUT_WORDS or words[-1] in OUT_WORDS or (not in_main and words in (["header"], ["site", "header"], ["page", "header"])):
+            named = [w for w in words if w in OUT_WORDS]
+            if named and all(w in OUT_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in words):
+                return True
+            if not in_main and words in (["header"], ["site", "header"], ["page", "header"]):
                 return True
     return False
 
@@ -183,13 +202,14 @@ def blocks(page: str, words: frozenset = frozenset()):
         yield got
 
 
-def extract(page: str | None, words=()) -> str:
-    """The article's blocks, one a line.  ``words``: the host's template text."""
+def extract(page: str | None, words=(), sure: bool = True) -> str:
+    """The article's blocks, one a line.  ``words``: the host's template text
+    (unless ``sure``, an article or main element keeps it)."""
     if not page:
         return ""
     found = [b for b in blocks(page, frozenset(words)) if not b[1]]
     main = [b for b in found if b[2]]
-    kept = [b for b in main or found if not b[3]]
+    kept = [b for b in main or found if not b[3]] if sure or not main else main
     # an article or main element that is mostly template text is a copied article
     if main and 2 * sum(len(b[0]) for b in kept) < sum(len(b[0]) for b in main):
         kept = main
@@ -226,22 +246,70 @@ def _ordered(tokens: list[int], seen: dict[int, list[int]]) -> bool:
     return flat == sorted(flat)
 
 
+def _wanderers(tokens: list[int], seen: dict[int, list[int]]) -> list[int]:
+    """The tokens, each once on the page, outside a longest subsequence that is in order."""
+    have = [t for t in tokens if t in seen]
+    tops: list[int] = []  # least last position of a run of each length
+    ends: list[int] = []  # its token's index
+    before = [-1] * len(have)
+    for i, t in enumerate(have):
+        k = bisect_left(tops, seen[t][0])
+        if k:
+            before[i] = ends[k - 1]
+        tops[k:k + 1], ends[k:k + 1] = [seen[t][0]], [i]
+    keep, i = set(), ends[-1] if ends else -1
+    while i >= 0:
+        keep.add(i)
+        i = before[i]
+    return [t for i, t in enumerate(have) if i not in keep]
+
+
+def _positions(page: str | None, tokens) -> dict[int, list[int]]:
+    """Where each of the tokens occurs on the page."""
+    seen: dict[int, list[int]] = {t: [] for t in tokens}
+    for i, (_, token, _, _) in enumerate(events(page or "")):
+        if (at := seen.get(_long(token))) is not None:
+            at.append(i)
+    return {t: at for t, at in seen.items() if at}
+
+
+def _nested(tokens: list[int], seen: dict[int, list[int]], cuts: list[int]) -> frozenset | None:
+    """The slots (between ``cuts``) of a class on a page; None if a round is in more than one."""
+    at = [seen[t] for t in tokens if t in seen]
+    slots = set()
+    for around in zip(*at, strict=False):
+        of = {bisect_left(cuts, i) for i in around}
+        if len(of) > 1:
+            return None
+        slots |= of
+    return frozenset(slots)
+
+
 def _copies(pages: DataFrame) -> DataFrame:
     """(host, page) of all pages but one of each set of copies.  Rows that
     are equal in all columns count as one page here."""
     text = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\z)", "<>")
     runs = pages.select("host", "page", F.split(text, "<[^>]*>").alias("r")).withColumn(
-        "r", F.expr("array_sort(transform(filter(r, x -> trim(x) != ''), x -> struct(-length(trim(x)) as n, xxhash64(trim(x)) as h)))"))
-    total = runs.withColumn("total", F.expr("aggregate(r, 0L, (a, x) -> a - x.n)")).where("total > 0")
+        "r", F.expr(f"transform(filter(r, x -> size(split(trim(x), '\\\\s+')) >= {RUN_WORDS}), x -> struct(-length(trim(x)) as n, xxhash64(trim(x)) as h))"))
+    runs = stored(runs.dropDuplicates(["host", "page"]), "page-runs")
+    many = runs.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    shared = (runs.select("host", F.explode(F.array_distinct("r.h")).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("on"))
+              .join(many, "host").where(F.col("on") >= F.greatest(F.lit(2), SUPPORT * F.col("pages"))).groupBy("host").agg(F.collect_set("h").alias("shared")))
+    # no more than the runs of a page or two per host
+    left = runs.join(stored(shared, "shared-runs"), "host", "left").withColumn(
+        "r", F.expr("array_sort(filter(r, x -> shared is null or not array_contains(shared, x.h)))"))
+    total = left.withColumn("total", F.expr("aggregate(r, 0L, (a, x) -> a - x.n)"))
     sign = F.expr(f"aggregate(r, struct(0L as seen, 0L as h), (a, x) -> if(a.seen < {COPY} * total, struct(a.seen - x.n as seen, xxhash64(a.h, x.h) as h), a)).h")
     signed = stored(total.select("host", "page", sign.alias("sign")), "page-signs")
     first = signed.groupBy("host", "sign").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return stored(signed.join(first, ["host", "sign"]).where("page != first").select("host", "page").distinct(), "copies")
 
 
+@releasing
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, words: the text tokens of its valid classes), for hosts of at
-    least MIN_PAGES different pages.  ``pages`` has host, page_id, url, html."""
+    """(host, words: the text tokens of its template, sure: whether it rests on
+    SURE_PAGES), for hosts of at least MIN_PAGES different pages.  ``pages``
+    has host, page_id, url, html."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             rows = [(h, p, _long(t), c, i, w) for h, p, page in zip(df["host"], df["page"], df["html"], strict=True)
@@ -254,32 +322,52 @@ def templates(pages: DataFrame) -> DataFrame:
     tokens = (src.mapInPandas(count, "host string, page long, token long, n long, at long, word boolean")
               .groupBy("host", "token")
               .agg(F.count(F.lit(1)).alias("on"), F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"),
-                   F.avg("at").alias("at"), F.max("word").alias("word")))
-    # classes with text of the tokens on most pages, however often they occur there
-    frequent = stored(tokens.join(hosts, "host").where(F.col("on") >= SUPPORT * F.col("pages"))
-                      .groupBy("host", F.col("vector").cast("string").alias("vector"))
-                      .agg(F.array_sort(F.collect_list(F.struct("at", "token", "word"))).alias("c"))
-                      .where("exists(c, x -> x.word)"), "classes")
+                   F.max("n").alias("most"), F.avg("at").alias("at"), F.max("word").alias("word")))
+    classes = stored(tokens.join(hosts, "host").where(F.col("on") >= SUPPORT * F.col("pages"))
+                     .groupBy("host", "pages", F.col("vector").cast("string").alias("vector"))
+                     .agg(F.max("most").alias("most"), F.array_sort(F.collect_list(F.struct("at", "token", "word"))).alias("c")), "classes")
+    # only hosts with text in some class matter
+    classes = stored(classes.join(classes.where("exists(c, x -> x.word)").select("host").distinct(), "host", "left_semi"), "classes")
+    pages_of = src.select("host", "html")
+    packed = lambda c, *more: stored(c.groupBy("host").agg(F.collect_list(F.struct("vector", F.col("c.token").alias("tokens"), *more)).alias("classes")), "host-classes")
+
+    def wander(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            out = set()
+            for host, page, some in zip(df["host"], df["html"], df["classes"], strict=True):
+                seen = _positions(page, (t for c in some for t in c["tokens"]))
+                out.update((host, t) for c in some for t in _wanderers(c["tokens"], seen))
+            yield pd.DataFrame(list(out), columns=["host", "token"])
+
+    loose = (pages_of.join(packed(classes.where("most = 1 and size(c) > 1")), "host").mapInPandas(wander, "host string, token long")
+             .groupBy("host").agg(F.collect_set("token").alias("loose")))
+    classes = classes.join(stored(loose, "loose"), "host", "left").withColumn(
+        "c", F.expr("filter(c, x -> loose is null or not array_contains(loose, x.token))")).where("size(c) > 0").drop("loose")
+    classes = stored(classes, "classes")
+    root = classes.where("most = 1").groupBy("host").agg(F.max(F.struct(F.size("c"), "vector"))["vector"].alias("root"))
+    # only classes with text matter, and the root
+    classes = stored(classes.join(root, "host", "left").where("vector <=> root or exists(c, x -> x.word)"), "classes")
 
     def breaches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            bad = set()
-            for host, page, classes in zip(df["host"], df["html"], df["classes"], strict=True):
-                seen: dict[int, list[int]] = {t: [] for c in classes for t in c["tokens"]}
-                for i, (_, token, _, _) in enumerate(events(page or "")):
-                    if (at := seen.get(_long(token))) is not None:
-                        at.append(i)
-                seen = {t: at for t, at in seen.items() if at}
-                bad.update((host, c["vector"]) for c in classes if not _ordered(c["tokens"], seen))
-            yield pd.DataFrame(list(bad), columns=["host", "vector"])
-
-    # a class of one token has no order to breach
-    per = frequent.where("size(c) > 1").groupBy("host").agg(F.collect_list(F.struct("vector", F.col("c.token").alias("tokens"))).alias("classes"))
-    bad = (src.select("host", "html").join(stored(per, "host-classes"), "host").select("host", "html", "classes")
-           .mapInPandas(breaches, "host string, vector string").distinct())
-    valid = frequent.join(bad, ["host", "vector"], "left_anti")
+            rows = set()
+            for host, page, some in zip(df["host"], df["html"], df["classes"], strict=True):
+                seen = _positions(page, (t for c in some for t in c["tokens"]))
+                cuts = sorted(i for c in some if c["vector"] == c["root"] for t in c["tokens"] for i in seen.get(t, ()))
+                for c in some:
+                    if c["vector"] == c["root"] or not any(t in seen for t in c["tokens"]):
+                        continue
+                    slots = _nested(c["tokens"], seen, cuts)
+                    broken = slots is None or not _ordered(c["tokens"], seen)
+                    if broken or cuts:
+                        rows.add((host, c["vector"], None if broken else repr(sorted(slots))))
+            yield pd.DataFrame(list(rows), columns=["host", "vector", "slots"])
+
+    found = stored(pages_of.join(packed(classes, "root"), "host").mapInPandas(breaches, "host string, vector string, slots string").distinct(), "nests")
+    bad = found.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("slots").isNull()).alias("broken")).where("kinds > 1 or broken > 0")
+    valid = classes.join(bad, ["host", "vector"], "left_anti")
     words = F.expr("flatten(collect_list(transform(filter(c, x -> x.word), x -> x.token)))")
-    return stored(valid.groupBy("host").agg(words.alias("words")), "templates")
+    return valid.groupBy("host").agg(words.alias("words"), (F.max("pages") >= SURE_PAGES).alias("sure"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -296,9 +384,10 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            text = [extract(p, () if w is None else [t % (1 << 64) for t in w.tolist()]) for p, w in zip(df["html"], df["words"], strict=True)]
+            text = [extract(p, () if w is None else [t % (1 << 64) for t in w.tolist()], bool(sure))
+                    for p, w, sure in zip(df["html"], df["words"], df["sure"], strict=True)]
             yield pd.DataFrame({"page_id": df["page_id"], "url": df["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    rows = src.join(found, "host", "left").select("page_id", "url", "html", "words")
+    rows = src.join(found, "host", "left").select("page_id", "url", "html", "words", F.coalesce("sure", F.lit(False)).alias("sure"))
     kind = src.schema["page_id"].dataType.simpleString()
     return rows.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
