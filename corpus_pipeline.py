@@ -56,7 +56,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the mix takes, with their copies, in order of their first training position."""
-    return mixing.mix(docs).where("copies > 0").drop("_o", "_a").orderBy("position", "doc_id")
+    return mixing.mix(docs).where("copies > 0").drop("place", "ramp").orderBy("position", "doc_id")
 
 
 STAGES = [("language_id", language_id), ("ngram_jaccard", near_duplicates), ("decontamination", decontamination),
@@ -68,8 +68,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
