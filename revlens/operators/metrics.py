@@ -4,11 +4,11 @@ Shared metric block per group: row count; min, max, mean, most frequent
 value and sample standard deviation of rating, review_length, vote_count
 and vote_sum; min, max and most frequent value of date.
 
-Plan: the input is read once into a (group, column, value) histogram, a hash
-aggregation with map-side combine; every figure (counts, extremes, moments,
-modes, distinct counts) follows from the histogram in one second aggregation
-on the group.  No join, and a group whose measures are all null keeps its
-row, because null values are counted too.
+Plan: group sizes are counted first.  Groups of up to ``HOT`` rows go through
+one aggregation on the group: each row is shuffled once, and a group's values
+fit in memory.  Larger groups go through a (group, column, value) histogram
+with map-side combine, from which a second aggregation takes every figure, so
+no task holds all values of a hot group.  Both give the same figures.
 """
 
 from __future__ import annotations
@@ -19,12 +19,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.stats import safe_div, value_counts, weighted_std
+from revlens.session import shared_table
 
 MEASURES = ("rating", "review_length", "vote_count", "vote_sum")
 
 
-def metric_block(df: DataFrame, keys: Sequence[str], distincts: dict[str, str]) -> DataFrame:
+#: Rows of the largest group that is aggregated directly.
+HOT = 100_000
+
+
+def metric_block(df: DataFrame, keys: Sequence[str], distincts: dict[str, str], hot: int = HOT) -> DataFrame:
     keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    groups, large = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("_n") > hot)).first()
+    if large == 0:
+        return _direct(df, keys, distincts)
+    if large == groups:
+        return _by_histogram(df, keys, distincts)
+    marks = shared_table(sizes.where(F.col("_n") > hot).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), "hot-groups")
+    same = [df[k].eqNullSafe(marks[f"_k{i}"]) for i, k in enumerate(keys)]
+    return _direct(df.join(marks, same, "left_anti"), keys, distincts).unionByName(
+        _by_histogram(df.join(marks, same, "left_semi"), keys, distincts))
+
+
+def _direct(df: DataFrame, keys: Sequence[str], distincts: dict[str, str]) -> DataFrame:
+    aggs = [F.count(F.lit(1)).alias("review_count")]
+    for m in (*MEASURES, "date"):
+        aggs += [F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"), F.mode(m, True).alias(f"{m}_mode")]
+        if m != "date":
+            aggs += [F.avg(m).alias(f"{m}_avg"), F.stddev_samp(m).alias(f"{m}_std")]
+    aggs += [F.size(F.collect_set(c)).cast("long").alias(out) for out, c in distincts.items()]
+    return df.groupBy(*keys).agg(*aggs)
+
+
+def _by_histogram(df: DataFrame, keys: Sequence[str], distincts: dict[str, str]) -> DataFrame:
     n = F.col("_cnt")
     aggs = [F.sum(F.when(F.col("_tag") == 0, n)).alias("review_count")]
     for i, m in enumerate((*MEASURES, "date")):

@@ -159,6 +159,14 @@ def extreme_raters(spark, sf):
     return X.extreme_raters(reviews(spark, sf))
 
 
+@register("extreme_orders", sql=with_views(
+    "SELECT split_part(id, '-', 1) AS order_no, min(rating) AS rating, count(*) AS reviews FROM r GROUP BY 1 "
+    "HAVING min(rating) = max(rating) AND min(rating) IN (1, 5)", r=REVIEWS_SQL))
+def extreme_orders(spark, sf):
+    """Groups whose ratings all agree: orders of one line."""
+    return X.extreme_raters(reviews(spark, sf).withColumn("order_no", F.substring_index("id", "-", 1)), "order_no")
+
+
 @register("multi_review_authors", sql=with_views(
     "SELECT author, count(*) AS reviews FROM r GROUP BY author HAVING count(*) >= 2", r=REVIEWS_SQL))
 def multi_review_authors(spark, sf):

@@ -97,6 +97,13 @@ def stratified_sample(spark, sf):
     return S.stratified_sample(doc_reviews(spark, sf).select("id", "category"), 0.25, ["category"], 42)
 
 
+@register("stratified_sample_two", sql=with_views(
+    f"SELECT id, category, lang FROM d QUALIFY row_number() OVER (PARTITION BY category, lang ORDER BY {h(['id'])}, id) "
+    f"<= round_even(count(*) OVER (PARTITION BY category, lang) * 0.25, 0)", d=DOC_REVIEWS_SQL))
+def stratified_sample_two(spark, sf):
+    return S.stratified_sample(doc_reviews(spark, sf).select("id", "category", "lang"), 0.25, ["category", "lang"], 42)
+
+
 @register("split_80_10_10", sql=with_views(
     f"SELECT id, CASE WHEN substr({h(['id'])}, 1, 8) < '{S.hex_threshold(0.8)}' THEN 'train' "
     f"WHEN substr({h(['id'])}, 1, 8) < '{S.hex_threshold(0.9)}' THEN 'validation' ELSE 'test' END AS split FROM d",
