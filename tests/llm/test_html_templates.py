@@ -111,10 +111,10 @@ def test_deduction_equals_explicit_vectors(spark):
         twice = f"<p>{notes[2]}</p>"
         swap = [f"<h4>{notes[3]}</h4>", f"<blockquote><h5><i>{notes[4]}</i></h5></blockquote>"][::1 if i % 2 else -1]  # now before, now behind
         rare = f"<h6>{notes[5]}</h6>" if i else ""  # on nine of ten pages
-        # once or twice, in the first or the second section
-        move = [f"<p><em>{notes[6]}</em></p>" * (1 + i % 3 % 2), ""][::1 if i % 2 else -1]
-        bodies.append(f"<html><body><h1>{words(rng, 6)}</h1><div>{notes[1]}</div>{twice}<section>{words(rng, 30)}{move[0]}</section><hr><section>"
-                      f"{words(rng, 20)}{move[1]}</section>{twice}<ul>{rows}</ul>{''.join(swap)}{rare}</body></html>")
+        # once or twice, before or behind the rule
+        move = [f"<address><em>{notes[6]}</em></address>" * (1 + i % 3 % 2), ""][::1 if i % 2 else -1]
+        bodies.append(f"<html><body><h1>{words(rng, 6)}</h1><div>{notes[1]}</div>{twice}<section>{words(rng, 30)}</section>{move[0]}<hr>{move[1]}"
+                      f"{twice}<ul>{rows}</ul>{''.join(swap)}{rare}</body></html>")
     src = pages(spark, bodies).select("page_id", "url", "html")
     got = hx.templates(src.withColumn("host", hx.host_of(src["url"]))).collect()
     assert len(got) == 1 and set(got[0]["words"]) == brute(bodies) and got[0]["sure"]
