@@ -1,12 +1,15 @@
 """Embedding near-dedup by sorted projection passes.
 
 In each pass all vectors are ordered by the concatenated sign bits of random
-projections (a range sort), every vector is compared with a bounded window
-of neighbours, and pairs of cosine >= ``threshold`` are links; links of all
-passes are united.
-
-A window cannot count the links inside a large tight group, so such groups
-are folded first.  The first pass gathers runs of close vectors around
+projections (a range sort) and every vector meets a bounded window of
+neighbours.  A pass carries keys and a sketch of SKETCH sign bits, not the
+vectors: a pair whose sketches differ in so many bits that six standard
+deviations part it from the threshold is dropped, the distinct pairs of all
+passes fetch their vectors once, and those of cosine >= ``threshold`` are links.
+
+Equal vectors are one row, with a count, before anything is sorted.  A window
+cannot count the links inside a large tight group, so such groups are folded
+first.  The first pass gathers runs of close vectors around
 leaders; the vectors within half the threshold angle of such a run's
 centroid form a ball, whose members are all linked to one another by the
 triangle inequality of angles.  In the windows a ball is one entity, known by
@@ -41,6 +44,7 @@ RECALL = 0.99
 PASSES = 12  # at least
 WINDOW = 40
 BITS = 64
+SKETCH, SIGMAS = 256, 6
 LEADERS = 32
 LEAD_COS = 0.965
 MERGE_COS = 0.995
@@ -62,6 +66,12 @@ def _keys(u: np.ndarray, p: int) -> np.ndarray:
     return (bits.view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
 
+def _sketch(u: np.ndarray) -> np.ndarray:
+    """SKETCH sign bits of each row, as rows of 64-bit words."""
+    r = np.random.default_rng([1 << 20, u.shape[1]]).standard_normal((u.shape[1], SKETCH))
+    return np.packbits(u @ r > 0, axis=1).view(np.uint64)
+
+
 def prepare(vectors: DataFrame) -> tuple[DataFrame, str]:
     """(rid, vec_id, dim, raw bytes or null if the vector links with nothing), stored."""
     kind = vectors.schema["embedding"].dataType
@@ -98,6 +108,13 @@ def _limits(threshold: float) -> np.ndarray:
     return np.array([threshold] + [math.cos(min(math.pi, limit + k * limit / 2)) - 1e-5 for k in (1, 2)])
 
 
+def _bit_limits(threshold: float) -> np.ndarray:
+    """Most bits in which the sketches of such entities differ, but for chances
+    of SIGMAS standard deviations."""
+    p = np.arccos(_limits(threshold)) / math.pi
+    return SKETCH * p + SIGMAS * np.sqrt(SKETCH * p * (1 - p))
+
+
 def _sorted(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
@@ -124,7 +141,7 @@ def _gather(rows: DataFrame, dtype: str, p: int, cos: float) -> DataFrame:
                     lead, sums, weight, dim = [], [], [], d
                     unit = np.empty((0, d))
                 u = _unit([raw], dtype)[0]
-                v = u if total is None else np.frombuffer(total, "<f8")
+                v = u * w if total is None else np.frombuffer(total, "<f8")
                 near = unit @ u if len(lead) else np.empty(0)
                 if len(lead) and near.max() >= cos:
                     i = int(near.argmax())
@@ -160,37 +177,48 @@ def entities(base: DataFrame, dtype: str, threshold: float) -> DataFrame:
     entity and their ball's centre; other vectors are entities of their own."""
     half = math.cos(math.acos(threshold) / 2) + EPS
     none = F.lit(None).cast("binary")
-    rows = base.where("raw is not null")
-    one = _gather(rows.select("rid", "dim", "raw", F.lit(1).cast("long").alias("weight"), none.alias("total")), dtype, 0, LEAD_COS)
+    digest = F.struct(F.xxhash64("dim", "raw").alias("p"), F.xxhash64(F.lit(1), "raw").alias("q"))
+    rows = base.where("raw is not null").withColumn("h", digest)
+    same = stored(rows.groupBy("h").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("weight"), F.any_value("dim").alias("dim"),
+                                        F.any_value("raw").alias("raw")), "distinct-vectors")
+    one = _gather(same.select(F.col("first").alias("rid"), "dim", "raw", "weight", none.alias("total")), dtype, 0, LEAD_COS)
     runs = one.where("kind = 1 and weight > 1")
     # runs of one group may lie in several places: gather their centroids once more
     two = _gather(runs.select("rid", "dim", F.col("total").alias("raw"), "weight", "total"), "<f8", 1, MERGE_COS)
     balls = two.where("kind = 1").select(F.col("rid").alias("ball"), F.col("total").alias("centre"))
     to = two.where("kind = 0").select(F.col("rid").alias("lead"), F.col("lead").alias("ball")).join(balls, "ball")
-    of = one.where("kind = 0").select("rid", "lead").join(to, "lead").select("rid", "ball", "centre")
+    of = one.where("kind = 0").select(F.col("rid").alias("first"), "lead").join(to, "lead").select("first", "ball", "centre")
 
     def run(batches):
         for df in batches:
-            ent, cosine = df["rid"].to_numpy().copy(), np.ones(len(df))
+            ent, cosine, centre = df["rid"].to_numpy().copy(), np.ones(len(df)), np.full(len(df), None, object)
+            rid, copied = df["rid"].to_numpy(), (df["weight"] > 1).to_numpy()
             for d in np.unique(df["dim"]):
-                at = np.flatnonzero((df["dim"] == d) & df["ball"].notna())
-                if len(at):
-                    u = _unit(df["raw"].iloc[at].tolist(), dtype)
-                    c = _unit(df["centre"].iloc[at].tolist(), "<f8")
-                    near = (u * c).sum(1)
-                    tight = near >= half
-                    ent[at[tight]] = -df["ball"].to_numpy(dtype=float, na_value=0)[at[tight]].astype(np.int64) - 1
-                    cosine[at[tight]] = near[tight]
-            yield pd.DataFrame({"rid": df["rid"], "dim": df["dim"], "raw": df["raw"], "ent": ent, "cosine": cosine,
-                                "centre": [c if e < 0 else None for c, e in zip(df["centre"], ent, strict=True)]})
-
-    joined = rows.join(of, "rid", "left").select("rid", "dim", "raw", F.col("ball"), "centre")
-    return stored(joined.mapInPandas(run, "rid long, dim int, raw binary, ent long, cosine double, centre binary"), "entities")
-
-
-def _window_pairs(ent: np.ndarray, u: np.ndarray, fresh: int, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entity pairs that may be linked among rows at most WINDOW apart, the
-    later of them at or after ``fresh``."""
+                at = np.flatnonzero(df["dim"] == d)
+                u = _unit(df["raw"].iloc[at].tolist(), dtype)
+                near, has = np.zeros(len(at)), df["ball"].iloc[at].notna().to_numpy()
+                if has.any():
+                    near[has] = (u[has] * _unit(df["centre"].iloc[at[has]].tolist(), "<f8")).sum(1)
+                tight = has & (near >= half)
+                ent[at[tight]] = -2 * df["ball"].iloc[at[tight]].to_numpy(dtype=np.int64) - 1
+                cosine[at[tight]] = near[tight]
+                centre[at[tight]] = df["centre"].iloc[at[tight]].to_numpy(dtype=object)
+                own = copied[at] & ~tight  # copies of a vector that is in no ball are one
+                ent[at[own]] = -2 * rid[at[own]] - 2
+                centre[at[own]] = [x.tobytes() for x in u[own]]
+            yield pd.DataFrame({"rid": df["rid"], "dim": df["dim"], "raw": df["raw"], "ent": ent, "cosine": cosine, "centre": centre})
+
+    # the distinct vectors with their balls; copies take the entity of the first
+    folded = same.join(of, "first", "left").select(F.col("first").alias("rid"), "dim", "raw", "ball", "centre", "h", "weight")
+    made = stored(folded.select("rid", "dim", "raw", "ball", "centre", "weight").mapInPandas(run, "rid long, dim int, raw binary, ent long, cosine double, centre binary"), "entities")
+    copies = rows.select("rid", "h").join(same.where("weight > 1").select("h", "first"), "h").where("rid != first").select("rid", "first")
+    more = copies.join(made.withColumnRenamed("rid", "first"), "first").select("rid", "dim", "raw", "ent", "cosine", "centre")
+    return stored(made.union(more), "members-of")
+
+
+def _window_pairs(ent: np.ndarray, sketch: np.ndarray, fresh: int, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entity pairs that may be linked, by their sketches, among rows at most
+    WINDOW apart, the later of them at or after ``fresh``."""
     ball = (ent < 0).astype(int)
     a, b = [], []
     for o in range(1, min(WINDOW, len(ent) - 1) + 1):
@@ -198,7 +226,8 @@ def _window_pairs(ent: np.ndarray, u: np.ndarray, fresh: int, limits: np.ndarray
         i = np.arange(lo, len(ent) - o)
         if not len(i):
             continue
-        ok = (np.einsum("ij,ij->i", u[i], u[i + o]) >= limits[ball[i] + ball[i + o]]) & (ent[i] != ent[i + o])
+        differ = np.bitwise_count(sketch[i] ^ sketch[i + o]).sum(1)
+        ok = (differ <= limits[ball[i] + ball[i + o]]) & (ent[i] != ent[i + o])
         a.append(ent[i[ok]])
         b.append(ent[i[ok] + o])
     a = np.concatenate(a) if a else np.empty(0, np.int64)
@@ -218,20 +247,26 @@ def _thin(ent: np.ndarray, recent: list[int]) -> np.ndarray:
     return np.array(keep, int)
 
 
+def _words(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+
+
 def window_links(ents: DataFrame, dtype: str, threshold: float, passes: int) -> DataFrame:
-    """Distinct entity pairs (a, b) that meet in a window of some pass and may hold linked members."""
-    limits = _limits(threshold)
+    """Distinct entity pairs (a, b) that meet in a window of some pass and, by
+    their sketches, may hold linked members."""
+    limits = _bit_limits(threshold)
 
     def key(batches):
         for df in batches:
             for d in np.unique(df["dim"]):
                 part = df[df["dim"] == d]
-                u, mid = _unit(part["raw"].tolist(), dtype), part["raw"].to_numpy(dtype=object, copy=True)
-                balls = np.flatnonzero(part["ent"] < 0)
+                u = _unit(part["raw"].tolist(), dtype)
+                mid, balls = u.copy(), np.flatnonzero(part["ent"] < 0)
                 if len(balls):
-                    mid[balls] = [c.tobytes() for c in _unit(part["centre"].iloc[balls].tolist(), "<f8").astype(dtype)]
+                    mid[balls] = _unit(part["centre"].iloc[balls].tolist(), "<f8")
+                bits = [x.tobytes() for x in _sketch(mid)]
                 for p in range(passes):
-                    yield (pd.DataFrame({"pass": p, "dim": d, "key": _keys(u, p), "ent": part["ent"].to_numpy(), "raw": mid})
+                    yield (pd.DataFrame({"pass": p, "dim": d, "key": _keys(u, p), "ent": part["ent"].to_numpy(), "raw": bits})
                            .drop_duplicates(["key", "ent"]))
 
     def frame(kind, a=(), b=(), at=(), group=0, place=0, raw=None):
@@ -254,7 +289,7 @@ def window_links(ents: DataFrame, dtype: str, threshold: float, passes: int) ->
                 if not len(at):
                     continue
                 new = df["raw"].iloc[at].tolist()
-                e, v = df["ent"].to_numpy()[at], _unit(new, dtype)
+                e, v = df["ent"].to_numpy()[at], _words(new)
                 if head < WINDOW:  # rows that the previous partition's last rows meet
                     k = min(WINDOW - head, len(e))
                     yield edge(part, grp, e[:k], new[:k], 0, head)
@@ -277,7 +312,7 @@ def window_links(ents: DataFrame, dtype: str, threshold: float, passes: int) ->
 
     def across(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("place", kind="stable")
-        ent, u = df["a"].to_numpy(), _unit(df["raw"].tolist(), dtype)
+        ent, u = df["a"].to_numpy(), _words(df["raw"].tolist())
         a, b = _window_pairs(ent, u, int((df["place"] < 0).sum()), limits)
         return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
@@ -303,12 +338,12 @@ def _decided(pairs: DataFrame, table: DataFrame, dtype: str, threshold: float) -
         for df in batches:
             full, near = [], []
             for a, b, ra, rb, x, y in zip(df["a"], df["b"], df["ra"], df["rb"], df["x"], df["y"], strict=True):
-                if a >= 0 and b >= 0:
-                    full.append(True)  # two vectors, already compared
-                    near.append(True)
-                    continue
                 p = _unit([x], "<f8" if a < 0 else dtype)[0]
                 q = _unit([y], "<f8" if b < 0 else dtype)[0]
+                if a >= 0 and b >= 0:  # two vectors
+                    full.append(True)
+                    near.append(float(p @ q) >= threshold)
+                    continue
                 d = math.acos(min(1.0, max(-1.0, float(p @ q))))
                 radii = math.acos(min(1.0, ra)) + math.acos(min(1.0, rb))
                 full.append(d + radii <= limit - EPS)
