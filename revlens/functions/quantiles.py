@@ -55,5 +55,5 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequ
         pos = F.lit(p) * (F.col("_n") - 1)
         lo, hi = F.element_at("_at", F.floor(pos)), F.element_at("_at", F.ceil(pos))
         q.append(lo + (hi - lo) * (pos - F.floor(pos)))
-    one = both.select(*by, F.array(*q).alias("q"))
+    one = both.select(*by, F.when(F.col("_n") > 0, F.array(*q)).alias("q"))
     return one if by else one.agg(F.max("q").alias("q"))

@@ -28,40 +28,45 @@ from revlens.session import shared_table
 
 # --------------------------------------------------------------------------- duplicates
 def row_digest(cols: Sequence[str]) -> Column:
-    """MD5 (16 bytes) of the columns as text, each with its length before it;
-    nulls are told apart from values."""
-    def one(c):
-        t = F.col(c).cast("string")
-        return F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-"))
-    return F.unhex(F.md5(F.concat(*[one(c) for c in cols]).cast("binary")))
+    """128-bit digest of the columns, nulls told apart from values."""
+    parts = [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
 
 
 def flag_duplicates(df: DataFrame, flags: dict[str, Sequence[str] | None],
                     business: Sequence[str] | None = None) -> DataFrame:
     """Add one boolean per entry of ``flags``: name -> key columns (None =
     all ``business`` columns).  The first row of each key group is not a
-    duplicate; "first" is the row of smallest digest, so the choice does not
-    depend on the order of the input.  Nulls compare equal.
+    duplicate; "first" is the smallest row by all business columns (nulls
+    first), so the choice is deterministic.  Nulls compare equal.
 
     Only digests are grouped.  Keys with more than one row come back as a
     small table; all other rows pass without a shuffle (as long as that table
-    can be broadcast), and the full columns move only for rows that have an
-    equal copy.
+    can be broadcast).  The full columns move only for rows that have an equal
+    copy, and are compared only where rows of one key differ.
     """
-    allc = df.columns
-    keys = {f"_first{i}": list(k if k is not None else business or allc) for i, k in enumerate(flags.values())}
+    allc, business = df.columns, list(business or df.columns)
+    keys = {f"_first{i}": list(k if k is not None else business) for i, k in enumerate(flags.values())}
     whole = [f for f, k in keys.items() if set(k) == set(allc)]
     wide = df.withColumn("_d", row_digest(allc))
     narrow = df.select(row_digest(allc).alias("_d"), *[row_digest(k).alias(f"_k{f}") for f, k in keys.items() if f not in whole])
-    rows = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("_n"))
+    rows = shared_table(narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("_n")), "row-digests")
     kind = rows.schema["_d"].dataType
     marks = rows.where("_n > 1").select("_d", "_n", *[(F.col("_d") if f in whole else F.lit(None).cast(kind)).alias(f) for f in keys])
-    for f in keys:
-        if f not in whole:
-            first = rows.groupBy(f"_k{f}").agg(F.sum("_n").alias("_c"), F.min("_d").alias("_m")).where("_c > 1")
-            marks = marks.unionByName(rows.join(first, f"_k{f}").select(
-                "_d", "_n", *[(F.col("_m") if g == f else F.lit(None).cast(kind)).alias(g) for g in keys]))
-    marks = shared_table(marks.groupBy("_d").agg(F.max("_n").alias("_n"), *[F.max(f).alias(f) for f in keys]), "duplicate-keys")
+    for f, k in keys.items():
+        if f in whole:
+            continue
+        first = rows.groupBy(f"_k{f}").agg(F.sum("_n").alias("_c"), F.count(F.lit(1)).alias("_differ"), F.min("_d").alias("_m")).where("_c > 1")
+        first = shared_table(first.select(f"_k{f}", "_differ", "_m"), "duplicate-keys")
+        differ = first.where("_differ > 1").select(f"_k{f}")
+        if not differ.isEmpty():
+            order = F.struct(*[c for c in business if c not in k] or [F.lit(0)])
+            least = (wide.withColumn(f"_k{f}", row_digest(k)).join(differ, f"_k{f}").groupBy(f"_k{f}")
+                     .agg(F.min_by("_d", F.struct(order, "_d")).alias("_least")))
+            first = first.join(least, f"_k{f}", "left").withColumn("_m", F.coalesce("_least", "_m"))
+        marks = marks.unionByName(rows.join(first, f"_k{f}").select(
+            "_d", "_n", *[(F.col("_m") if g == f else F.lit(None).cast(kind)).alias(g) for g in keys]))
+    marks = shared_table(marks.groupBy("_d").agg(F.max("_n").alias("_n"), *[F.max(f).alias(f) for f in keys]), "duplicate-rows")
 
     def flagged(part: DataFrame, copy: Column) -> DataFrame:
         return part.select(*[F.col(c) for c in allc], *[(F.col(f).isNotNull() & ~(F.col("_d").eqNullSafe(F.col(f)) & (copy == 1))).alias(name)
