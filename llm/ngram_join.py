@@ -229,36 +229,27 @@ def _in_units(batches: Iterator[pd.DataFrame], names: list[str], work) -> Iterat
         yield work(rest, np.array([0, len(rest)]))
 
 
-def _active(tiles: DataFrame, percent: int) -> DataFrame:
-    """(key, cid): the rows of a tile that pass the bounds with a row of
-    another component in it.  Large tiles are cut by bands of size and into
-    blocks, each pair of blocks a unit with an R-tree; a unit gives at most
-    its own rows.  ``tiles`` has key, nb (blocks), cid, n, label, vec."""
-    rows = (tiles.withColumn("own", F.when(F.col("nb") > 1, _band(percent)).otherwise(0))  # large tiles: by bands of size, too
-            .withColumn("band", F.explode(F.when(F.col("nb") > 1, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array(F.col("own")))))
-            .withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-            .withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")))
-    unit = ["key", "band", "bi", "bj"]
-    rows = (rows.repartition(*unit).sortWithinPartitions(*unit)
-            .select("key", "band", F.col("bi").cast("int"), F.col("bj").cast("int"), F.col("blk").cast("int"), F.col("own").cast("int"), "cid", "label", "vec"))
-
-    def units(df, cuts):
-        start, end = cuts[:-1], cuts[1:]
+def _active(units: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
+    """(key, cid): the rows that pass the bounds with a row of another
+    component in their unit.  A unit has an R-tree and gives at most its own
+    rows.  ``units`` has u1 (the tile), u2, u3, side, cid and label."""
+    name = ["u1", "u2", "u3"]
+    rows = units.join(vecs, "cid").repartition(*name).sortWithinPartitions(*name).select(*name, "side", "cid", "label", "vec")
+
+    def work(df, cuts):
         vecs = list(df["vec"])
         points = _points(vecs)
-        i, j, u = _unit_pairs(points, start, end, percent)
-        lab, band, blk, cid, key = (df[c].to_numpy() for c in ("label", "own", "blk", "cid", "key"))
-        at = start[u]
-        mine = (lab[i] != lab[j]) & (np.maximum(band[i], band[j]) == df["band"].to_numpy()[at]) & \
-            (np.minimum(blk[i], blk[j]) == df["bi"].to_numpy()[at]) & (np.maximum(blk[i], blk[j]) == df["bj"].to_numpy()[at])
-        i, j = i[mine], j[mine]
+        i, j, _ = _unit_pairs(points, cuts[:-1], cuts[1:], percent)
+        lab, side, cid, key = (df[c].to_numpy() for c in ("label", "side", "cid", "u1"))
+        crossed = np.repeat(np.maximum.reduceat(side, cuts[:-1]), np.diff(cuts)) > 0  # the unit has two sides
+        ok = (lab[i] != lab[j]) & (~crossed[i] | (side[i] != side[j]))
+        i, j = i[ok], j[ok]
         fine = fine_ok(vecs, points.sum(1), i, j, percent)
         hit = np.unique(np.concatenate((i[fine], j[fine])))
         return pd.DataFrame({"key": key[hit], "cid": cid[hit]})
 
-    tiles.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
-    return rows.mapInPandas(lambda b: _in_units(b, unit, units), "key long, cid long").distinct()
+    units.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
+    return rows.mapInPandas(lambda b: _in_units(b, name, work), "key long, cid long").distinct()
 
 
 def _band(percent: int) -> F.Column:
@@ -267,8 +258,8 @@ def _band(percent: int) -> F.Column:
     return F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9)))
 
 
-def _blocks(rows, shingles_) -> F.Column:
-    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(shingles_ / BLOCK_SHINGLES), F.lit(1)).cast("long")
+def _blocks(rows, shingles_, times: int = 1) -> F.Column:
+    return F.greatest(F.ceil(rows / (times * BLOCK_ROWS)), F.ceil(shingles_ / (times * BLOCK_SHINGLES)), F.lit(1)).cast("long")
 
 
 # -- verification -----------------------------------------------------------
@@ -414,16 +405,17 @@ def _star_units(tiles: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
     return follow.union(leaders)
 
 
-def _rest_units(rows: DataFrame) -> DataFrame:
+def _rest_units(rows: DataFrame, times: int = 1) -> DataFrame:
     """Units of the rows (key, cid, n, label) that may still be linked.  A
     tile's largest component is never compared with itself: its blocks meet
-    the blocks of the other rows, and those meet each other."""
+    the blocks of the other rows, and those meet each other.  ``times`` makes
+    the blocks larger, where units hold points and not texts."""
     part = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     main = part.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top")).select("key", F.col("top.label").alias("main"))
     rows = rows.join(main, "key").withColumn("in_main", F.col("label") == F.col("main"))
     count = lambda cond, x: F.coalesce(F.sum(F.when(cond, x)), F.lit(0))
-    size = rows.groupBy("key").agg(_blocks(count(F.col("in_main"), 1), count(F.col("in_main"), F.col("n"))).alias("nm"),
-                                   _blocks(count(~F.col("in_main"), 1), count(~F.col("in_main"), F.col("n"))).alias("no"))
+    size = rows.groupBy("key").agg(_blocks(count(F.col("in_main"), 1), count(F.col("in_main"), F.col("n")), times).alias("nm"),
+                                   _blocks(count(~F.col("in_main"), 1), count(~F.col("in_main"), F.col("n")), times).alias("no"))
     rows = rows.join(size, "key")
     own = F.pmod(F.xxhash64("cid"), F.when(F.col("in_main"), F.col("nm")).otherwise(F.col("no")))
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
@@ -446,10 +438,9 @@ def linked_classes(docs: DataFrame, sig: DataFrame, k: int, percent: int) -> Dat
     label = _labelled(links)
     # rows of tiles with more than one component, with their points
     mixed = tiles.select("key", "cid", "n").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    ends = (mixed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-            .where("lo < hi").select("key", F.ceil(F.col("c") / BLOCK_ROWS).alias("nb")))
+    ends = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     mixed = stored(mixed.join(ends, "key"), "mixed")
-    active = mixed.select("key", "cid", "n", "label").join(_active(mixed.join(vecs, "cid"), percent), ["key", "cid"])
+    active = mixed.join(_active(_rest_units(mixed, 8), vecs, percent), ["key", "cid"])
     active = stored(_distinct_tiles(stored(active, "active")), "active")
     active = stored(_maximal_tiles(active).select("key", "cid", "n", "label"), "active")
     links = links.union(stored(_verified(_rest_units(active), docs, classes, k, percent), "links"))
