@@ -155,3 +155,67 @@ def test_every_review_has_a_text(spark):
     r, f = reviews(spark, SF), full_reviews(spark, SF)
     assert f.count() == r.count() and f.where("content is null").count() == table(spark, SF, "documents").where("text is null").count() * 0
     assert f.select("content").distinct().count() > 100
+
+
+def test_duplicates_same_by_numbers_digests_and_bit_map(spark, monkeypatch):
+    """Hot keys, keys told by a map of bits and keys told by a join get the same flags."""
+    rows = [(i % 40, f"t{i % 3}", None if i % 7 == 0 else float(i % 2)) for i in range(200)] + [(None, "t", None)] * 3 + [(1000 + i, "u", 0.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, t string, x double").repartition(5)
+    flags = {"row": None, "by_id": ["id"]}
+    found = []
+    for few, hot in ((1 << 20, 100_000), (0, 100_000), (0, 3), (1 << 20, 0)):
+        monkeypatch.setattr(Q, "FEW_KEYS", few)
+        out = Q.flag_duplicates(df, flags, hot=hot).collect()
+        assert len(out) == len(rows)
+        found.append(sorted(map(repr, out)))
+    assert found[0] == found[1] == found[2] == found[3]
+    assert sum("by_id=False" in r for r in found[0]) == len({r[0] for r in rows})
+    assert sum("row=False" in r for r in found[0]) == len(set(rows))
+
+
+def test_rows_of_single_keys_are_not_shuffled_whole(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FEW_KEYS", 0)
+    df = spark.range(2000).selectExpr("id % 1900 as id", "repeat('x', 50) as t")
+    plan = Q.flag_duplicates(df, {"by_id": ["id"]})._jdf.queryExecution().executedPlan().toString()
+    # one branch passes its rows as they are, the other one orders those of repeated keys
+    assert plan.count("Window") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_noisy_reviews_join_their_tables_once(spark):
+    from revlens.plans.q_quality import noisy_reviews
+    plan = noisy_reviews(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_language_of_long_short_and_foreign_texts(spark, monkeypatch):
+    """Texts cut into pieces, batches and alphabets too large for a table give the joined form's verdicts."""
+    docs = spark.createDataFrame([("the cat and the dog " * 9, "en"), ("der hund und die katze " * 9, "de"), ("こんにちは世界 " * 5, "ja")], "text string, lang string")
+    texts = ["the dog", "die katze", "", None, "a", "ab", "the " * 40 + "der hund", "der " * 40, "世界 こんにちは", "\U00020000 xyz", "123"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    model = L.fit_language_model(docs, "text", "lang")
+    langs = ["de", "en", "ja"]
+    want = {r["i"]: r["p"] for r in L.detect_language(df, model, "text", langs, "p", packed_bytes=0).collect()}
+    for direct, chunk in ((1 << 22, 1 << 20), (0, 1 << 20), (1 << 22, 7), (0, 3)):
+        monkeypatch.setattr(L, "_DIRECT", direct)
+        monkeypatch.setattr(L, "_CHUNK", chunk)
+        assert {r["i"]: r["p"] for r in L.detect_language(df, model, "text", langs, "p").collect()} == want
+
+
+def test_ngrams_make_no_array_for_each_gram(spark):
+    from revlens.functions import text as T
+    df = spark.createDataFrame([(["a", "b", None, "c"],), (["a"],), ([],), (None,)], "t array<string>")
+    assert [r[0] for r in df.select(T.ngrams(F.col("t"), 2)).collect()] == [["a_b", "b", "c"], [], [], []]
+    assert [r[0] for r in df.select(T.ngrams(F.col("t"), 3)).collect()] == [["a_b", "b_c"], [], [], []]
+    assert "array_join" not in df.select(T.ngrams(F.col("t"), 3))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_guards_keep_the_patterns_verdicts(spark):
+    from revlens.functions import constants as K
+    texts = [None, "", "a@b.cd", "a @ b", "http://a.bc/x", "www.a.bc", "ftp://a.bc", "5551212", "555.121 2", "(555) 555-1212", "x5551212", "5551212x", "damn", "Damned", "sh!t", "f*ck", "éshit shit", "_damn"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    c = F.col("c")
+    for f, p in ((Q.contains_email, K.EMAIL_PATTERN), (Q.contains_url, K.URL_PATTERN), (Q.contains_phone, K.PHONE_PATTERN)):
+        assert df.where(f(c) != F.coalesce(c.rlike(p), F.lit(False))).count() == 0
+        plan = df.select(f(c))._jdf.queryExecution().optimizedPlan().toString()
+        assert " AND " in plan  # a cheap test stands before the pattern
+    assert [r[0] for r in df.where(L.has_profanity(c)).collect()] == ["damn", "sh!t", "f*ck", "éshit shit"]
