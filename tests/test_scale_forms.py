@@ -219,3 +219,33 @@ def test_guards_keep_the_patterns_verdicts(spark):
         plan = df.select(f(c))._jdf.queryExecution().optimizedPlan().toString()
         assert " AND " in plan  # a cheap test stands before the pattern
     assert [r[0] for r in df.where(L.has_profanity(c)).collect()] == ["damn", "sh!t", "f*ck", "éshit shit"]
+
+
+def test_large_token_map_moves_no_single_occurrence(spark):
+    # by blocks: every block has its own rows, copies of one text too, and rows pass with all their columns
+    rows = [(i % 7, "x" * i, ["cats"] * 40 + [f"w{i}"]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, other string, t array<string>")
+    m = spark.createDataFrame([("cats", "cat"), *[(f"w{i}", f"v{i}") for i in range(0, 50, 2)]], "word string, to string")
+    out = P.apply_token_map(df, "t", m, "out", map_bytes=0)
+    assert out.columns == ["id", "other", "t", "out"]
+    got = sorted((r["other"], r["id"], r["out"]) for r in out.collect())
+    assert got == sorted((x, i, ["cat"] * 40 + [w[-1] if int(w[-1][1:]) % 2 else "v" + w[-1][1:]]) for i, x, w in rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "sha2" not in plan
+
+
+def test_corrections_go_by_rising_distance(spark):
+    v = spark.createDataFrame([("houses", 8), ("mouse", 9), ("house", 5), ("hose", 1), ("xxuse", 1), ("moues", 2), ("zzz", 1), ("hauses", 1)], "word string, freq long")
+    got = {r["word"]: r["correction"] for r in P.fit_spell_corrections(v).collect()}
+    # one edit beats two whatever the frequency; at two the commoner word, then the first
+    assert got == {"hose": "house", "xxuse": "mouse", "moues": "mouse", "hauses": "houses"}
+    near = {r["word"]: r["correction"] for r in P.fit_spell_corrections(v, max_distance=1).collect()}
+    assert near == {"hose": "house", "hauses": "houses"}
+
+
+def test_spell_keys_of_distance_two_only_for_words_left(spark, monkeypatch):
+    seen = []
+    near = P._nearest
+    monkeypatch.setattr(P, "_nearest", lambda words, dic, d: seen.append((d, words.count())) or near(words, dic, d))
+    v = spark.createDataFrame([("house", 9), ("hous", 1), ("hou", 1)], "word string, freq long")
+    assert P.fit_spell_corrections(v).count() == 2 and seen == [(1, 2), (2, 1)]
