@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from revlens.functions.ordered import running
 from revlens.functions.quantiles import exact_quantiles
 from revlens.functions.stats import null_safe_join
+from revlens.session import shared_table
 
 
 def boxplot_stats(df: DataFrame, x: str) -> DataFrame:
@@ -248,10 +249,10 @@ def collocations(df: DataFrame, tokens_column: str, min_count: int = 1) -> DataF
         t, F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
         lambda a, b: F.struct(a.alias("w1"), b.alias("w2"))))
     e = df.select(F.explode(pairs).alias("_p"))
-    big = (e.select(F.col("_p.w1").alias("w1"), F.col("_p.w2").alias("w2"))
-             .where(F.col("w2").isNotNull())
-             .groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("count")))
-    uni = term_frequency(df, tokens_column)
+    # counted once and stored; the last word of a text stands with a null, so the pairs' first words are all words
+    both = shared_table(e.select("_p.w1", "_p.w2").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("count")), "word-pairs")
+    big = both.where(F.col("w2").isNotNull())
+    uni = shared_table(both.groupBy(F.col("w1").alias("term")).agg(F.sum("count").alias("count")), "words")
     nu = uni.agg(F.sum("count").alias("_nu"))
     nb = big.agg(F.sum("count").alias("_nb"))
     keep = big.where(F.col("count") >= min_count)

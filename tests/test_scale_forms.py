@@ -249,3 +249,13 @@ def test_spell_keys_of_distance_two_only_for_words_left(spark, monkeypatch):
     monkeypatch.setattr(P, "_nearest", lambda words, dic, d: seen.append((d, words.count())) or near(words, dic, d))
     v = spark.createDataFrame([("house", 9), ("hous", 1), ("hou", 1)], "word string, freq long")
     assert P.fit_spell_corrections(v).count() == 2 and seen == [(1, 2), (2, 1)]
+
+
+def test_collocations_split_texts_once(spark):
+    from revlens.operators import explore as E
+    df = spark.createDataFrame([(["a", "b", "a"],), (["c"],), ([],), (None,), (["a", "b"],)], "t array<string>")
+    out = E.collocations(df, "t")
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()  # pairs and words come from one stored count
+    got = {(r["w1"], r["w2"]): (r["count"], round(r["pmi"], 9)) for r in out.collect()}
+    import math
+    assert got == {("a", "b"): (2, round(math.log((2 / 3) / (3 / 6 * 2 / 6)), 9)), ("b", "a"): (1, round(math.log((1 / 3) / (3 / 6 * 2 / 6)), 9))}
