@@ -26,19 +26,26 @@ MEASURES = ("rating", "review_length", "vote_count", "vote_sum")
 
 #: Rows of the largest group that is aggregated directly.
 HOT = 100_000
+#: Rows of a task of direct aggregation, in the mean; larger tables get more tasks.
+TASK_ROWS = 500_000
 
 
 def metric_block(df: DataFrame, keys: Sequence[str], distincts: dict[str, str], hot: int = HOT) -> DataFrame:
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    groups, large = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("_n") > hot)).first()
+    groups, large, rows = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("_n") > hot), F.sum("_n")).first()
+    tasks = -(-(rows or 0) // TASK_ROWS)
+
+    def spread(d: DataFrame) -> DataFrame:  # a task's memory must not grow with the table
+        return d.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else d
+
     if large == 0:
-        return _direct(df, keys, distincts)
+        return _direct(spread(df), keys, distincts)
     if large == groups:
         return _by_histogram(df, keys, distincts)
     marks = shared_table(sizes.where(F.col("_n") > hot).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), "hot-groups")
     same = [df[k].eqNullSafe(marks[f"_k{i}"]) for i, k in enumerate(keys)]
-    return _direct(df.join(marks, same, "left_anti"), keys, distincts).unionByName(
+    return _direct(spread(df.join(marks, same, "left_anti")), keys, distincts).unionByName(
         _by_histogram(df.join(marks, same, "left_semi"), keys, distincts))
 
 

@@ -259,3 +259,13 @@ def test_collocations_split_texts_once(spark):
     got = {(r["w1"], r["w2"]): (r["count"], round(r["pmi"], 9)) for r in out.collect()}
     import math
     assert got == {("a", "b"): (2, round(math.log((2 / 3) / (3 / 6 * 2 / 6)), 9)), ("b", "a"): (1, round(math.log((1 / 3) / (3 / 6 * 2 / 6)), 9))}
+
+
+def test_metrics_of_large_tables_get_more_tasks(spark, monkeypatch):
+    r = reviews(spark, SF)
+    want = sorted(map(tuple, M.app_metrics(r).collect()), key=repr)
+    monkeypatch.setattr(M, "TASK_ROWS", 100)
+    out = M.app_metrics(r)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, out.collect()), key=repr)
+    assert [tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in got] == [tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in want]
