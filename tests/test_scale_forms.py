@@ -269,3 +269,20 @@ def test_metrics_of_large_tables_get_more_tasks(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
     got = sorted(map(tuple, out.collect()), key=repr)
     assert [tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in got] == [tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in want]
+
+
+def test_duplicate_flags_of_long_texts_move_only_kept_rows(spark):
+    rng = random.Random(5)
+    head = "same words " * 8  # longer than the head that is compared first
+    rows = [(rng.choice(["1", "2", "3", "4", None]), rng.choice([1, 2, None]), rng.choice([None, "", head, head + "a", head + "b", "c"]), rng.choice([7, 8, None])) for _ in range(150)]
+    df = spark.createDataFrame([*rows, ("9", 1, "x", 7)], "id string, rating int, content string, votes int").repartition(5)
+    keys = {"row": None, "by_id": ["id"]}
+    plain = sorted(map(str, Q.flag_duplicates(df, keys).collect()))
+    assert sorted(map(str, Q.flag_duplicates(df, keys, wide=["content"]).collect())) == plain
+    only = df.select("id", "content", "rating")  # the text before other columns, and as the only other one
+    for d in (only, only.select("id", "content"), df.select("content", "id")):
+        assert sorted(map(str, Q.flag_duplicates(d, keys, wide=["content"]).collect())) == sorted(map(str, Q.flag_duplicates(d, keys).collect()))
+    flags = Q.assess_quality(df, outlier_columns=(), date_column=None)
+    plan = flags.where("not dqa_contains_email")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    windows = [i for i, line in enumerate(plan) if "Window [" in line]
+    assert windows and any("RLIKE" in line and "Filter" in line for line in plan[max(windows):])  # the filter is below the numbering
