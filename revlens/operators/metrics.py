@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.functions.stats import safe_div, value_counts, weighted_std
+from revlens.functions.stats import TASK_ROWS, safe_div, spread, value_counts, weighted_std
 from revlens.session import shared_table
 
 MEASURES = ("rating", "review_length", "vote_count", "vote_sum")
@@ -26,27 +26,20 @@ MEASURES = ("rating", "review_length", "vote_count", "vote_sum")
 
 #: Rows of the largest group that is aggregated directly.
 HOT = 100_000
-#: Rows of a task of direct aggregation, in the mean; larger tables get more tasks.
-TASK_ROWS = 500_000
 
 
 def metric_block(df: DataFrame, keys: Sequence[str], distincts: dict[str, str], hot: int = HOT) -> DataFrame:
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     groups, large, rows = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("_n") > hot), F.sum("_n")).first()
-    tasks = -(-(rows or 0) // TASK_ROWS)
-
-    def spread(d: DataFrame) -> DataFrame:  # a task's memory must not grow with the table
-        return d.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else d
-
     if large == 0:
-        return _direct(spread(df), keys, distincts)
+        return _direct(spread(df, keys, rows, TASK_ROWS), keys, distincts)
     if large == groups:
-        return _by_histogram(df, keys, distincts)
+        return _by_histogram(df, keys, distincts, rows or 0)
     marks = shared_table(sizes.where(F.col("_n") > hot).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), "hot-groups")
     same = [df[k].eqNullSafe(marks[f"_k{i}"]) for i, k in enumerate(keys)]
-    return _direct(spread(df.join(marks, same, "left_anti")), keys, distincts).unionByName(
-        _by_histogram(df.join(marks, same, "left_semi"), keys, distincts))
+    return _direct(spread(df.join(marks, same, "left_anti"), keys, rows, TASK_ROWS), keys, distincts).unionByName(
+        _by_histogram(df.join(marks, same, "left_semi"), keys, distincts, rows or 0))
 
 
 def _direct(df: DataFrame, keys: Sequence[str], distincts: dict[str, str]) -> DataFrame:
@@ -59,7 +52,7 @@ def _direct(df: DataFrame, keys: Sequence[str], distincts: dict[str, str]) -> Da
     return df.groupBy(*keys).agg(*aggs)
 
 
-def _by_histogram(df: DataFrame, keys: Sequence[str], distincts: dict[str, str]) -> DataFrame:
+def _by_histogram(df: DataFrame, keys: Sequence[str], distincts: dict[str, str], rows: int) -> DataFrame:
     n = F.col("_cnt")
     aggs = [F.sum(F.when(F.col("_tag") == 0, n)).alias("review_count")]
     for i, m in enumerate((*MEASURES, "date")):
@@ -70,7 +63,7 @@ def _by_histogram(df: DataFrame, keys: Sequence[str], distincts: dict[str, str])
             aggs += [(F.sum(v.cast("double") * n) / F.sum(F.when(v.isNotNull(), n))).alias(f"{m}_avg"),
                      weighted_std(v, n).alias(f"{m}_std")]
     aggs += [F.count(F.col(f"v_{len(MEASURES) + 1 + i}")).alias(out) for i, out in enumerate(distincts)]
-    return value_counts(df, keys, [*MEASURES, "date", *distincts.values()]).groupBy(*keys).agg(*aggs)
+    return value_counts(df, keys, [*MEASURES, "date", *distincts.values()], rows).groupBy(*keys).agg(*aggs)
 
 
 def _ordered(df: DataFrame, head: Sequence[str]) -> DataFrame:

@@ -286,3 +286,16 @@ def test_duplicate_flags_of_long_texts_move_only_kept_rows(spark):
     plan = flags.where("not dqa_contains_email")._jdf.queryExecution().optimizedPlan().toString().split("\n")
     windows = [i for i, line in enumerate(plan) if "Window [" in line]
     assert windows and any("RLIKE" in line and "Filter" in line for line in plan[max(windows):])  # the filter is below the numbering
+
+
+def test_value_counts_spread_large_tables_over_tasks(spark, monkeypatch):
+    from revlens.functions import stats
+    from revlens.operators import reports as R
+    rows = [(f"r{i % 900}", f"a{i % 7}", None if i % 5 == 0 else f"u{i % 50}", "c" if i % 3 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id string, app_id string, author string, category string")
+    plain = sorted(map(str, R.by_category(df).collect()))
+    monkeypatch.setattr(stats, "TASK_ROWS", 100)
+    tasks = df.count() // 100
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    large = R.by_category(df)
+    assert "REPARTITION_BY_NUM" in large._jdf.queryExecution().executedPlan().toString() and sorted(map(str, large.collect())) == plain
