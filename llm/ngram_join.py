@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.common import as_long, bitmap, mix64, releasing, shingles, small_batches, split_by, stored, words_of
@@ -429,6 +429,16 @@ def _rest_units(rows: DataFrame, times: int = 1) -> DataFrame:
     return out.select("u1", "u.u2", "u.u3", "u.side", "cid", "label")
 
 
+def _meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, cid, n, label) with a row of another component in their
+    tile whose size may allow a link: one in the same band of sizes or beside it."""
+    rows = rows.withColumn("band", _band(percent))
+    near = Window.partitionBy("key").orderBy("band").rangeBetween(-1, 1)  # over a tile's bands, which are few
+    per = rows.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    ends = per.select("key", "band", F.min("lo").over(near).alias("lo"), F.max("hi").over(near).alias("hi")).where("lo < hi")
+    return rows.join(ends.select("key", "band"), ["key", "band"]).drop("band")
+
+
 def linked_classes(docs: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
     """One row per class: f1, f2, component (the smallest doc_id of all
     classes reachable by links)."""
@@ -436,10 +446,9 @@ def linked_classes(docs: DataFrame, sig: DataFrame, k: int, percent: int) -> Dat
     tiles, vecs = _tiles(body, percent), body.select("cid", "vec")
     links = stored(_verified(_star_units(tiles, vecs, percent), docs, classes, k, percent), "links")
     label = _labelled(links)
-    # rows of tiles with more than one component, with their points
+    # rows of tiles with another component near their size, with their points
     mixed = tiles.select("key", "cid", "n").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    ends = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    mixed = stored(mixed.join(ends, "key"), "mixed")
+    mixed = stored(_meeting(mixed, percent), "mixed")
     active = mixed.join(_active(_rest_units(mixed, 8), vecs, percent), ["key", "cid"])
     active = stored(_distinct_tiles(stored(active, "active")), "active")
     active = stored(_maximal_tiles(active).select("key", "cid", "n", "label"), "active")

@@ -201,3 +201,12 @@ def test_scratch_is_released(spark):
     rows = ngram_join.join(spark.read.parquet(f"{SF}/documents.parquet"))
     made = set(os.listdir(top)) - before
     assert len(made) == 1 and rows.count() == 200
+
+
+def test_jaccard_tiles_keep_rows_that_may_meet(spark):
+    from llm import ngram_join
+    rng = np.random.default_rng(4)
+    rows = [(int(k), i, int(n), int(lab)) for i, (k, n, lab) in enumerate(zip(rng.integers(0, 40, 400), rng.integers(1, 900, 400), rng.integers(0, 12, 400), strict=True))]
+    got = {r["cid"] for r in ngram_join._meeting(spark.createDataFrame(rows, "key long, cid long, n long, label long"), 90).collect()}
+    may = {a[1] for a in rows for b in rows if a[0] == b[0] and a[3] != b[3] and 100 * min(a[2], b[2]) >= 90 * max(a[2], b[2])}
+    assert may <= got < {r[1] for r in rows}  # none that may be linked is lost, and rows of other sizes go
