@@ -227,12 +227,28 @@ def term_frequency(df: DataFrame, tokens_column: str, key: str | None = None) ->
 def tfidf_top_terms(df: DataFrame, tokens_column: str, key: str, doc_key: str = "id", n: int = 5) -> DataFrame:
     """Per group: the n terms with the highest tf * idf, where tf = term
     count in the group and idf = ln(documents / documents containing the
-    term).  Tokens are exploded once, into (term, doc, group) counts that give
-    both figures."""
-    e = df.select(key, doc_key, F.explode(F.col(tokens_column)).alias("term"))
-    c = e.groupBy("term", doc_key, key).agg(F.count(F.lit(1)).alias("n"))
-    tf = c.groupBy(key, "term").agg(F.sum("n").alias("tf"))
-    dfreq = c.groupBy("term", doc_key).agg(F.sum("n").alias("n")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    term).  A document that is one row gives its terms where it is, each with
+    its first place marked, so that both figures are sums with map-side combine;
+    only the terms of documents of several rows are counted by document."""
+    twice = shared_table(df.select(doc_key).groupBy(doc_key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-documents")
+    rows, again = df.select(key, doc_key, tokens_column), None
+    if not twice.isEmpty():
+        marks = twice.select(F.col(doc_key).alias("_id"))
+        same = rows[doc_key].eqNullSafe(marks["_id"])
+        rows, again = rows.join(marks, same, "left_anti"), rows.join(marks, same, "left_semi")
+    one = lambda c, tf, first: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(first).alias("df")))
+    tokens = F.col(tokens_column)
+    e = rows.select(key, F.explode(F.concat(one(tokens, 1, 0), one(F.array_distinct(tokens), 0, 1))).alias("_t")).select(key, "_t.*")
+    c = e.groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    if again is not None:
+        d = again.select(key, doc_key, F.explode(tokens).alias("term")).groupBy("term", doc_key, key).agg(F.count(F.lit(1)).alias("tf"))
+        # a document counts once for a term, in one of its groups
+        once = d.groupBy("term", doc_key).agg(F.min(F.struct(key)).alias("_g")).select(F.col(f"_g.{key}").alias(key), "term")
+        more = d.select(key, "term", "tf", F.lit(0).cast("long").alias("df")).unionByName(once.select(key, "term", F.lit(0).cast("long").alias("tf"), F.lit(1).cast("long").alias("df")))
+        c = c.unionByName(more).groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    c = shared_table(c, "term-counts")
+    tf = c.select(key, "term", "tf")
+    dfreq = c.groupBy("term").agg(F.sum("df").alias("df"))
     ndocs = df.agg(F.count(F.lit(1)).alias("_N"))
     s = (tf.join(dfreq, "term").crossJoin(F.broadcast(ndocs))
            .withColumn("tfidf", F.col("tf") * F.ln(F.col("_N") / F.col("df"))))

@@ -299,3 +299,21 @@ def test_value_counts_spread_large_tables_over_tasks(spark, monkeypatch):
     assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
     large = R.by_category(df)
     assert "REPARTITION_BY_NUM" in large._jdf.queryExecution().executedPlan().toString() and sorted(map(str, large.collect())) == plain
+
+
+def test_tfidf_counts_documents_where_they_are(spark):
+    import math
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choices("uvwxyz", k=rng.randint(0, 8))) for i in range(60)]
+    many = [("a", 1, ["u", "u"]), ("b", 1, ["u", "q"]), (None, 1, ["q"]), ("a", None, ["v"]), ("b", None, ["v", "q"]), ("a", 77, None)]  # documents of several rows
+    for data in (rows, rows + many):
+        df = spark.createDataFrame(data, "g string, id long, t array<string>")
+        out = X.tfidf_top_terms(df, "t", "g", n=99)
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()  # both figures come from one stored count
+        tf, docs = {}, {}
+        for g, i, ts in data:
+            for t in ts or []:
+                tf[g, t] = tf.get((g, t), 0) + 1
+                docs.setdefault(t, set()).add(i)
+        want = sorted(((g, t, n, len(docs[t]), round(n * math.log(len(data) / len(docs[t])), 9)) for (g, t), n in tf.items()), key=str)
+        assert sorted(((r["g"], r["term"], r["tf"], r["df"], round(r["tfidf"], 9)) for r in out.collect()), key=str) == want
