@@ -45,7 +45,7 @@ MAP_BITS, MAP_KEYS = 1 << 29, 1 << 27
 HOT = 100_000
 
 
-def _split_repeated(df: DataFrame, keys: Sequence[str], hot: int = HOT) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def split_repeated(df: DataFrame, keys: Sequence[str], hot: int = HOT) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(rows whose key no other row has, other rows, rows of keys with more than
     ``hot`` rows): hashes of 8 bytes are counted, and those seen twice come back.
     The second part holds every row of a repeated key, and a few others whose
@@ -115,7 +115,7 @@ def flag_duplicates(df: DataFrame, flags: dict[str, Sequence[str] | None],
     least = [k for i, k in enumerate(sets) if not any(set(j) < set(k) or (set(j) == set(k) and at < i) for at, j in enumerate(sets))]
     if len(least) != 1:  # keys that are not within each other
         return _flag_repeated(df, flags, business)
-    single, other, large = _split_repeated(df, least[0], hot)
+    single, other, large = split_repeated(df, least[0], hot)
     out = single.select("*", *[F.lit(False).alias(name) for name in flags])
     if other is not None and set(wide) & set(business) and set(business) == set(df.columns) and all(set(k) in (set(least[0]), set(business)) for k in sets):
         out = out.unionByName(_flag_wide(other, dict(zip(flags, sets, strict=True)), least[0], business, wide))

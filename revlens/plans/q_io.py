@@ -43,13 +43,13 @@ def stage_files(spark, sf):
 
 def _raw_files(spark, sf):
     """Raw per-category TSV files in the source layout (all columns kept)."""
-    r = reviews(spark, sf)
+    r = reviews(spark, sf).hint("rebalance", "category")  # before columns are repeated, so that they move once
     raw = r.select("id", "app_id", "app_name", F.col("category").alias("category_id"), "category", "author",
                    F.col("rating").cast("double").alias("rating"), F.lit("").alias("title"),
                    F.col("app_name").alias("content"), "vote_count", "vote_sum",
                    F.col("date").cast("timestamp").alias("date"), F.col("category").alias("_part"))
     path = S.shared_scratch(spark, "raw")
-    (raw.hint("rebalance", "_part").write.mode("overwrite").partitionBy("_part").option("header", True)
+    (raw.write.mode("overwrite").partitionBy("_part").option("header", True)
         .option("sep", "\t").option("escape", "\\").csv(path))
     return path
 

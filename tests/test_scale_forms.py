@@ -317,3 +317,15 @@ def test_tfidf_counts_documents_where_they_are(spark):
                 docs.setdefault(t, set()).add(i)
         want = sorted(((g, t, n, len(docs[t]), round(n * math.log(len(data) / len(docs[t])), 9)) for (g, t), n in tf.items()), key=str)
         assert sorted(((r["g"], r["term"], r["tf"], r["df"], round(r["tfidf"], 9)) for r in out.collect()), key=str) == want
+
+
+def test_acquisition_moves_only_rows_that_may_repeat(spark, tmp_path):
+    head = "id\tapp_id\tapp_name\tcategory_id\tcategory\tauthor\trating\ttitle\tcontent\tvote_count\tvote_sum\tdate\n"
+    line = "{}\tb\tn\tc\tc\tw\t{}\tt{}\tx\t1\t2\t2020-01-01 00:00:00\n"
+    for name, rows in (("one", [(1, 5, "a"), (1, 5, "b"), (2, 5, "a"), (3, "", "a")]), ("two", [(1, 5, "a"), (1, 4, "a"), (2, 5, "a"), (2, 5, "a")])):
+        (tmp_path / f"{name}.csv").write_text(head + "".join(line.format(*r) for r in rows))
+    out = S.acquire_reviews(spark, f"{tmp_path}/*.csv")
+    # titles are no part of a row, files are; a row without a rating goes
+    assert sorted((r["id"], r["rating"]) for r in out.collect()) == [("1", 4.0), ("1", 5.0), ("1", 5.0), ("2", 5.0), ("2", 5.0)]
+    (tmp_path / "two.csv").write_text(head + line.format(1, 5, "a") + line.format(2, 5, "a"))
+    assert "Aggregate" not in S.acquire_reviews(spark, f"{tmp_path}/two.csv")._jdf.queryExecution().executedPlan().toString()
