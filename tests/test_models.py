@@ -63,3 +63,43 @@ def test_blake2b_form(spark):
     names = ["a", "é", "x" * 1000]
     got = X.anonymize_authors(spark.createDataFrame([(n,) for n in names], "author string"), method="blake2b").collect()
     assert [r["author"] for r in got] == [hashlib.blake2b(n.encode(), digest_size=10).hexdigest() for n in names]
+
+
+def test_loop_reads_its_source_once(spark, data):
+    """No fit or evaluation goes back to the texts (a join, say) of the labelled set."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(c):
+        seen.add(1)
+        return c
+
+    part = F.when(F.col("id").cast("int") < 60, "train").when(F.col("id").cast("int") < 75, "validation").otherwise("test")
+    labelled = data.withColumn("split", part).withColumn("content", text("content"))
+    unl = data.select("content", (F.col("id").cast("int") % 2).alias("batch"))
+    got = M.self_train(spark, labelled, unl, batches=2, patience=3)
+    assert [r["labelled"] for r in got.stats.orderBy("round").collect()] == [105, 150]
+    assert seen.value == 90
+
+
+def test_fit_on_term_counts_is_the_pipelines(spark, data):
+    stages = M.build_pipeline().getStages()
+    whole, counted = M.build_pipeline().fit(data), M.fit_counts(stages, M.term_counts(data, stages).select("label", "_tf"))
+    a, b = ({r["id"]: (r["prediction"], round(r["score"], 6)) for r in M.predict(m, data).collect()} for m in (whole, counted))
+    assert a == b and len(a) == 90
+    assert {r["id"]: r["prediction"] for r in M.predict_counts(counted, M.term_counts(data, stages)).collect()} == {k: v[0] for k, v in a.items()}
+
+
+def test_sentiment_sets_keep_repeated_and_null_keys(spark):
+    from revlens.plans.q_models import _sentiment_sets
+    from revlens.sources.files import shared_scratch
+    base = shared_scratch(spark, "sets")
+    spark.createDataFrame([(1, "a", "en"), (1, "b", "en"), (2, "c", "de"), (3, "d", None), (None, "e", "en")],
+                          "doc_id long, text string, lang string").write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (1, 0, 1), (3, None, None), (None, 1, 1), (9, 1, 1)],
+                          "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    labelled, unl = _sentiment_sets(spark, base)
+    assert sorted((r["id"], r["content"], r["label"]) for r in labelled.collect()) == [
+        ("1", "a", 0), ("1", "a", 2), ("1", "b", 0), ("1", "b", 2), ("3", "d", 1)]
+    assert sorted((r["id"] or "", r["content"]) for r in unl.collect()) == [("", "e"), ("2", "c")]
+    assert all(r["split"] in ("train", "validation", "test") for r in labelled.collect()) and all(0 <= r["batch"] < 3 for r in unl.collect())
