@@ -329,3 +329,23 @@ def test_acquisition_moves_only_rows_that_may_repeat(spark, tmp_path):
     assert sorted((r["id"], r["rating"]) for r in out.collect()) == [("1", 4.0), ("1", 5.0), ("1", 5.0), ("2", 5.0), ("2", 5.0)]
     (tmp_path / "two.csv").write_text(head + line.format(1, 5, "a") + line.format(2, 5, "a"))
     assert "Aggregate" not in S.acquire_reviews(spark, f"{tmp_path}/two.csv")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_by_reference_give_the_same_flags_and_do_not_move(spark):
+    head = "same start " * 10
+    texts = [(0, head + "b"), (1, head + "a"), (2, head + "b"), (3, None), (4, ""), (5, "é"), (6, "z 555-1212"), (7, "mail a@b.org")]
+    rows = [(f"{i % 9}", 1 + i % 2, k) for i, k in enumerate([0, 1, 2, 3, 4, 5, 6, 7, 8] * 6)] + [("one", 3, 7), (None, 4, 1), (None, 4, 0), (None, 4, 2), ("two", None, 9)]
+    by_key, of = spark.createDataFrame(rows, "id string, rating int, k int").repartition(5), spark.createDataFrame(texts, "k int, content string").repartition(3)
+    whole = by_key.join(of, "k", "left").drop("k")
+    want = Q.assess_quality(whole, outlier_columns=("rating",))
+    got = Q.assess_quality(by_key, outlier_columns=("rating",), texts=of, text_key="k")
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    twice = of.union(of.where("k = 1"))  # a key of two texts gives two rows
+    assert sorted(map(str, Q.assess_quality(by_key, outlier_columns=(), texts=twice, text_key="k").collect())) == sorted(
+        map(str, Q.assess_quality(by_key.join(twice, "k", "left").drop("k"), outlier_columns=()).collect()))
+    numbered, places = Q.number_texts(of, "k", "content")
+    assert [r["content"] for r in numbered.orderBy("_text").collect()] == sorted({t for _, t in texts if t is not None}, key=lambda t: t.encode())
+    assert {r["k"] for r in places.where("_text is null").collect()} == {3} and places.count() == len(texts)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and not [x for x in plan.split("\n") if "content#" in x and any(n in x for n in ("Window", "Aggregate", "Repartition"))]
