@@ -349,3 +349,21 @@ def test_texts_by_reference_give_the_same_flags_and_do_not_move(spark):
     assert {r["k"] for r in places.where("_text is null").collect()} == {3} and places.count() == len(texts)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and not [x for x in plan.split("\n") if "content#" in x and any(n in x for n in ("Window", "Aggregate", "Repartition"))]
+
+
+def test_token_maps_go_one_after_another_and_rows_move_once(spark, monkeypatch):
+    words = ["colour", "colours", "colors", "colour", "running", "run", "runing", "cats", "cat", "cta", "the", "x"]
+    rows = [(i, None if i == 7 else " ".join(words[(i * j) % len(words)] for j in range(i % 9))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, content string")
+    want = sorted(map(str, P.text_prep(df).collect()))
+    monkeypatch.setattr(P, "MAP_BYTES", 0)
+    monkeypatch.setattr(P, "BLOCK_ROWS", 8)
+    out = P.text_prep(df)
+    assert sorted(map(str, out.collect())) == want
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    moved = [x for x in plan.split("\n") if "Exchange" in x]
+    assert plan.count("FlatMapCoGroups") == 1 and len(moved) == 2
+    maps = [spark.createDataFrame(m, "w string, t string") for m in ([("a", "b"), ("c", "d"), ("e", "e")], [("b", "x"), ("c", "y"), ("f", "z")])]
+    t = spark.createDataFrame([(["a", "c", "e", "f", "b", None],), ([],), (None,)], "t array<string>")
+    got = sorted(map(str, P.apply_token_maps(t, "t", F.col("t"), {"one": maps[0], "two": maps[1]}).select("one", "two").collect()))
+    assert got == sorted(["Row(one=[], two=[])"] * 2 + ["Row(one=['b', 'd', 'e', 'f', 'b', None], two=['x', 'd', 'e', 'z', 'x', None])"])
